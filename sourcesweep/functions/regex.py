@@ -9,6 +9,7 @@ U+001C..U+001F, so it is widened here.
 from __future__ import annotations
 
 import re
+from functools import lru_cache, reduce
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 _EXTRA_SPACE = r"\x1c-\x1f"
 
 
+@lru_cache(maxsize=4096)
 def spark_regex(pattern: str, ignore_case: bool = False) -> str:
     """Python ``re`` pattern -> pattern for Spark's regex functions."""
     out, in_class, i = [], False, 0
@@ -54,13 +56,40 @@ def any_of(patterns: list[str]) -> str:
 
 # --- literal gates --------------------------------------------------------------------------
 
+@lru_cache(maxsize=4096)
 def required_literals(pattern: str) -> frozenset[str]:
     """Lower-case literals of which every match of ``pattern`` contains at least one.
 
     An empty result means no useful literal exists.  A substring test is much cheaper than a
     regular expression, so rules are only tried on lines that contain one of their literals.
     """
-    return _best(_candidates(sre_parser.parse(pattern)))
+    return _best(list(_conditions(pattern)))
+
+
+@lru_cache(maxsize=4096)
+def _conditions(pattern: str) -> tuple[frozenset[str], ...]:
+    return tuple(_candidates(sre_parser.parse(pattern)))
+
+
+def shared_gates(patterns: list[str]) -> list[tuple[frozenset[str], list[int]]]:
+    """Group patterns by a literal condition they share, few groups first found first.
+
+    Returns ``(literals, pattern indexes)`` pairs.  A line without any of the literals is ruled
+    out for the whole group by one test.
+    """
+    options = [{_minimal(c) for c in _conditions(p) if c and min(map(len, c)) >= 2}
+               | {required_literals(p)} for p in patterns]
+    left, groups = set(range(len(patterns))), []
+    while left:
+        votes: dict[frozenset[str], list[int]] = {}
+        for i in sorted(left):
+            for option in options[i]:
+                votes.setdefault(option, []).append(i)
+        best = max(votes, key=lambda o: (len(votes[o]) / max(len(o), 1) ** 0.5,
+                                         min(map(len, o), default=0), sorted(o)))
+        groups.append((best, votes[best]))
+        left -= set(votes[best])
+    return groups
 
 
 def _candidates(tokens) -> list[frozenset[str]]:
@@ -99,9 +128,14 @@ def _leading_literal(tokens) -> str:
     return lead
 
 
+def _minimal(literals: frozenset[str]) -> frozenset[str]:
+    """Without literals that contain another one."""
+    return frozenset(a for a in literals if not any(b != a and b in a for b in literals))
+
+
 def _best(options: list[frozenset[str]]) -> frozenset[str]:
     """The condition that is cheapest to test and least likely to hold."""
-    usable = [o for o in options if o]
+    usable = [_minimal(o) for o in options if o]
     return max(usable, key=lambda o: (min(map(len, o)) / len(o) ** 0.5, sorted(o)), default=frozenset())
 
 
@@ -113,11 +147,29 @@ def gate(lowered: Column, non_ascii: Column, literals: frozenset[str]) -> Column
     """
     if not literals:
         return F.lit(True)
-    test = None
-    for lit in sorted(literals):
-        hit = lowered.contains(lit)
-        test = hit if test is None else test | hit
-    return test | non_ascii
+    return reduce(lambda a, b: a | b, [lowered.contains(lit) for lit in sorted(literals)]
+                  ) | non_ascii
+
+
+# Rule sets become one large expression.  Written as SQL text it is built in one call; built from
+# columns it takes seconds.
+
+def sql_text(text: str) -> str:
+    """A SQL string literal; ``$`` is escaped because ``${name}`` is substituted in SQL text."""
+    text = text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+    return f"'{text}'"
+
+
+def matches_sql(column: str, pattern: str, ignore_case: bool = False) -> str:
+    return f"{column} RLIKE {sql_text(spark_regex(pattern, ignore_case))}"
+
+
+def gate_sql(lowered: str, non_ascii: str, literals: frozenset[str]) -> str:
+    """:func:`gate` as SQL text."""
+    if not literals:
+        return "true"
+    tests = [f"contains({lowered}, {sql_text(lit)})" for lit in sorted(literals)]
+    return "(" + " OR ".join([*tests, non_ascii]) + ")"
 
 
 def check(pattern: str) -> str:

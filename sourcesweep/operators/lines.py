@@ -11,6 +11,7 @@ comment checks and messages are worked out for hit lines only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.regex import gate, matches, required_literals, spark_regex
+from ..functions.regex import (gate, gate_sql, matches, matches_sql, required_literals,
+                               shared_gates, spark_regex, sql_text)
 from ..functions.text import snippet, strip
 from ..rules.catalog import (ANALYZERS, DEFAULT_EXTENSIONS, ESCAPE_FUNCTIONS, LANGUAGES,
                              LINE_EXTENSIONS, SANITIZERS, SMELL_EXTENSIONS, Rule)
@@ -100,24 +102,37 @@ def language() -> Column:
 
 
 def _bit_or(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), parts, F.lit(0).cast("bigint"))
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def _bit(test: Column, bit: int) -> Column:
     return F.when(test, F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def _rule_mask(rules: list[tuple[int, Rule]]) -> Column:
-    """Mask of the rules that match a line; rules with the same literals share one gate."""
-    line, gates = F.col("line_text"), {}
-    for bit, rule in rules:
-        gates.setdefault(required_literals(rule.regex), []).append((bit, rule))
+def _rule_mask(rules: list[tuple[int, Rule]]) -> str:
+    """SQL text of the mask of the rules that match a line.
+
+    Rules are grouped by a literal they share, so that most lines are done after one substring
+    test per group; a rule's own literal comes next and its expression last.
+    """
     parts = []
-    for literals, members in gates.items():
-        mask = _bit_or([_bit(matches(line, r.regex, r.ignore_case), b) for b, r in members])
-        parts.append(F.when(gate(F.col("lowered"), F.col("non_ascii"), literals), mask)
-                     .otherwise(F.lit(0).cast("bigint")))
-    return _bit_or(parts)
+    for literals, members in shared_gates([r.regex for _, r in rules]):
+        masks = []
+        for i in members:
+            bit, rule = rules[i]
+            test = matches_sql("line_text", rule.regex, rule.ignore_case)
+            own = required_literals(rule.regex)
+            if own != literals:
+                test = f"{gate_sql('lowered', 'non_ascii', own)} AND {test}"
+            masks.append(f"if({test}, {1 << bit}L, 0L)")
+        gated = gate_sql("lowered", "non_ascii", literals)
+        parts.append(f"if({gated}, {' | '.join(masks)}, 0L)")
+    return "(" + " | ".join(parts) + ")"
+
+
+def _by_language(parts: dict[str, str]) -> str:
+    arms = " ".join(f"WHEN {sql_text(lang)} THEN {sql}" for lang, sql in parts.items())
+    return f"CASE lang {arms} ELSE 0L END" if parts else "0L"
 
 
 def magic_number(line: Column) -> Column:
@@ -321,16 +336,16 @@ def line_findings(
     if "ANY" in slots:
         for start in range(0, len(slots["ANY"]), _BITS):
             part = list(enumerate(slots["ANY"][start : start + _BITS]))
-            masks[f"any_mask_{start}"] = F.when(F.col("by_line"), _rule_mask(part)).otherwise(zero)
+            masks[f"any_mask_{start}"] = F.expr(f"if(by_line, {_rule_mask(part)}, 0L)")
             chunks.append((f"any_mask_{start}", "ANY", start, len(part)))
     for start in range(0, max(map(len, languages.values()), default=0), _BITS):
-        expr, width = None, 0
+        parts, width = {}, 0
         for lang, members in languages.items():
             part = list(enumerate(members[start : start + _BITS]))
             width = max(width, len(part))
             if part:
-                expr = (F if expr is None else expr).when(F.col("lang") == lang, _rule_mask(part))
-        masks[f"rule_mask_{start}"] = F.when(F.col("by_rule"), expr.otherwise(zero)).otherwise(zero)
+                parts[lang] = _rule_mask(part)
+        masks[f"rule_mask_{start}"] = F.expr(f"if(by_rule, {_by_language(parts)}, 0L)")
         chunks.append((f"rule_mask_{start}", None, start, width))
     if smells:
         masks["smell_mask"] = F.when(F.col("by_smell"), _smell_mask(smells)).otherwise(zero)
@@ -379,8 +394,7 @@ def line_findings(
 
 def _excused(languages: dict[str, list[Rule]], start: int) -> Column:
     """Bits to drop: rules whose comment marker starts the line, escaped output in PHP."""
-    line = F.col("line_text")
-    expr = None
+    by_language = {}
     for lang, members in languages.items():
         groups: dict[tuple[str, ...], int] = {}
         escaped = 0
@@ -391,15 +405,11 @@ def _excused(languages: dict[str, list[Rule]], start: int) -> Column:
                 escaped |= 1 << bit
         parts = []
         for markers, bits in groups.items():
-            test = matches(line, r"^\s*(?:" + "|".join(m.replace("*", r"\*") for m in markers)
-                           + ")")
-            parts.append(F.when(test, F.lit(bits).cast("bigint"))
-                         .otherwise(F.lit(0).cast("bigint")))
+            comment = r"^\s*(?:" + "|".join(re.escape(m) for m in markers) + ")"
+            parts.append(f"if({matches_sql('line_text', comment)}, {bits}L, 0L)")
         if escaped:
-            test = reduce(lambda a, b: a | b, [line.contains(w) for w in ESCAPE_FUNCTIONS])
-            parts.append(F.when(test, F.lit(escaped).cast("bigint"))
-                         .otherwise(F.lit(0).cast("bigint")))
+            test = " OR ".join(f"contains(line_text, {sql_text(w)})" for w in ESCAPE_FUNCTIONS)
+            parts.append(f"if({test}, {escaped}L, 0L)")
         if parts:
-            expr = (F if expr is None else expr).when(F.col("lang") == lang, _bit_or(parts))
-    zero = F.lit(0).cast("bigint")
-    return zero if expr is None else expr.otherwise(zero)
+            by_language[lang] = "(" + " | ".join(parts) + ")"
+    return F.expr(_by_language(by_language))

@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that is too small to be split when read.
+
+    The test tables are single files with one row group, hence one task.  Tables with enough
+    partitions are left as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _array(items: list[str]) -> Column:
     return F.array(*[F.lit(i) for i in items])
 
@@ -60,8 +70,8 @@ _SQL_PATH = """'proj' || (case when no % 3 = 0 then 0 else sub % 50 end) as proj
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file of 8 to 20 lines per order."""
-    src = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("sub"))
+    src = spread(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("sub")))
     no, sub = F.col("no"), F.col("sub")
 
     def line(k: Column) -> Column:
@@ -88,8 +98,8 @@ def code_lines_sql() -> str:
 
 def function_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per part with functions of 20 to 119 lines; declarations, bodies, top-level lines."""
-    src = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("no"),
-                                              F.col("p_size").cast("bigint").alias("sub"))
+    src = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("no"),
+                                              F.col("p_size").cast("bigint").alias("sub")))
     no, sub = F.col("no"), F.col("sub")
     period = 20 + (no * 7 + sub) % 100
 
@@ -118,8 +128,8 @@ def function_lines_sql() -> str:
 
 def endpoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file of 30 to 89 lines per customer: routes, handlers and, in every third, an excuse."""
-    src = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("no"), F.col("c_nationkey").cast("bigint").alias("sub"))
+    src = spread(table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("no"), F.col("c_nationkey").cast("bigint").alias("sub")))
     no, sub = F.col("no"), F.col("sub")
 
     def line(k: Column) -> Column:
@@ -146,8 +156,8 @@ def endpoint_lines_sql() -> str:
 
 def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every web page, whole, followed by 6 to 16 form lines."""
-    src = table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("no"), (F.col("page_id") * 7).alias("sub"), "html")
+    src = spread(table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("no"), (F.col("page_id") * 7).alias("sub"), "html"))
     no, sub = F.col("no"), F.col("sub")
 
     def line(k: Column) -> Column:
@@ -177,12 +187,12 @@ def html_files_sql() -> str:
 
 def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and every conversation turn, whole, as a source file."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.col("source").alias("project"),
         F.concat(F.lit("docs/d"), "doc_id", _pick([".py", ".js", ".php", ".java"],
                                                   F.col("doc_id"))).alias("path"),
         F.col("text").alias("content"))
-    talk = table(spark, sf_dir, "conversations").select(
+    talk = spread(table(spark, sf_dir, "conversations")).select(
         F.lit("talk").alias("project"),
         F.concat(F.lit("talk/c"), "conv_id", F.lit("_"), "turn", F.lit(".py")).alias("path"),
         F.col("text").alias("content"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import GHSA_RAW, NVD_RAW, OSV_RAW
 from ..sources.files import normalise_files
-from .corpus import _pick, sql_list, table
+from .corpus import _pick, spread, sql_list, table
 
 NAMES = ["package.json", "requirements.txt", "composer.json", "Gemfile", "pom.xml",
          "build.gradle", "Cargo.toml", "Dockerfile", "README.md", "package.json",
@@ -27,8 +27,8 @@ GHSA_ECO = ["NPM", "PIP", "COMPOSER", "RUBYGEMS"]
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest per order with 3 to 8 entries; a third of them in one project."""
-    src = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("sub"))
+    src = spread(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("sub")))
     no, sub = F.col("no"), F.col("sub")
     name = _pick(NAMES, no)
 
