@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import strip
 from ..functions.versions import clean_version
 from ..sources.files import is_manifest, lines_of
@@ -26,10 +27,20 @@ def _dep(name: Column, version: Column, kind: str) -> Column:
 def _json_deps(sections: tuple[str, ...], kind: str) -> Column:
     """Entries of JSON object sections, in order; a missing or malformed section has none."""
     schema = ", ".join(f"{s} map<string, string>" for s in sections)
-    doc = F.from_json(F.col("content"), schema, _STRICT)
-    entries = [F.transform(F.map_entries(doc[s]), lambda e: _dep(e["key"], e["value"], kind))
-               for s in sections]
-    return F.flatten(F.array_compact(F.array(*entries)))
+
+    def section(entries: Column) -> Column:
+        return F.transform(let(entries, _last_wins), lambda e: _dep(e["key"], e["value"], kind))
+
+    return let(F.from_json(F.col("content"), schema, _STRICT), lambda doc: F.flatten(
+        F.array_compact(F.array(*[section(F.map_entries(doc[s])) for s in sections]))))
+
+
+def _last_wins(entries: Column) -> Column:
+    """A key given twice keeps its first place and takes its last value, as in a JSON object."""
+    keys = F.transform(entries, lambda e: e["key"])
+    merged = F.transform(F.array_distinct(keys), lambda k: F.element_at(
+        F.filter(entries, lambda e: e["key"] == k), -1))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(merged)
 
 
 def npm_deps() -> Column:

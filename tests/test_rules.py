@@ -9,8 +9,9 @@ from sourcesweep import build_rules, custom_rule
 from sourcesweep.functions.regex import required_literals, shared_gates
 from sourcesweep.operators.lines import line_findings
 from sourcesweep.rules.catalog import ESCAPE_FUNCTIONS, LANGUAGES, LINE_EXTENSIONS, SANITIZERS
-from sourcesweep.workload.pools import CODE_POOL
+from sourcesweep.workload.pools import CODE_POOL as POOL
 
+CODE_POOL = [line.replace("@@", "77") for line in POOL]
 RULES = build_rules()
 ODD = ["\xa0password\xa0=\xa0'x'", "paſſword = 'long ſ'", "Key eval(\xe9)",
        "\U0001f600 http://h", "\x1cpwd\x1c=\x1c'z'", "x = ' ' # TODO ", "  ", "",

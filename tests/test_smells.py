@@ -5,7 +5,9 @@ import re
 from sourcesweep import FunctionOptions, SecretOptions, SmellOptions
 from sourcesweep.operators.lines import line_findings
 from sourcesweep.operators.structure import DECLARATIONS, structure_findings
-from sourcesweep.workload.pools import CODE_POOL
+from sourcesweep.workload.pools import CODE_POOL as POOL
+
+CODE_POOL = [line.replace("@@", "77") for line in POOL]
 
 
 def _smells(files_of, text, ext=".py", **options):
