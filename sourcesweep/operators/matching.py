@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import vulnerability_type
 from ..functions.versions import in_range, satisfies, version_key
+from ..session import materialised
 from ..sources.advisories import (DEFAULT_REMEDIATION, GHSA_ECOSYSTEMS, NO_DESCRIPTION,
                                   OSV_ECOSYSTEMS, ecosystem_of)
 from .manifests import checkable
@@ -117,14 +118,19 @@ def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],
                     strict_ranges: bool = False, max_per_source: int | None = None) -> DataFrame:
     """Vulnerability rows of all dependency occurrences.
 
+    Dependencies, their distinct keys and the advisories are each used several times, so they are
+    written to the shared folder first (see :func:`sourcesweep.session.materialised`); the joins
+    on top are lazy.
+
     ``sources`` lists ``(kind, advisories)`` in order of preference; kind is ``nvd``, ``osv``,
     ``github-advisory`` or, for a registered table with ``package`` and ``ecosystem`` named like
     the dependency type, ``table``.
     """
     if not sources:
         raise ValueError("no advisory sources given")
-    keys = dependency_keys(deps)
-    numbered = [(kind, number_advisories(adv)) for kind, adv in sources]
+    deps = materialised(deps)
+    keys = materialised(dependency_keys(deps))
+    numbered = [(kind, materialised(number_advisories(adv))) for kind, adv in sources]
     found = []
     for kind, adv in numbered:
         if kind == "nvd":

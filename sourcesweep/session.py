@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # HotSpot does not compile methods above this many bytes of bytecode.
 _JIT_LIMIT = "8000"
@@ -20,3 +23,33 @@ def tune(spark: SparkSession) -> SparkSession:
     if spark.conf.get(key) == "65535":
         spark.conf.set(key, _JIT_LIMIT)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, as the cluster names it.
+
+    A local session without the setting gets a temporary folder; on a cluster a machine-local
+    folder would be lost with its machine, so there is none.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="sourcesweep-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Used where several joins start from one expensive table, so that its input is read once, later
+    failures restart from the written table, and Spark knows its true size.  Without a shared
+    folder the plan stays as it is.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/sourcesweep-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

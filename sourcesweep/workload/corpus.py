@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.regex import sql_text
 from ..sources.files import normalise_files
 from .pools import CODE_POOL, CSRF_EXCUSES, CSRF_POOL, FORM_POOL
 
@@ -38,7 +39,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _array(items: list[str]) -> Column:
-    return F.array(*[F.lit(i) for i in items])
+    return F.expr(f"array({', '.join(map(sql_text, items))})")
 
 
 def sql_str(text: str) -> str:

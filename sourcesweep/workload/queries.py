@@ -20,6 +20,7 @@ from ..operators.structure import CsrfOptions, FunctionOptions, structure_findin
 from ..plans.report import finding_rows, vulnerability_rows
 from ..plans.scan import code_findings
 from ..rules.catalog import build_rules, rules_frame
+from ..session import materialised
 from ..sources import advisories as adv
 from ..sources.files import is_skipped, lines_of
 from . import corpus, packages
@@ -69,7 +70,7 @@ def _secrets(rule_id: str) -> Query:
 
 
 def _keys(spark, sf_dir):
-    return dependency_keys(dependencies(packages.manifest_files(spark, sf_dir)))
+    return materialised(dependency_keys(dependencies(packages.manifest_files(spark, sf_dir))))
 
 
 def _nvd(spark, sf_dir):
