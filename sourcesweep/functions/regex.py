@@ -66,6 +66,21 @@ def required_literals(pattern: str) -> frozenset[str]:
     return _best(list(_conditions(pattern)))
 
 
+@lru_cache(maxsize=4096)
+def necessary_literals(pattern: str, most: int = 4) -> tuple[frozenset[str], ...]:
+    """Sets of literals; every match contains one of each set.  The most telling ones come first.
+
+    Testing several before the expression also keeps patterns with more than one ``.*`` away from
+    very long lines they cannot match, where backtracking would be quadratic.
+    """
+    ranked = sorted({_minimal(c) for c in _conditions(pattern) if c}, key=_weight, reverse=True)
+    kept: list[frozenset[str]] = []
+    for option in ranked:
+        if not any(all(any(lit in k for lit in option) for k in have) for have in kept):
+            kept.append(option)  # not implied by one that is kept already
+    return tuple(kept[:most])
+
+
 @lru_cache(maxsize=4096)
 def _conditions(pattern: str) -> tuple[frozenset[str], ...]:
     return tuple(_candidates(sre_parser.parse(pattern)))
@@ -101,10 +116,14 @@ def _candidates(tokens) -> list[frozenset[str]]:
             run += chr(arg).lower()
             continue
         if op is sre.BRANCH:
-            arms = [_best(_candidates(arm)) for arm in arg[1]]
+            arms = [_candidates(arm) for arm in arg[1]]
+            best = [_best(arm) for arm in arms]
             heads = [_leading_literal(arm) for arm in arg[1]]
-            if all(arms):
-                found.append(frozenset().union(*arms))
+            if all(best):
+                # One condition of an arm, or else the best one of each other arm.
+                found += list(dict.fromkeys(
+                    frozenset(option).union(*best[:i], *best[i + 1:])
+                    for i, arm in enumerate(arms) for option in arm if option))
             if run and all(heads):
                 found.append(frozenset(run + h for h in heads))
         if run:
@@ -136,7 +155,12 @@ def _minimal(literals: frozenset[str]) -> frozenset[str]:
 def _best(options: list[frozenset[str]]) -> frozenset[str]:
     """The condition that is cheapest to test and least likely to hold."""
     usable = [_minimal(o) for o in options if o]
-    return max(usable, key=lambda o: (min(map(len, o)) / len(o) ** 0.5, sorted(o)), default=frozenset())
+    return max(usable, key=_weight, default=frozenset())
+
+
+def _weight(literals: frozenset[str]) -> tuple:
+    """Long and few literals are telling."""
+    return min(map(len, literals)) / len(literals) ** 0.5, sorted(literals)
 
 
 def gate(lowered: Column, non_ascii: Column, literals: frozenset[str]) -> Column:

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.regex import (gate, gate_sql, matches, matches_sql, required_literals,
-                               shared_gates, spark_regex, sql_text)
+from ..functions.regex import (gate, gate_sql, matches, matches_sql, necessary_literals,
+                               required_literals, shared_gates, spark_regex, sql_text)
 from ..functions.text import snippet, strip
 from ..rules.catalog import (ANALYZERS, DEFAULT_EXTENSIONS, ESCAPE_FUNCTIONS, LANGUAGES,
                              LINE_EXTENSIONS, SANITIZERS, SMELL_EXTENSIONS, Rule)
@@ -113,7 +113,7 @@ def _rule_mask(rules: list[tuple[int, Rule]]) -> str:
     """SQL text of the mask of the rules that match a line.
 
     Rules are grouped by a literal they share, so that most lines are done after one substring
-    test per group; a rule's own literal comes next and its expression last.
+    test per group; a rule's own literals come next and its expression last.
     """
     parts = []
     for literals, members in shared_gates([r.regex for _, r in rules]):
@@ -121,10 +121,9 @@ def _rule_mask(rules: list[tuple[int, Rule]]) -> str:
         for i in members:
             bit, rule = rules[i]
             test = matches_sql("line_text", rule.regex, rule.ignore_case)
-            own = required_literals(rule.regex)
-            if own != literals:
-                test = f"{gate_sql('lowered', 'non_ascii', own)} AND {test}"
-            masks.append(f"if({test}, {1 << bit}L, 0L)")
+            own = [gate_sql("lowered", "non_ascii", c) for c in necessary_literals(rule.regex)
+                   if c != literals]
+            masks.append(f"if({' AND '.join([*own, test])}, {1 << bit}L, 0L)")
         gated = gate_sql("lowered", "non_ascii", literals)
         parts.append(f"if({gated}, {' | '.join(masks)}, 0L)")
     return "(" + " | ".join(parts) + ")"

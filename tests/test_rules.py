@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from sourcesweep import build_rules, custom_rule
-from sourcesweep.functions.regex import required_literals, shared_gates
+from sourcesweep.functions.regex import necessary_literals, required_literals, shared_gates
 from sourcesweep.operators.lines import line_findings
 from sourcesweep.rules.catalog import ESCAPE_FUNCTIONS, LANGUAGES, LINE_EXTENSIONS, SANITIZERS
 from sourcesweep.workload.pools import CODE_POOL as POOL
@@ -71,11 +71,18 @@ def test_literals_are_necessary(rule, line, at, extra):
         low = line.lower()
         literals = required_literals(rule.regex)
         assert not literals or any(x in low for x in literals)
+        assert all(any(x in low for x in c) for c in necessary_literals(rule.regex))
         [(shared, _)] = [g for g in shared_gates([r.regex for r in RULES])
                          if RULES.index(rule) in g[1]]
         assert not shared or any(x in low for x in shared)
 
 
+def test_long_lines_stay_cheap(files_of):
+    filler = "SELECT a.b " * 12_000  # what the first SQL rules start on, without what they end on
+    df = files_of({"a.php": filler, "b.js": filler, "c.py": filler, "d.java": filler})
+    assert {r.rule_id for r in line_findings(df, RULES).collect()} <= {"SQLI-JAVA-3"}
+
+
 def test_repartitioning_and_splitting_change_nothing(files_of):
     contents = {f"src/f{i}.php": "\n".join(CODE_POOL[i::7]) for i in range(7)}
     whole = files_of(contents)
