@@ -63,6 +63,20 @@ DISPLAY = {
     "code-smell": ("Code Smells", "long functions and lines, deep nesting, leftovers"),
     "secrets-scanner": ("Secrets", "credentials and high-entropy strings in source text"),
 }
+SOURCES = {
+    "nvd": ("National Vulnerability Database", "matched by keywords in the description"),
+    "osv": ("Open Source Vulnerabilities", "matched by package and version"),
+    "github-advisory": ("GitHub Advisories", "matched by package"),
+}
+OPTIONS = {
+    "xss-detector": ("allow_sanitizers=True",),
+    "auth-checker": ("critical_endpoints=delete,remove,admin,destroy,update,create",
+                     "check_password_hashing=True", "check_jwt=True"),
+    "csrf-protection": ("critical_methods=POST,PUT,DELETE,PATCH", "check_forms=True",
+                        "check_apis=True"),
+    "code-smell": ("max_function_lines=50", "max_parameters=5", "max_nesting=4"),
+    "secrets-scanner": ("min_entropy=4.5", "check_entropy=True", "ignore_test_files=True"),
+}
 _WHY_AND_FIX = {
     "LINE": ("the line matches a pattern that often hides a risk",
              "Move secrets and switches to configuration and use safe library calls"),
@@ -159,9 +173,10 @@ def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFra
         "severity string, issue string, message string, recommendation string"))
 
 
-def analyzers_frame(spark: SparkSession) -> DataFrame:
-    """The analyzer list with display names, sorted by name."""
-    rows = [(name, title, text) for name, (title, text) in sorted(DISPLAY.items())]
-    return spark.createDataFrame(rows, "analyzer string, display_name string, description string")
-
-
+def catalogue_frame(spark: SparkSession) -> DataFrame:
+    """Analyzers and advisory sources with their keyword options, sorted by kind and name."""
+    rows = [("analyzer", name, *DISPLAY[name], list(OPTIONS.get(name, ()))) for name in DISPLAY]
+    rows += [("source", name, *text, []) for name, text in SOURCES.items()]
+    return spark.createDataFrame(sorted(rows), (
+        "kind string, name string, display_name string, description string, "
+        "options array<string>")).orderBy("kind", "name")

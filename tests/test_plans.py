@@ -125,6 +125,13 @@ def test_extension_points(spark, small):
         plan._ADVISORY_TABLES.clear()
 
 
+def test_catalogue(spark):
+    rows = sw.catalogue_frame(spark).collect()
+    assert [(r.kind, r.name) for r in rows] == sorted((r.kind, r.name) for r in rows)
+    assert {r.name for r in rows} >= {"nvd", "osv", "github-advisory", "code-smell"}
+    assert next(r for r in rows if r.name == "code-smell").options[0] == "max_function_lines=50"
+
+
 def test_streaming_equals_batch(spark, small, tmp_path):
     source = str(tmp_path / "in")
     small.repartition(3).write.parquet(source)
