@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, near_dedup, secrets, substrings
+from . import bpe, chat, decontamination, html, near_dedup, pii, quality, secrets, substrings, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -73,7 +73,29 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), F.col("valid").alias("in_order"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_circulant_minhash, op4_substring_dedup, op5_bpe, op6_chat_format)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[_count(k) for k in pii.KINDS], F.sha2(_written("spans", "likely"), 256).alias("base_sha256"),
+                        _written("spans").alias("spans"), _count("likely"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        F.size("passages").cast("long").alias("n_passages"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_circulant_minhash, op4_substring_dedup, op5_bpe, op6_chat_format,
+                                   op7_pii, op8_quality_rules, op9_toxicity, op10_html_extraction)}
 
 #: Equal SQL, where SQL can say it.
 ORACLES: dict[str, str] = {}

@@ -78,6 +78,25 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint
     return mix(out)
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the first bytes of each run: a column for each length, and one for the whole run; 0 where it is too short."""
+    out = np.zeros((len(starts), len(lengths) + 1), np.uint64)
+    inverse, i = _inverse(_BASE), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _CHUNK)))
+        a, b = int(starts[i]), int(ends[j - 1])
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * powers(_BASE, b - a), out=total[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        back, head = powers(inverse, b - a)[s], total[s]
+        for k, n in enumerate(lengths):
+            f = np.minimum(s + n, e)
+            out[i:j, k] = np.where(e - s > n, mix((total[f] - head) * back + np.uint64(n << 32)), 0)
+        out[i:j, -1] = mix((total[e] - head) * back + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 def window_hashes(values: np.ndarray, n: int, second: bool = False) -> np.ndarray:
     """A hash of each ``n`` consecutive values; whether they are of one row is for the caller to see."""
     if len(values) < n:

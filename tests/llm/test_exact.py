@@ -138,3 +138,20 @@ def test_turn_order(spark):
     rows = [(1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (2, 0, "assistant"), (3, 0, "user"), (4, 0, "user"), (4, 1, "user"), (4, 2, "assistant")]
     made = chat.format_conversations(spark.createDataFrame([(*x, "t") for x in rows], "conv_id long, turn long, role string, text string"))
     assert {r["conv_id"]: (r["valid"], r["wrong_turn"]) for r in made.collect()} == {1: (True, None), 2: (False, 0), 3: (False, None), 4: (False, 1)}
+
+
+def test_private(spark, folder):
+    found = got(spark, "op7", folder, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    for d, text in rows_of(folder, "documents", "doc_id", "text"):
+        want = brute.private(text)
+        n = [sum(k == x for _, _, x in want) for k in ("email", "ip", "card", "phone")]
+        assert found[d][:5] == (*n, brute.sha(brute.named(want))), (d, want, found[d], text[:300])
+        assert ",".join(x for x in found[d][5].split(",") if x and not x.startswith("likely:")) == brute.named(want)
+
+
+def test_quality(spark, folder):
+    found = got(spark, "op8", folder, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for d, text in rows_of(folder, "documents", "doc_id", "text"):
+        want = brute.quality(text)
+        assert found[d][:6] == want, (d, text)
+        assert not (found[d][5] and found[d][6])
