@@ -4,9 +4,10 @@ Two permutations make a whole signature: one spreads the shingles over a ring of
 places; coordinate k is the least rank over the set when the ranks are shifted by k. Signatures are cut into bands,
 documents that share a band are candidates, and every link is confirmed on the full shingle sets of both texts.
 
-Copies of a set count once. A band's members are linked to its smallest document first, then, where components still meet
-in a band, to one another across components, so that a large group costs a link per member and not all pairs, and no link
-between different components is left untested.
+Copies of a set count once. Each candidate is compared with the document in its bands that meets most others, then with two
+members of each band, and last, where components still meet in a band, with all members of the other components whose number
+of shingles of their own leaves a link possible. So a large group costs a few comparisons per member and not all pairs, and no
+link between different components is left untested.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,11 +144,35 @@ def components(links: DataFrame) -> DataFrame:
                 .agg(F.min("label").alias("near")))
         passed = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        labels = save(passed.join(jump, "label").select("id", "old", F.least("label", "far").alias("label")))
-        if labels.where("old <> label").isEmpty():
+        moved = Observation()
+        labels = save(passed.join(jump, "label").select("id", "old", F.least("label", "far").alias("label"))
+                      .observe(moved, F.count(F.when(F.col("old") != F.col("label"), 1)).alias("n")))
+        if not moved.get["n"]:
             return labels.select("id", "label")
 
 
+def _relabelled(named: DataFrame, links: DataFrame) -> DataFrame:
+    """id and own, after links between the labels ``own`` have been added."""
+    more = components(links).select(F.col("id").alias("own"), "label")
+    return save(named.join(more, "own", "left").select("id", F.coalesce("label", "own").alias("own")))
+
+
+def unshared(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """id and alone: how many of its shingles no other document of ``ids`` has."""
+    def work(batch):
+        unpack, out = zstandard.ZstdDecompressor().decompress, []
+        for low in range(0, batch.num_rows, 256):
+            packs = [unpack(x).decode() for x in batch.column(1).slice(low, 256).to_pylist()]
+            for _, _, data, offsets in blocks(pa.array(packs, pa.large_string())):
+                out += shingle_sets(data, offsets, size)
+        at = np.repeat(np.arange(len(out)), [len(x) for x in out])
+        return {"id": batch.column(0).take(pa.array(at)), "h": np.concatenate(out).view(np.int64) if out else []}
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType())])
+    return (map_rows(texts.join(ids, "id", "left_semi").select("id", "pack"), work, schema)
+            .groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone")))
+
+
 def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (it is its own).
 
@@ -160,42 +185,55 @@ def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
     of = save(prints.select("id", "n", "d1", "d2").join(heads, ["d1", "d2", "n"], "left")
               .select("id", "n", F.coalesce("head", "id").alias("head")))
     single = prints.where("n > 0").join(of.where("id = head and n > 0").select("id").distinct(), "id", "left_semi")
-    keyed = single.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    members = save(keyed.join(shared, "key").distinct())
+    keyed = single.select("id", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    members = save(keyed.join(shared, "key").select("key", "id", "n", "size").distinct())
+    # who meets most others is likely what they were copied from
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     texts = save(packed(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")))
-                 .join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    sizes = of.select("id", "n").distinct()
-
-    # one link for each member, to the smallest document it shares a band with
-    first = save(members.where("lead < id").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
-    links = save(confirmed(first, texts, shingle, percent))
-    # then to the other leading documents, and last across components that still meet in a band
-    for step in ("leads", "all"):
-        label = components(links)
-        named = members.join(label, "id", "left").select("key", "id", "lead", F.coalesce("label", "id").alias("own"))
-        if step == "leads":
-            lead = label.select(F.col("id").alias("lead"), F.col("label").alias("other"))
-            pairs = (named.join(lead, "lead", "left").where("lead < id and own <> coalesce(other, lead)")
-                     .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-        else:
-            mixed = named.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
-            open_ = save(named.join(mixed, "key", "left_semi").join(sizes, "id").select("key", "id", "own", "n"))
-            kinds = open_.select("key", "own").distinct()
-            across = (kinds.select("key", F.col("own").alias("own_a")).join(kinds.select("key", F.col("own").alias("own_b")), "key")
-                      .where("own_a < own_b"))
-            one = open_.select("key", F.col("own").alias("own_a"), F.col("id").alias("x"), F.col("n").alias("n_x"))
-            two = open_.select("key", F.col("own").alias("own_b"), F.col("id").alias("y"), F.col("n").alias("n_y"))
-            pairs = (across.join(one, ["key", "own_a"]).join(two, ["key", "own_b"])
-                     .where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-                     .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        links = save(links.union(confirmed(save(pairs), texts, shingle, percent)).distinct())
-    label = components(links)
-    return (of.join(label.select(F.col("id").alias("head"), "label"), "head", "left")
-            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id"))
+                 .join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    weighed = members.join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("least")).alias("rank"))
+    centre = weighed.groupBy("key").agg(F.max("rank").alias("centre"))
+
+    # one link for each member, to the heaviest document it shares a band with
+    first = (weighed.join(centre, "key").groupBy(F.col("id").alias("b")).agg(F.max("centre").alias("centre"))
+             .select((-F.col("centre.least")).alias("a"), "b").where("a <> b"))
+    label = components(save(confirmed(save(first), texts, shingle, percent)))
+    named = save(members.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("own")))
+
+    # then to one or two members of each band, different ones in each
+    mark = F.struct(F.xxhash64("key", "id").alias("by"), "id", "own")
+    met = members.join(named, "id").select("key", "id", "own", mark.alias("mark"))
+    picked = met.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min("mark").alias("one"), F.max("mark").alias("two")).where("low < high")
+    pairs = (met.join(picked, "key").select("id", "own", F.explode(F.array("one", "two")).alias("lead")).where("own <> lead.own")
+             .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct())
+    named = _relabelled(named, _between(confirmed(save(pairs), texts, shingle, percent), named))
+
+    # and last every two members of a band that are still apart and not too different in what only they have
+    met = members.join(named, "id").select("key", "id", "n", "own")
+    mixed = met.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
+    open_ = save(met.join(mixed, "key", "left_semi"))
+    alone = unshared(open_.select("id").distinct(), texts, shingle)
+    # an intersection has no more than n - alone shingles, a union no fewer than n and what the other has alone
+    sized = save(open_.join(alone, "id", "left").select("key", "id", "own", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+                 .where(f"100 * (n - alone) >= {percent} * n"))
+    one, two = (sized.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "n", "alone")]) for s in "xy")
+    pairs = (one.join(two, "key").where("own_x < own_y").where(
+        f"100 * least(n_x - alone_x, n_y - alone_y) >= {percent} * greatest(n_x + alone_y, n_y + alone_x)")
+        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
+    named = _relabelled(named, _between(confirmed(save(pairs), texts, shingle, percent), named))
+    return (of.join(named.select(F.col("id").alias("head"), "own"), "head", "left")
+            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("own", "head").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _between(links: DataFrame, named: DataFrame) -> DataFrame:
+    """The labels that links lead between."""
+    return (links.join(named.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
+            .join(named.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
+            .select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).distinct())
+
+
 def deduplicate(docs: DataFrame, *, id_: str = "doc_id", **options) -> DataFrame:
     """The documents of which no near copy has a smaller id, with all their columns. Rows without id stay."""
     drop = near_duplicates(docs, id_=id_, **options).where("not kept").select(F.col("doc_id").alias("_drop")).distinct()

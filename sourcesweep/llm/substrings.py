@@ -2,7 +2,7 @@
 
 Only windows that begin at positions of a difference cover (modulo a period) are hashed and grouped. For any two positions
 some shift below the period puts both on the cover, so every long common passage has an anchor that both documents hash.
-Around anchors that two documents share, whole windows are then compared, by 128-bit hashes, and the smallest document that
+Around anchors that two documents share, whole windows are then compared, by 96-bit hashes, and the smallest document that
 has a window keeps it.
 """
 
@@ -72,7 +72,7 @@ def anchors(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFram
 def windows(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFrame:
     """w1, w2, id, start of every window around a shared anchor; ``docs`` has id, text and shared (hashes, or null)."""
     length = anchor_length(window, period)
-    schema = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()),
+    schema = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.IntegerType()),
                            T.StructField("id", docs.schema[0].dataType), T.StructField("start", T.IntegerType())])
 
     def work(batch):
@@ -100,7 +100,7 @@ def windows(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFram
             for x, y in zip(out, (one[use], two[use], row[use] + low, use - first[row[use]])):
                 x.append(y)
         one, two, at, start = (np.concatenate(x) if x else np.zeros(0, np.uint64 if k < 2 else np.int64) for k, x in enumerate(out))
-        return {"w1": one.view(np.int64), "w2": two.view(np.int64), "id": batch.column(0).take(pa.array(at)), "start": start.astype(np.int32)}
+        return {"w1": one.view(np.int64), "w2": (two >> np.uint64(32)).astype(np.uint32).view(np.int32), "id": batch.column(0).take(pa.array(at)), "start": start.astype(np.int32)}
 
     return map_rows(docs, work, schema, text="text")
 
@@ -112,20 +112,38 @@ def _removed(starts: list, window: int) -> np.ndarray:
     return np.stack([at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + window], 1)
 
 
+def copies(docs: DataFrame, window: int) -> DataFrame:
+    """Ids of documents of ``window`` words or more whose whole sequence of words a smaller id has."""
+    schema = T.StructType([T.StructField("id", docs.schema[0].dataType), T.StructField("print", T.BinaryType())])
+
+    def work(batch):
+        split = [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        return {"id": batch.column(0), "print": [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if len(w) >= window else None for w in split]}
+
+    prints = map_rows(docs, work, schema, text="text").where("id is not null and print is not null")
+    first = prints.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("print", "first")
+    return prints.join(first, "print").where("first < id").select("id").distinct().withColumn("copy", F.lit(True))
+
+
 def repeated_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", window: int = WINDOW,
                       period: int = PERIOD, cover: tuple = COVER) -> DataFrame:
-    """id, text, and starts: where windows begin, in words, that also begin in a document of a smaller id (null: none).
+    """id, text, copy (true: a smaller id has all its words) and, for others, starts: where windows begin, in words, that
+    also begin in a document of a smaller id (null: none).
 
-    Null texts have no words. Rows that repeat an id are one document each, neither smaller than the other. Null ids take no part.
+    Copies stand aside, so that a group of them counts as one document. Null texts have no words. Rows that repeat an id are one
+    document each, neither smaller than the other. Null ids take no part.
     """
     base = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
-    found = anchors(base.where("id is not null"), window, period, cover)
+    # dealt by id once; all that follows reads this exchange
+    held = base.join(copies(base, window), "id", "left").select("id", "text", "copy")
+    own = held.where("copy is null and id is not null").select("id", "text")
+    found = anchors(own, window, period, cover)
     shared = found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     per = found.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("shared"))
-    seen = windows(base.join(per, "id", "left").select("id", "text", "shared"), window, period, cover)
+    seen = windows(held.select("id", "text").join(per, "id", "left").select("id", "text", "shared"), window, period, cover)
     least = seen.groupBy("w1", "w2").agg(F.min("id").alias("least"))
     later = seen.join(least, ["w1", "w2"]).where("least < id").groupBy("id").agg(F.collect_set("start").alias("starts"))
-    return base.join(later, "id", "left").select("id", "text", "starts")
+    return held.join(later, "id", "left").select("id", "text", "copy", "starts")
 
 
 def remove_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -136,10 +154,10 @@ def remove_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
 
     def work(batch):
         out = {"doc_id": batch.column(0), "n_words": [], "n_removed": [], "kept": []}
-        for t, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+        for t, copy, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             words = (t or b"").split()  # at space and \t to \r
-            keep = words
-            if starts:
+            keep = [] if copy and len(words) >= window else words
+            if starts and keep:
                 keep, last = [], 0
                 for s, e in _removed(starts, window).tolist():
                     keep += words[last:s]
@@ -151,7 +169,3 @@ def remove_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
         return out
 
     return map_rows(found, work, schema, text="text")
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
