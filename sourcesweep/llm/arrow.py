@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -19,7 +20,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and where each row begins and ends; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     size = int(at[-1])
@@ -36,6 +37,22 @@ def blocks(column, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndar
         low = high
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """id and text, the two columns of ``df``, as id and pack: compressed text, which moves and rests at less than half the size."""
+    def work(batch):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return {"id": batch.column(0), "pack": [pack(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]}
+
+    schema = StructType([StructField("id", df.schema[0].dataType), StructField("pack", BinaryType())])
+    return map_rows(df, work, schema, text=df.columns[1])
+
+
+def unpacked(column) -> pa.Array:
+    """Texts, as bytes, of packs; null counts as empty."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) if x else b"" for x in column.to_pylist()], pa.large_binary())
+
+
 def map_rows(df: DataFrame, work: Callable, schema: StructType, limit: int = 4 * BLOCK_BYTES, text: str | None = None) -> DataFrame:
     """Rows of ``schema`` that ``work(batch)`` makes (a dict of columns) from parts of each batch of ``df``.
 

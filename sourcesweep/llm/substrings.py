@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .arrow import blocks, map_rows
+from .arrow import blocks, map_rows, packed, unpacked
 
 WINDOW = 50
 #: Every difference modulo 31 occurs between two of these positions (a perfect difference set).
@@ -44,16 +44,19 @@ def _anchors(hashed: np.ndarray, row: np.ndarray, first: np.ndarray, length: int
     on = np.zeros(period, bool)
     on[list(cover)] = True
     at = np.flatnonzero(on[own % period] & (row[:n] == row[length - 1:length - 1 + n]))
-    return at, whole[at]
+    return at, whole[at] >> np.uint64(16)
 
 
 def anchors(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFrame:
-    """h and id, once for each anchor of a document (id and text are the columns of ``docs``)."""
+    """h and id, once for each anchor of a document (id and pack are the columns of ``docs``).
+
+    An anchor's hash has 48 bits: a chance meeting only has windows compared in vain.
+    """
     length = anchor_length(window, period)
 
     def work(batch):
         ids, out = batch.column(0), ([], [])
-        for low, high, data, offsets in blocks(batch.column(1)):
+        for low, high, data, offsets in blocks(unpacked(batch.column(1))):
             hashed, row, first = _hashed(data, offsets)
             at, h = _anchors(hashed, row, first, length, period, cover)
             order = np.lexsort((h, row[at]))
@@ -66,11 +69,11 @@ def anchors(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFram
         h = np.concatenate(out[0]) if out[0] else np.zeros(0, np.uint64)
         return {"h": h.view(np.int64), "id": ids.take(pa.array(at))}
 
-    return map_rows(docs, work, T.StructType([T.StructField("h", T.LongType()), T.StructField("id", docs.schema[0].dataType)]), text="text")
+    return map_rows(docs, work, T.StructType([T.StructField("h", T.LongType()), T.StructField("id", docs.schema[0].dataType)]), text="pack")
 
 
 def windows(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFrame:
-    """w1, w2, id, start of every window around a shared anchor; ``docs`` has id, text and shared (hashes, or null)."""
+    """w1, w2, id, start of every window around a shared anchor; ``docs`` has id, pack and shared (hashes, or null)."""
     length = anchor_length(window, period)
     schema = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.IntegerType()),
                            T.StructField("id", docs.schema[0].dataType), T.StructField("start", T.IntegerType())])
@@ -81,7 +84,7 @@ def windows(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFram
         lists = flat.cast(pa.large_list(pa.int64()))
         ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset:lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int64)
         values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64) if len(lists.values) else np.zeros(0, np.uint64)
-        for low, high, data, offsets in blocks(batch.column(1)):
+        for low, high, data, offsets in blocks(unpacked(batch.column(1))):
             if ends[low] == ends[high]:
                 continue
             hashed, row, first = _hashed(data, offsets)
@@ -102,7 +105,7 @@ def windows(docs: DataFrame, window: int, period: int, cover: tuple) -> DataFram
         one, two, at, start = (np.concatenate(x) if x else np.zeros(0, np.uint64 if k < 2 else np.int64) for k, x in enumerate(out))
         return {"w1": one.view(np.int64), "w2": (two >> np.uint64(32)).astype(np.uint32).view(np.int32), "id": batch.column(0).take(pa.array(at)), "start": start.astype(np.int32)}
 
-    return map_rows(docs, work, schema, text="text")
+    return map_rows(docs, work, schema, text="pack")
 
 
 def _removed(starts: list, window: int) -> np.ndarray:
@@ -127,7 +130,7 @@ def copies(docs: DataFrame, window: int) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", window: int = WINDOW,
                       period: int = PERIOD, cover: tuple = COVER) -> DataFrame:
-    """id, text, copy (true: a smaller id has all its words) and, for others, starts: where windows begin, in words, that
+    """id, pack (the text, compressed), copy (true: a smaller id has all its words) and, for others, starts: where windows begin, in words, that
     also begin in a document of a smaller id (null: none).
 
     Copies stand aside, so that a group of them counts as one document. Null texts have no words. Rows that repeat an id are one
@@ -135,15 +138,15 @@ def repeated_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text
     """
     base = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
     # dealt by id once; all that follows reads this exchange
-    held = base.join(copies(base, window), "id", "left").select("id", "text", "copy")
-    own = held.where("copy is null and id is not null").select("id", "text")
+    held = packed(base).join(copies(base, window), "id", "left").select("id", "pack", "copy")
+    own = held.where("copy is null and id is not null").select("id", "pack")
     found = anchors(own, window, period, cover)
     shared = found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     per = found.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("shared"))
-    seen = windows(held.select("id", "text").join(per, "id", "left").select("id", "text", "shared"), window, period, cover)
+    seen = windows(held.select("id", "pack").join(per, "id", "left").select("id", "pack", "shared"), window, period, cover)
     least = seen.groupBy("w1", "w2").agg(F.min("id").alias("least"))
     later = seen.join(least, ["w1", "w2"]).where("least < id").groupBy("id").agg(F.collect_set("start").alias("starts"))
-    return held.join(later, "id", "left").select("id", "text", "copy", "starts")
+    return held.join(later, "id", "left").select("id", "pack", "copy", "starts")
 
 
 def remove_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -154,7 +157,7 @@ def remove_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
 
     def work(batch):
         out = {"doc_id": batch.column(0), "n_words": [], "n_removed": [], "kept": []}
-        for t, copy, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for t, copy, starts in zip(unpacked(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             words = (t or b"").split()  # at space and \t to \r
             keep = [] if copy and len(words) >= window else words
             if starts and keep:
@@ -168,4 +171,4 @@ def remove_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
             out["kept"].append(b" ".join(keep))
         return out
 
-    return map_rows(found, work, schema, text="text")
+    return map_rows(found, work, schema, text="pack")
