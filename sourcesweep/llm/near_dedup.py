@@ -5,8 +5,8 @@ places; coordinate k is the least rank over the set when the ranks are shifted b
 documents that share a band are candidates, and every link is confirmed on the full shingle sets of both texts.
 
 Copies of a set count once. Each candidate is compared with the document in its bands that meets most others, then with two
-members of each band, and last, where components still meet in a band, with all members of the other components whose number
-of shingles of their own leaves a link possible. So a large group costs a few comparisons per member and not all pairs, and no
+members of each band, and last, where components still meet in a band, with all members of the other components that share one of its
+rarest shingles, as linked sets must (prefix filtering). So a large group costs a few comparisons per member and not all pairs, and no
 link between different components is left untested.
 """
 
@@ -14,13 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .arrow import blocks, map_rows
+from .arrow import blocks, map_rows, packed, unpacked
 from .store import save
 
 SHINGLE, PERCENT = 2, 80
@@ -28,6 +27,8 @@ SHINGLE, PERCENT = 2, 80
 ROWS, BANDS = 5, 40
 RING = 1 << 20
 SEED = 20240607
+#: Cells in which shingles are counted to tell rare ones.
+CELLS = 1 << 18
 
 _table: dict = {}
 
@@ -96,13 +97,8 @@ def fingerprints(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
     return map_rows(docs.select(F.col(id_).cast("long"), F.col(text)), work, schema, text=text)
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """id and text, compressed: what verification moves."""
-    def work(batch):
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return {"id": batch.column(0), "pack": [pack((x or "").encode()) for x in batch.column(1).to_pylist()]}
-
-    return map_rows(df, work, T.StructType([T.StructField("id", T.LongType()), T.StructField("pack", T.BinaryType())]), text=df.columns[1])
+def _sets(packs, size: int) -> list[np.ndarray]:
+    return [x for _, _, data, offsets in blocks(unpacked(packs)) for x in shingle_sets(data, offsets, size)]
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -111,18 +107,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
              .join(texts.select(F.col("id").alias("b"), F.col("pack").alias("pack_b")), "b"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def members(packs):
-        unpack = zstandard.ZstdDecompressor().decompress
-        out: list = []
-        for _, _, data, offsets in blocks(pa.array([unpack(x).decode() for x in packs], pa.large_string())):
-            out += shingle_sets(data, offsets, size)
-        return out
-
     def work(batch):
         keep = np.zeros(batch.num_rows, bool)
         for low in range(0, batch.num_rows, 256):  # so many texts at a time
             part = batch.slice(low, 256)
-            left, right = (members(part.column(c).to_pylist()) for c in ("pack_a", "pack_b"))
+            left, right = (_sets(part.column(c), size) for c in ("pack_a", "pack_b"))
             for k, (x, y) in enumerate(zip(left, right)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[low + k] = 100 * both >= percent * (len(x) + len(y) - both) and len(x) > 0
@@ -157,20 +146,46 @@ def _relabelled(named: DataFrame, links: DataFrame) -> DataFrame:
     return save(named.join(more, "own", "left").select("id", F.coalesce("label", "own").alias("own")))
 
 
-def unshared(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """id and alone: how many of its shingles no other document of ``ids`` has."""
-    def work(batch):
-        unpack, out = zstandard.ZstdDecompressor().decompress, []
+def _cell(members: np.ndarray) -> np.ndarray:
+    return (members & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def prefixes(ids: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """id, n, h, place: the rarest shingles of each document, as many as a link allows to differ, with their place from 1.
+
+    Rarity is counted in ``CELLS`` cells over the documents of ``ids``; only the counts come to the driver.
+    """
+    own = save(texts.join(ids, "id", "left_semi"))
+    cells = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
+
+    def tally(batch):
+        n = np.zeros(CELLS, np.int64)
+        for low in range(0, batch.num_rows, 256):
+            for x in _sets(batch.column(0).slice(low, 256), size):
+                n += np.bincount(_cell(x), minlength=CELLS) if len(x) > CELLS else 0
+                if len(x) <= CELLS:
+                    np.add.at(n, _cell(x), 1)
+        at = np.flatnonzero(n)
+        return {"cell": at, "n": n[at]}
+
+    count = np.zeros(CELLS, np.int64)
+    for cell, n in map_rows(own.select("pack"), tally, cells).groupBy("cell").agg(F.sum("n")).collect():
+        count[cell] = n
+
+    def rarest(batch):
+        at, n, h, place = [], [], [], []
         for low in range(0, batch.num_rows, 256):
-            packs = [unpack(x).decode() for x in batch.column(1).slice(low, 256).to_pylist()]
-            for _, _, data, offsets in blocks(pa.array(packs, pa.large_string())):
-                out += shingle_sets(data, offsets, size)
-        at = np.repeat(np.arange(len(out)), [len(x) for x in out])
-        return {"id": batch.column(0).take(pa.array(at)), "h": np.concatenate(out).view(np.int64) if out else []}
+            for k, x in enumerate(_sets(batch.column(1).slice(low, 256), size)):
+                first = x[np.lexsort((x, count[_cell(x)]))][:len(x) - -(-percent * len(x) // 100) + 1]
+                at.append(np.full(len(first), low + k))
+                n.append(np.full(len(first), len(x)))
+                h.append(first)
+                place.append(np.arange(1, len(first) + 1))
+        at, n, h, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, n, h, place))
+        return {"id": batch.column(0).take(pa.array(at)), "n": n, "h": h.astype(np.uint64).view(np.int64), "place": place}
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType())])
-    return (map_rows(texts.join(ids, "id", "left_semi").select("id", "pack"), work, schema)
-            .groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone")))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "n", "h", "place")])
+    return map_rows(own.select("id", "pack"), rarest, schema)
 
 
 def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -209,18 +224,16 @@ def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
              .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct())
     named = _relabelled(named, _between(confirmed(save(pairs), texts, shingle, percent), named))
 
-    # and last every two members of a band that are still apart and not too different in what only they have
-    met = members.join(named, "id").select("key", "id", "n", "own")
+    # and last all members of bands where components still meet. Sets whose union has no more than 100 / percent times the
+    # shingles of their intersection share one of the rarest that may differ, whatever the order is, if both take it by that order
+    met = members.join(named, "id").select("key", "id", "own")
     mixed = met.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
-    open_ = save(met.join(mixed, "key", "left_semi"))
-    alone = unshared(open_.select("id").distinct(), texts, shingle)
-    # an intersection has no more than n - alone shingles, a union no fewer than n and what the other has alone
-    sized = save(open_.join(alone, "id", "left").select("key", "id", "own", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
-                 .where(f"100 * (n - alone) >= {percent} * n"))
-    one, two = (sized.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "n", "alone")]) for s in "xy")
-    pairs = (one.join(two, "key").where("own_x < own_y").where(
-        f"100 * least(n_x - alone_x, n_y - alone_y) >= {percent} * greatest(n_x + alone_y, n_y + alone_x)")
-        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
+    open_ = save(met.join(mixed, "key", "left_semi").select("id", "own").distinct())
+    rare = save(prefixes(open_.select("id"), texts, shingle, percent).join(open_, "id"))
+    one, two = (rare.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "n", "place")]) for s in "xy")
+    least = f"ceil({percent} * (n_x + n_y) / {100 + percent})"  # shingles in common
+    pairs = (one.join(two, "h").where("own_x < own_y").where(f"place_x <= n_x - {least} + 1 and place_y <= n_y - {least} + 1")
+             .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
     named = _relabelled(named, _between(confirmed(save(pairs), texts, shingle, percent), named))
     return (of.join(named.select(F.col("id").alias("head"), "own"), "head", "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("own", "head").alias("component_id"))
