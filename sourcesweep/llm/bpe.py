@@ -3,18 +3,19 @@
 A text longer than a leaf is halved until its parts are leaves; all leaves are encoded, then halves are joined upwards: a
 window around the join is encoded again and grown until it agrees with both halves.
 
-Agreement is exact, not likely. The split pattern reads from left to right and looks ahead one character, so once a piece
-starts at the same place in two texts that go on alike, all further pieces are the same. A join therefore needs a place
-on the left where both the left half and the window start a piece, and one on the right, each further from the cuts than an
-added token is long. Inside one run of letters or of digits, where no piece starts, BPE itself decides: a sequence of tokens
-is the encoding exactly if every two neighbours are, so equal tokens on both sides of a place serve as well.
+Agreement is exact, not likely. The split pattern reads from left to right and looks ahead one character, and no piece
+runs across the place before a single space between two other characters: pieces start there in every text around it. A
+join needs such a place on the left where both the left half and the window have a token boundary, and one on the right, each
+further from the cuts than an added token is long. Inside a run of letters or of digits, BPE itself decides: a sequence of
+tokens is the encoding exactly if every two neighbours are, so equal tokens on both sides of a place serve as well.
 """
 
 from __future__ import annotations
 
-import re
+import json
 
 import numpy as np
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,59 +24,48 @@ from .arrow import map_rows
 
 #: Longest part of a text, in code points, that is encoded at once, and the half width of the first window.
 LEAF, REACH = 16384, 96
+#: Fixed value: how byte-level vocabularies split text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _loaded: dict = {}
 
 
 class Codec:
-    """A byte-level BPE tokenizer file; one for each Python worker."""
+    """A byte-level BPE tokenizer file; one for each Python worker. Leaves are encoded by rank, which is the order of ids."""
 
     def __init__(self, path: str, leaf: int = LEAF, reach: int = REACH):
-        from tokenizers import Tokenizer
-
-        self.of, self.leaf, self.reach = Tokenizer.from_file(path), leaf, reach
-        self.of.no_truncation()
-        self.of.no_padding()
-        added = {i: t.content for i, t in self.of.get_added_tokens_decoder().items()}
-        self.special = re.compile("|".join(map(re.escape, sorted(added.values(), key=len, reverse=True))) or "(?!)")
-        self.margin = max(map(len, added.values()), default=0) + 2
+        with open(path, encoding="utf-8") as f:
+            read = json.load(f)
+        special = {t["content"]: t["id"] for t in read["added_tokens"]}
         letters = _byte_letters()
-        self.bytes = {i: added[i].encode() if i in added else bytes(letters[c] for c in t)
-                      for t, i in self.of.get_vocab(with_added_tokens=True).items()}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text."""
-        short = [k for k, t in enumerate(texts) if len(t) <= self.leaf]
-        out: list = [None] * len(texts)
-        for k, e in zip(short, self.of.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
-            out[k] = e.ids
-        for k, t in enumerate(texts):
-            if out[k] is None:
-                out[k] = [token[0] for token in self.tree(t)]
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
-    def tokens(self, texts: list[str], at: list[int]) -> list[list[tuple]]:
-        """(id, begin, end, whether a piece starts here) of all tokens; the texts lie at the places ``at``."""
-        out = []
-        for text, low, e in zip(texts, at, self.of.encode_batch(texts, add_special_tokens=False)):
-            starts, last = set(), 0
-            for m in [*self.special.finditer(text), None]:
-                part = text[last:m.start() if m else len(text)]
-                starts |= {last + s for _, (s, _) in self.of.pre_tokenizer.pre_tokenize_str(part)} if part else set()
-                if m:
-                    starts.add(m.start())
-                    last = m.end()
-            out.append([(i, s + low, f + low, s in starts) for i, (s, f) in zip(e.ids, e.offsets)])
-        return out
+        ranks = {bytes(letters[c] for c in t): i for t, i in read["model"]["vocab"].items() if t not in special}
+        self.of = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.leaf, self.reach, self.margin = leaf, reach, max(map(len, special), default=0) + 2
+        self.size = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for x, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.size[i] = len(x)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids, 32 bits each."""
+        if len(text) > self.leaf:
+            return np.array([t[0] for t in self.tree(text)], np.uint32)
+        return self.of.encode_to_numpy(text, allowed_special="all")
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.of.decode_bytes(ids.tolist()).decode("utf-8", "replace")
+
+    def tokens(self, text: str, low: int) -> list[tuple]:
+        """(id, begin, end) of all tokens, in code points from ``low`` on; a token with part of a character covers all of it."""
+        ids = self.of.encode_to_numpy(text, allowed_special="all")
+        first = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)  # characters up to each byte
+        end = np.cumsum(self.size[ids])
+        return list(zip(ids.tolist(), (first[end - self.size[ids]] - 1 + low).tolist(), (first[end - 1] + low).tolist()))
 
     def tree(self, text: str) -> list[tuple]:
         """Tokens of a long text."""
         levels = max(0, (-(-len(text) // self.leaf) - 1).bit_length())
         cuts = [len(text) * k >> levels for k in range((1 << levels) + 1)]
-        done = self.tokens([text[a:b] for a, b in zip(cuts, cuts[1:])], cuts)
+        done = [self.tokens(text[a:b], a) for a, b in zip(cuts, cuts[1:])]
         while len(done) > 1:
             done = [self.join(text, a, m, b, x, y) for a, m, b, x, y in zip(cuts[::2], cuts[1::2], cuts[2::2], done[::2], done[1::2])]
             cuts = cuts[::2]
@@ -86,7 +76,7 @@ class Codec:
         reach = max(self.reach, 4 * self.margin)
         while True:
             low, high = max(a, m - reach), min(b, m + reach)
-            window = self.tokens([text[low:high]], [low])[0]
+            window = self.tokens(text[low:high], low)
             clean = {t[1]: k for k, t in enumerate(window) if k == 0 or window[k - 1][2] <= t[1]}
             x = (0, 0) if low == a else _agree(text, left, range(len(left) - 1, 0, -1), window, clean, low + 1, m - self.margin)
             y = (len(right), len(window)) if high == b else _agree(text, right, range(1, len(right)), window, clean, m + self.margin, high - self.margin)
@@ -99,13 +89,15 @@ def _agree(text: str, half: list[tuple], order, window: list[tuple], clean: dict
     """The first place between low and high, in the given order, where half and window agree: its token in each."""
     forward = order.step > 0
     for i in order:
-        _, at, _, piece = half[i]
+        at = half[i][1]
         if (at > high) if forward else (at < low):
             return None
         j = clean.get(at)
-        if j and low <= at <= high and half[i - 1][2] <= at and window[j][3] == piece:
+        if j and low <= at <= high and half[i - 1][2] <= at:
+            if text[at] == " " and not text[at - 1].isspace() and not text[at + 1:at + 2].isspace():
+                return i, j
             run = text[at - 1:at + 1]
-            if piece or (run.isalpha() or run.isdecimal()) and half[i - 1][:3] == window[j - 1][:3] and half[i][:3] == window[j][:3]:
+            if (run.isalpha() or run.isdecimal()) and half[i - 1] == window[j - 1] and half[i] == window[j]:
                 return i, j
     return None
 
@@ -123,14 +115,20 @@ def _codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, *, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each text. Null is encoded as the empty text."""
+def encode(docs: DataFrame, path: str, *, id_: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each text. Null is encoded as the empty text.
+
+    With ``back`` also ``decoded``, the text of the tokens, made where they are made.
+    """
+    more = [T.StructField("decoded", T.StringType())] if back else []
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_].dataType), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", T.BinaryType())])
+                           T.StructField("ids", T.BinaryType()), *more])
 
     def work(batch):
-        ids = _codec(path).encode([t or "" for t in batch.column(1).to_pylist()])
-        return {"doc_id": batch.column(0), "n_tokens": [len(x) for x in ids], "ids": [np.array(x, "<u4").tobytes() for x in ids]}
+        of = _codec(path)
+        ids = [of.encode(t or "") for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids],
+                "decoded": [of.decode(x) for x in ids] if back else None}
 
     return map_rows(docs.select(F.col(id_), F.col(text).alias("text")), work, schema, limit=1 << 20, text="text")
 
@@ -142,6 +140,6 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
     def work(batch):
         of = _codec(path)
         return {f.name: batch.column(f.name) for f in schema[:-1]} | {
-            "decoded": [None if x is None else of.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column(ids).to_pylist()]}
+            "decoded": [None if x is None else of.decode(np.frombuffer(x, "<u4")) for x in batch.column(ids).to_pylist()]}
 
-    return map_rows(encoded, work, schema)
+    return map_rows(encoded, work, schema, text=ids)

@@ -55,7 +55,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), path, back=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -141,7 +141,7 @@ def repeated_passages(docs: DataFrame, *, id_: str = "doc_id", text: str = "text
     held = packed(base).join(copies(base, window), "id", "left").select("id", "pack", "copy")
     own = held.where("copy is null and id is not null").select("id", "pack")
     found = anchors(own, window, period, cover)
-    shared = found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
+    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     per = found.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("shared"))
     seen = windows(held.select("id", "pack").join(per, "id", "left").select("id", "pack", "shared"), window, period, cover)
     least = seen.groupBy("w1", "w2").agg(F.min("id").alias("least"))

@@ -66,14 +66,18 @@ def test_tree_concatenation_small_leaves():
     """Cuts at all kinds of places, also inside runs without any piece start."""
     import random
 
-    of = bpe.Codec(tokenizer_path(), leaf=40, reach=24)
+    from tokenizers import Tokenizer
+
+    of, library = bpe.Codec(tokenizer_path(), leaf=40, reach=24), Tokenizer.from_file(tokenizer_path())
     r = random.Random(1)
     kinds = ["abcdefgh", "0123456789", " \n\t", "'!?.-", "éß漢🙂", "the of ", "'s 'll 're", "<|endoftext|>"]
     for k in range(300):
         parts = ["".join(r.choice(r.choice(kinds)) for _ in range(r.randrange(1, 200))) if r.random() < 0.6 else r.choice(kinds) * r.randrange(1, 30) for _ in range(8)]
         text = "".join(parts)
-        assert [t[0] for t in of.tree(text)] == of.of.encode(text, add_special_tokens=False).ids, text
-        assert of.decode([t[0] for t in of.tree(text)]) == text
+        assert [t[0] for t in of.tree(text)] == library.encode(text, add_special_tokens=False).ids, text
+        assert of.decode(of.encode(text)) == text
+    for text in (" " * 90001, "!" * 50000 + "\n" * 50000, "ab" * 40000 + " x", "<|endoftext|>" * 5000):
+        assert of.encode(text).tolist() == bpe.Codec(tokenizer_path()).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_cover_has_every_difference():
