@@ -181,7 +181,7 @@ def find_secrets(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", ra
 
 def redact(docs: DataFrame, *, text: str = "text", rate: float = RATE, mark: str = "<SECRET>") -> DataFrame:
     """The documents, with their columns, with every secret in the text replaced by ``mark``."""
-    accept = thresholds(docs, text, rate)
+    accept, columns = thresholds(docs, text, rate), docs.columns
 
     def work(batch):
         out = []
@@ -196,6 +196,6 @@ def redact(docs: DataFrame, *, text: str = "text", rate: float = RATE, mark: str
                     last = max(last, e)
                 value = "".join([*parts, value[last:]])
             out.append(value)
-        return {c: batch.column(c) for c in docs.columns} | {text: out}
+        return {c: batch.column(c) for c in columns} | {text: out}
 
     return map_rows(docs, work, docs.schema, text=text)
