@@ -115,7 +115,7 @@ def first_per_id(matches: list[DataFrame]) -> DataFrame:
 
 
 def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],
-                    strict_ranges: bool = False, max_per_source: int | None = None) -> DataFrame:
+                    strict_ranges: bool = False) -> DataFrame:
     """Vulnerability rows of all dependency occurrences.
 
     Dependencies, their distinct keys and the advisories are each used several times, so they are
@@ -145,8 +145,6 @@ def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],
                              & (F.col("type") == F.col("ecosystem"))).select(*KEY, "adv_no", "id")
         else:
             raise ValueError(f"unknown advisory source {kind!r}")
-        if max_per_source is not None:
-            hits = _capped(hits, max_per_source)
         found.append(hits)
     text = ["adv_no", "id", "source", "description", "cvss_score", "severity", "references",
             "remediation"]
@@ -165,12 +163,3 @@ def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],
         F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
         F.coalesce("references", F.array().cast("array<string>")).alias("references"),
         F.coalesce("remediation", F.lit(DEFAULT_REMEDIATION)).alias("remediation"))
-
-
-def _capped(hits: DataFrame, limit: int) -> DataFrame:
-    """The paging limit of the live services, on request: the first ids per key."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*KEY).orderBy("id", "adv_no")
-    return hits.withColumn("n", F.row_number().over(order)).filter(
-        F.col("n") <= limit).drop("n")

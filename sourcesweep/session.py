@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder for intermediate tables: ``spark.checkpoint.dir``, as the cluster names it.
 
-    A local session without the setting gets a temporary folder; on a cluster a machine-local
-    folder would be lost with its machine, so there is none.
+    Without the setting there is none, in a local session as on a cluster, and plans stay lazy.
     """
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="sourcesweep-")
-        context.setCheckpointDir(folder)
-    return folder
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def materialised(df: DataFrame) -> DataFrame:

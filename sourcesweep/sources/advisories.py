@@ -21,7 +21,8 @@ GHSA_ECOSYSTEMS = {"npm": "NPM", "pypi": "PIP", "gem": "RUBYGEMS", "composer": "
                    "maven": "MAVEN", "cargo": "RUST", "nuget": "NUGET"}
 NO_DESCRIPTION = "No description available"
 DEFAULT_REMEDIATION = "Update to a patched version"
-MAX_GHSA_CWES = 5
+#: Range types whose events are versions; the events of the others are commits.
+VERSION_RANGES = ("SEMVER", "ECOSYSTEM")
 
 
 def read_nvd(spark: SparkSession, path: str) -> DataFrame:
@@ -95,9 +96,10 @@ def affected_ranges(affected: Column) -> Column:
 
 
 def _range_events(ranges: Column) -> Column:
-    """One array of keyed events per range."""
+    """One array of keyed events per range; a range of commits has none, so it holds no version."""
     def keyed(rng: Column) -> Column:
-        return F.transform(F.flatten(F.transform(rng["events"], lambda e: F.map_entries(e))),
+        events = F.filter(rng["events"], lambda e: F.coalesce(rng["type"], F.lit("ECOSYSTEM")).isin(*VERSION_RANGES))
+        return F.transform(F.flatten(F.transform(events, lambda e: F.map_entries(e))),
                            lambda p: F.struct(p["key"].alias("kind"),
                                               version_key(p["value"]).alias("key")))
 
@@ -133,7 +135,7 @@ def ghsa_advisories(raw: DataFrame) -> DataFrame:
     """Advisory nodes; a node without an advisory is dropped."""
     adv, fixed = F.col("advisory"), F.col("firstPatchedVersion")
     level = F.upper(F.coalesce(adv["severity"], F.lit("UNKNOWN")))
-    cwes = F.transform(F.slice(adv["cwes"]["nodes"], 1, MAX_GHSA_CWES), lambda c: c["cweId"])
+    cwes = F.transform(adv["cwes"]["nodes"], lambda c: c["cweId"])
     return raw.filter(adv.isNotNull()).select(
         _text(adv["ghsaId"]).alias("id"), F.lit("github-advisory").alias("source"),
         F.coalesce(F.nullif(adv["description"], F.lit("")), adv["summary"], F.lit(NO_DESCRIPTION))

@@ -365,7 +365,7 @@ _FEEDS = f"""{packages.advisory_sql()},
       case upper(({_R})[1 + k % 5]) when 'MODERATE' then 'MEDIUM'
         else upper(({_R})[1 + k % 5]) end as severity,
       'https://g.example/' || k as refs, '2024-03-01' as published,
-      'CWE-1 CWE-2 CWE-3 CWE-4 CWE-5' as cwe,
+      'CWE-1 CWE-2 CWE-3 CWE-4 CWE-5 CWE-6 CWE-7' as cwe,
       '>= 1.0, < ' || k % 50 || '.0' as affected_versions,
       case when k % 2 = 0 then 'Update to version ' || k % 50 || '.0'
         else '{adv.DEFAULT_REMEDIATION}' end as remediation,

@@ -139,7 +139,7 @@ def test_normalisers(feeds):
     assert (osv["OSV-3"].cvss_score, osv["OSV-3"].severity) == (5.5, "MEDIUM")
     assert set(ghsa) == {"GHSA-1", "GHSA-9"}
     assert (ghsa["GHSA-1"].severity, ghsa["GHSA-1"].description, len(ghsa["GHSA-1"].cwe)) == (
-        "MEDIUM", "s", 5)
+        "MEDIUM", "s", 7)
     assert ghsa["GHSA-1"].remediation == "Update to version 1.0"
     assert ghsa["GHSA-9"].remediation == "Update to a patched version"
 
