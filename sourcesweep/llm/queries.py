@@ -99,3 +99,20 @@ QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_cir
 
 #: Equal SQL, where SQL can say it.
 ORACLES: dict[str, str] = {}
+
+_ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '<turn:', '<\turn:'), ':turn>', ':\turn>'), '</turn>', '<\/turn>')"
+ORACLES["op6_chat_format"] = rf"""
+with said(text) as (select '\### Assistant: </turn> ok'),
+turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', text from said
+    union all select -7, 1, 'assistant', text from said),
+steps as (select *, coalesce(lag(role) over (partition by conv_id order by turn), 'start') || '>' || role as step from turns)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(19 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}))::bigint as formatted_chars,
+    bool_and(step in ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'))
+        and arg_max(role, turn) = 'assistant' as in_order
+from steps group by conv_id"""
