@@ -27,7 +27,7 @@ SAMPLE = 8000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Weight of the prior, in counts; least documents with a part; least significance of a part, in standard deviations.
 PRIOR, LEAST, SIGNIFICANT = 0.5, 4, 3.5
-#: What each word costs a segment; p-value of a passage that is reported.
+#: What each word costs a segment, beyond what clean words score on average; p-value of a passage that is reported.
 DRIFT, PASSAGE = 0.1, 0.01
 
 
@@ -42,6 +42,7 @@ class Model:
     size: float = 1.0
     shift: float = -4.0
     slope: float = 1.0
+    drift: float = 0.1
 
     def evidence(self, score: float, n: int) -> float:
         """-log of the p-value of a best segment of this score in ``n`` words."""
@@ -66,7 +67,7 @@ def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
             best[better] = np.abs(model.sure[at[better]])
         whole = W.hashes(data, starts, ends)
         out[1:][(whole[1:] == whole[:-1]) & (out[1:] > 0)] = 0
-    return out - DRIFT
+    return out - model.drift
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -145,50 +146,71 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text: str =
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
-    """Fit the extreme-value law on clean and the curve on all sample documents; one short row for each comes to the driver."""
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType()),
-                           T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    """Fit the drift and the extreme-value law on clean and the curve on all sample documents.
 
-    def work(batch):
-        out = {"n": [], "best": [], "cells": [], "counts": []}
+    The law needs scores that are negative on average, so the drift is ``DRIFT`` above what clean words score on average, if
+    that is positive. Counts of scores and one short row for each sample document come to the driver.
+    """
+    tally = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
+    best_of = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType())])
+    model.drift = 0.0
+
+    def counted(batch):
+        parts = [np.round(word_scores(model, data, starts, ends) / _CELL).astype(np.int64)
+                 for _, _, data, starts, ends, _ in _documents(batch, "text")]
+        cell, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+        return {"cell": cell, "n": n}
+
+    clean = map_rows(rows.where("toxic = 0"), counted, tally, text="text").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    s, n = np.array([r["cell"] for r in clean], float) * _CELL, np.array([r["n"] for r in clean], float)
+    model.drift = DRIFT + (max(0.0, float((s * n).sum() / n.sum())) if len(s) else 0.0)
+    model.rate = _karlin(s - model.drift, n)
+
+    def best(batch):
+        out = {"n": [], "best": []}
         for low, high, data, starts, ends, begin in _documents(batch, "text"):
             scores = word_scores(model, data, starts, ends)
             for k in range(high - low):
                 own = scores[begin[k]:begin[k + 1]]
-                cell, n = np.unique(np.round(own / _CELL).astype(int), return_counts=True)
                 out["n"].append(len(own))
                 out["best"].append(max((s for _, _, s in segments(own)), default=0.0))
-                out["cells"].append(cell.tolist())
-                out["counts"].append(n.tolist())
         return out | {"toxic": batch.column(1)}
 
-    rows = map_rows(rows, work, schema, text="text").collect()
-    spread: dict[int, int] = {}
-    for r in rows:
-        if not r["toxic"]:
-            for c, n in zip(r["cells"], r["counts"]):
-                spread[c] = spread.get(c, 0) + n
-    clean = [(r["n"], r["best"]) for r in rows if not r["toxic"] and r["best"] > 0]
-    model.rate = _karlin(spread)
-    if clean:
-        model.size = len(clean) / sum(n * math.exp(-model.rate * s) for n, s in clean)
-    x = np.array([model.evidence(r["best"], r["n"]) for r in rows])
-    y = np.array([float(r["toxic"]) for r in rows])
-    beta = np.array([-2.0, 0.1])
-    design = np.stack([np.ones(len(x)), x], 1)
-    for _ in range(50):  # Newton steps with a little ridge
+    rows = map_rows(rows, best, best_of, text="text").collect()
+    law = [(r["n"], r["best"]) for r in rows if not r["toxic"] and r["best"] > 0]
+    if law:
+        model.size = len(law) / sum(n * math.exp(-model.rate * s) for n, s in law)
+    model.shift, model.slope = logistic(np.array([model.evidence(r["best"], r["n"]) for r in rows]),
+                                        np.array([float(r["toxic"]) for r in rows]))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Shift and slope of the curve by Newton's method; a step that does not lower the loss is halved, so it can't run away."""
+    scale = float(x.std()) or 1.0
+    design, beta = np.stack([np.ones(len(x)), x / scale], 1), np.zeros(2)
+
+    def loss(b):
+        z = design @ b
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * (b @ b))
+
+    now = loss(beta)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (y - p) - 1e-3 * beta
-        beta = beta + np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), grad)
-    model.shift, model.slope = float(beta[0]), float(beta[1])
+        grad = design.T @ (p - y) + ridge * beta
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), grad)
+        while (after := loss(beta - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if not after < now:
+            break
+        beta, now = beta - step, after
+    return float(beta[0]), float(beta[1] / scale)
 
 
 _CELL = 0.05
 
 
-def _karlin(spread: dict[int, int]) -> float:
-    """The positive root of sum p(s) exp(rate s) = 1; scores are negative on average."""
-    s, n = np.array(list(spread), float) * _CELL, np.array(list(spread.values()), float)
+def _karlin(s: np.ndarray, n: np.ndarray) -> float:
+    """The positive root of sum p(s) exp(rate s) = 1 for scores s seen n times; they are negative on average."""
     if not len(s) or s.max() <= 0 or (s * n).sum() >= 0:
         return 1.0
     low, high = 1e-6, 50.0 / s.max()

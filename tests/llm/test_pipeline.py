@@ -97,3 +97,26 @@ def test_luhn(spark, x, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(pii.luhn(F.lit(x))).first()[0] is want
+
+
+def test_curve_does_not_run_away():
+    """Large evidence that nearly parts the classes; steps of full length diverge on it."""
+    rng = np.random.default_rng(3)
+    y = np.concatenate([np.zeros(7000), np.ones(800)])
+    x = np.concatenate([rng.exponential(1.0, 7000), rng.uniform(20, 690, 760), rng.exponential(1.0, 40)])
+    for scale in (1.0, 1e-3, 1e3):
+        shift, slope = toxicity.logistic(x * scale, y)
+        p = 1 / (1 + np.exp(-np.clip(shift + slope * x * scale, -30, 30)))
+        assert shift < 0 < slope and p[:7000].max() < 0.5 and p[7000:7760].min() > 0.5
+    assert all(np.isfinite(toxicity.logistic(np.zeros(10), np.array([0.0] * 9 + [1.0]))))
+
+
+def test_toxicity_keeps_clean_documents_where_clean_words_score_high(spark):
+    """Clean texts in which most words are met more in toxic ones: the drift rises with them, and they stay."""
+    rows = [(k, "alpha beta gamma delta " * 30 + ("vile rotten scum " * 8 if k % 10 == 0 else f"plain{k % 7} words "), int(k % 10 == 0))
+            for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.drift >= toxicity.DRIFT and model.slope > 0
+    assert {r["doc_id"] for r in toxicity.keep_clean(docs, labels).collect()} == {k for k, _, y in rows if not y}
