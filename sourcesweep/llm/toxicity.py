@@ -51,6 +51,10 @@ class Model:
         expected = self.size * n * math.exp(-self.rate * score)
         return -math.log(max(-math.expm1(-expected), 1e-300))
 
+    def least(self, n: int) -> float:
+        """Just below the least score whose p-value in ``n`` words is ``PASSAGE``."""
+        return math.log(self.size * n / -math.log1p(-PASSAGE)) / self.rate - 1e-6
+
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.shift + self.slope * evidence))))
 
@@ -238,8 +242,10 @@ def score(docs: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text: str
             for k in range(high - low):
                 own = scores[begin[k]:begin[k + 1]]
                 n = len(own)
-                found = [(a, b, s, model.evidence(s, n)) for a, b, s in segments(own)]
-                out["score"].append(model.probability(max((e for *_, e in found), default=0.0)) if model else 0.0)
+                all_ = segments(own)
+                # evidence grows with the score, so only what may be significant needs a p-value
+                found = [(a, b, s, model.evidence(s, n)) for a, b, s in all_ if s >= model.least(n)]
+                out["score"].append(model.probability(model.evidence(max((s for *_, s in all_), default=0.0), n)) if model else 0.0)
                 out["passages"].append([{"first": a, "last": b - 1, "score": s, "p": math.exp(-e)} for a, b, s, e in found if math.exp(-e) <= PASSAGE])
                 out["n_words"].append(n)
         return {f.name: batch.column(f.name) for f in kept} | out
