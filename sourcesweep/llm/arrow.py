@@ -70,6 +70,7 @@ def map_rows(df: DataFrame, work: Callable, schema: StructType, limit: int = 4 *
                 made = work(part)
                 yield pa.RecordBatch.from_arrays(
                     [_as(made[f.name], f.type) for f in wanted], schema=wanted)
+        pa.default_memory_pool().release_unused()  # workers live on into other stages
 
     return df.mapInArrow(run, schema)
 
