@@ -59,8 +59,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.shift + self.slope * evidence))))
 
 
-def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Log-odds of each word less the drift; a word that only repeats the one before it adds nothing."""
+def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Log-odds of each word less the drift; a word that only repeats the one before it in its text adds nothing."""
     out = np.zeros(len(starts))
     if len(model.parts):
         best = np.zeros(len(starts))
@@ -70,26 +70,41 @@ def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
             out[better] = model.odds[at[better]]
             best[better] = np.abs(model.sure[at[better]])
         whole = W.hashes(data, starts, ends)
-        out[1:][(whole[1:] == whole[:-1]) & (out[1:] > 0)] = 0
+        again = np.zeros(len(starts), bool)
+        again[1:] = whole[1:] == whole[:-1]
+        again[begin[begin < len(starts)]] = False
+        out[again & (out > 0)] = 0
     return out - model.drift
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, after the last, score), in one pass (Ruzzo and Tompa)."""
-    found: list[list] = []  # first, after the last, sum before it, sum up to its end
-    total, last = np.concatenate([[0.0], np.cumsum(scores)]), 0
-    for k in np.flatnonzero(scores > 0).tolist():
-        now = [k, k + 1, total[k], total[k + 1]]
+    """All maximal scoring segments (first, after the last, score), in one pass (Ruzzo and Tompa).
+
+    A candidate keeps the place of the last one before it that has a smaller sum to its left, so that a search steps over all
+    between; candidates before a new least sum are final. Neighbouring positive scores are one segment in any case.
+    """
+    up = scores > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], up, [False]])))
+    if not len(edge):
+        return []
+    total = np.concatenate([[0.0], np.cumsum(scores)])[edge].tolist()
+    edge, done, found = edge.tolist(), [], []  # found: first, after the last, sum before it, sum up to its end, place
+    for k in range(0, len(edge), 2):
+        first, left, right, j = edge[k], total[k], total[k + 1], len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
-                found.append(now)
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0:
+                done += found
+                found = []
+                break
+            if found[j][3] >= right:
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
+            first, _, left, _, before = found[j]
             del found[j:]
-    return [(a, b, float(right - left)) for a, b, left, right in found]
+            j = before
+        found.append((first, edge[k + 1], left, right, j))
+    return [(a, b, right - left) for a, b, left, right, _ in done + found]
 
 
 def _documents(batch, text: str):
@@ -160,8 +175,8 @@ def calibrate(model: Model, rows: DataFrame) -> None:
     model.drift = 0.0
 
     def counted(batch):
-        parts = [np.round(word_scores(model, data, starts, ends) / _CELL).astype(np.int64)
-                 for _, _, data, starts, ends, _ in _documents(batch, "text")]
+        parts = [np.round(word_scores(model, data, starts, ends, begin) / _CELL).astype(np.int64)
+                 for _, _, data, starts, ends, begin in _documents(batch, "text")]
         cell, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
         return {"cell": cell, "n": n}
 
@@ -173,7 +188,7 @@ def calibrate(model: Model, rows: DataFrame) -> None:
     def best(batch):
         out = {"n": [], "best": []}
         for low, high, data, starts, ends, begin in _documents(batch, "text"):
-            scores = word_scores(model, data, starts, ends)
+            scores = word_scores(model, data, starts, ends, begin)
             for k in range(high - low):
                 own = scores[begin[k]:begin[k + 1]]
                 out["n"].append(len(own))
@@ -238,13 +253,14 @@ def score(docs: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text: str
     def work(batch):
         out: dict = {"score": [], "passages": [], "n_words": []}
         for low, high, data, starts, ends, begin in _documents(batch, text):
-            scores = word_scores(model, data, starts, ends) if model else np.zeros(len(starts))
+            scores = word_scores(model, data, starts, ends, begin) if model else np.zeros(len(starts))
             for k in range(high - low):
                 own = scores[begin[k]:begin[k + 1]]
                 n = len(own)
                 all_ = segments(own)
                 # evidence grows with the score, so only what may be significant needs a p-value
-                found = [(a, b, s, model.evidence(s, n)) for a, b, s in all_ if s >= model.least(n)]
+                least = model.least(n) if all_ else 0.0
+                found = [(a, b, s, model.evidence(s, n)) for a, b, s in all_ if s >= least]
                 out["score"].append(model.probability(model.evidence(max((s for *_, s in all_), default=0.0), n)) if model else 0.0)
                 out["passages"].append([{"first": a, "last": b - 1, "score": s, "p": math.exp(-e)} for a, b, s, e in found if math.exp(-e) <= PASSAGE])
                 out["n_words"].append(n)
