@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,11 +71,19 @@ def map_rows(df: DataFrame, work: Callable, schema: StructType, limit: int = 4 *
                 made = work(part)
                 yield pa.RecordBatch.from_arrays(
                     [_as(made[f.name], f.type) for f in wanted], schema=wanted)
-        pa.default_memory_pool().release_unused()  # workers live on into other stages
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system, as workers live on into other stages: Arrow's, and that of the C library where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _as(values, kind):
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
