@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .arrow import blocks, map_rows
+from .store import save
 
 WINDOW = 10
 #: Bytes of benchmark text in one pass.
@@ -253,7 +254,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
         df = _pass(df, index, text, first)
         first = False
         if k + 1 < n:
-            df = df.checkpoint()
+            df = save(df)
     return df
 
 
