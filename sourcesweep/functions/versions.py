@@ -12,32 +12,50 @@ def clean_version(version: Column) -> Column:
     return F.trim(F.substring_index(bare, "-", 1))
 
 
+#: Stages before a release, by rank; names of one rank are equal. Longer names come first where they begin alike.
+STAGES = (("dev", "nightly"), ("alpha", "a"), ("beta", "b"), ("milestone", "m"), ("preview", "pre", "rc", "cr", "c"), ("snapshot",))
+_STAGED = (r"(?i)^[^0-9]*([0-9]+(?:[.][0-9]+)*)[-._]?("
+           + "|".join(sorted((n for names in STAGES for n in names), key=lambda n: (-len(n), n))) + ")(?![a-z])(.*)$")
+_NUMBER, _DIGITS = "decimal(38,1)", 36
+
+
+def _numbers(text: Column) -> Column:
+    """All numbers in a text. One of more than 36 digits becomes 10 ** 36, its length, and its digits in groups."""
+    found = F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    beyond = F.lit("1" + "0" * _DIGITS).cast(_NUMBER)
+    return F.flatten(F.transform(found, lambda x: F.when(F.length(x) <= _DIGITS, F.array(x.cast(_NUMBER))).otherwise(F.concat(
+        F.array(beyond, F.length(x).cast(_NUMBER)),
+        F.transform(F.regexp_extract_all(x, F.lit("([0-9]{1,%d})" % _DIGITS), F.lit(1)), lambda d: d.cast(_NUMBER))))))
+
+
+def _without_zeros(parts: Column) -> Column:
+    """Numbers up to the last that is not zero."""
+    last = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("keep")), lambda acc, x: F.struct(
+        (acc["at"] + 1).alias("at"), F.when(x != 0, acc["at"] + 1).otherwise(acc["keep"]).alias("keep")), lambda acc: acc["keep"])
+    return F.slice(parts, F.lit(1), last)
+
+
 def version_key(version: Column) -> Column:
     """Numeric components as an array, trailing zeros removed, so that keys compare like versions.
 
-    ``1.10`` sorts after ``1.9`` and ``2.0.0`` equals ``2``; ``0`` is the empty key, before all.
+    ``1.10`` sorts after ``1.9`` and ``2.0.0`` equals ``2``; ``0`` is the empty key, before all. Numbers may have any
+    length. A stage such as ``-rc.1``, ``b2`` or ``.dev3`` right after the release sorts before it: the last number is less by a half, and
+    the rank of the stage and its numbers follow. Other numbers after the release count as more components.
     """
-    parts = F.transform(
-        F.regexp_extract_all(F.coalesce(version, F.lit("")), F.lit(r"(\d{1,18})"), F.lit(1)),
-        lambda x: x.cast("bigint"),
-    )
-    zeros_reversed = F.reverse(parts)
-    keep = F.aggregate(
-        zeros_reversed,
-        F.struct(F.lit(True).alias("z"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct(
-            (acc["z"] & (x == 0)).alias("z"),
-            F.when(acc["z"] & (x == 0), acc["n"]).otherwise(acc["n"] + 1).alias("n"),
-        ),
-        lambda acc: acc["n"],
-    )
-    return F.slice(parts, F.lit(1), keep)
+    text = F.coalesce(version, F.lit(""))
+    stage = F.lower(F.regexp_extract(text, _STAGED, 2))
+    release = _without_zeros(_numbers(F.regexp_extract(text, _STAGED, 1)))
+    last = F.coalesce(F.try_element_at(release, F.lit(-1)), F.lit(0).cast(_NUMBER)) - F.lit(0.5).cast(_NUMBER)
+    rank = F.create_map(*[F.lit(x) for k, names in enumerate(STAGES) for n in names for x in (n, k)])[stage]
+    staged = F.concat(F.slice(release, F.lit(1), F.greatest(F.size(release) - 1, F.lit(0))), F.array(last.cast(_NUMBER), rank.cast(_NUMBER)),
+                      _numbers(F.regexp_extract(text, _STAGED, 3)))
+    return F.when(stage != "", staged).otherwise(_without_zeros(_numbers(text)))
 
 
 def in_range(key: Column, events: Column) -> Column:
     """Whether a version key lies in an event range.
 
-    ``events`` is ``array<struct<kind string, key array<bigint>>>`` with kinds ``introduced``,
+    ``events`` is ``array<struct<kind string, key array<decimal(38,1)>>>`` with kinds ``introduced``,
     ``fixed`` and ``last_affected``: a version is affected from an ``introduced`` event up to the
     next ``fixed`` (exclusive) or ``last_affected`` (inclusive) event.
     """

@@ -33,6 +33,17 @@ def test_version_order_and_ranges(spark):
     assert inside == [True, True, False, False]
 
 
+def test_versions_in_a_written_order(spark):
+    order = ["0", "0.0.0-rc.1", "0.0.1", "1.0.dev3", "1.0a1", "1.0-alpha.2", "1.0b1", "1.0-M1", "1.0rc1", "1.0-rc.2", "1.0-SNAPSHOT", "1.0", "1.0.post1",
+             "1.1.9", "1.2.0-rc.1", "1.2", "1.2.1", "1.10", "2.0.0-rc.1", "2.0.0", "20240101123456789012", "20240101123456789013",
+             "2024010112345678901234567", "9" * 36, "1" + "0" * 36, "1" + "0" * 36 + ".1", "1" + "0" * 35 + "1", "9" * 50, "1" + "0" * 90]
+    keys = _column(spark, order, version_key)
+    assert keys == sorted(keys) and len({tuple(k) for k in keys}) == len(order)
+    same = _column(spark, ["1.0-rc1", "1.0.0rc.1", "v1.0.0-RC1", "1.0c1"], version_key)
+    assert all(k == same[0] for k in same)
+    assert _column(spark, ["2.0.0", "2.0.0-rc.1", "1.9"], lambda v: satisfies(version_key(v), F.lit(">= 1.0, < 2.0.0-rc.1"))) == [False, False, True]
+
+
 def test_severity_functions(spark):
     assert _column(spark, ["9.0", "7.0", "4.0", "0.1", "0"],
                    lambda v: sev.severity_from_score(v.cast("double"))) == [
