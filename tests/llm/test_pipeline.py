@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from sourcesweep.llm import html, pii, toxicity
+from sourcesweep.llm import words as W
 from sourcesweep.llm.queries import QUERIES
 
 from . import brute
@@ -56,10 +57,24 @@ def test_toxicity_without_labels(spark, nasty, empty):
     assert {r["score"] for r in toxicity.score(docs, spark.read.parquet(f"{empty}/labels.parquet")).collect()} == {0.0}
 
 
+def test_word_scores_do_not_depend_on_the_text_before():
+    def scored(*texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.cumsum([0, *map(len, texts)])
+        starts, ends, row = W.find(data, offsets, W.LETTERS)
+        word = W.prefix_hashes(data[:4], np.array([0]), np.array([4]), toxicity.PREFIXES)[0, -1:]
+        return toxicity.word_scores(toxicity.Model(word, np.array([2.0]), np.array([9.0]), drift=0.5), data, starts, ends,
+                                    np.searchsorted(row, np.arange(len(texts) + 1))).tolist()
+
+    assert scored("vile vile", "", "vile") == [1.5, -0.5, 1.5]
+
+
 def test_segments():
     import numpy as np
 
     assert toxicity.segments(np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5.0])) == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
+    long = np.where(np.arange(400_000) % 4, -1.0, 1.0)  # sums fall all the way, so every candidate is final at once
+    assert toxicity.segments(long) == [(k, k + 1, 1.0) for k in range(0, 400_000, 4)]
     assert toxicity.segments(np.array([])) == [] and toxicity.segments(np.array([-1.0])) == []
 
 
