@@ -41,8 +41,12 @@ def finding_rows(findings: DataFrame) -> DataFrame:
         "line", "rule_id", _row(cells).alias("row"))
 
 
+#: Sort keys that are numbers of any size, padded so that they sort as such.
+_COUNTED = ("line", "dep_seq", "rank", "severity_rank")
+
+
 def _section(df: DataFrame, section: int, order: list[str], text: Column) -> DataFrame:
-    key = F.struct(*[F.col(c).cast("string").alias(f"k{i}") if c != "line" and c != "dep_seq"
+    key = F.struct(*[F.col(c).cast("string").alias(f"k{i}") if c not in _COUNTED
                      else F.lpad(F.col(c).cast("string"), 12, "0").alias(f"k{i}")
                      for i, c in enumerate(order)])
     keys = [key[f"k{i}"] if i < len(order) else F.lit("") for i in range(6)]
