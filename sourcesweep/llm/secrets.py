@@ -1,7 +1,8 @@
 """Secrets in texts: three fixed formats, and a battery of randomness tests on everything that could be a key.
 
-A candidate is a run of key characters with a letter and a digit. Its encoding (hexadecimal, base32, base36, base62, base64)
-is the smallest alphabet that holds it. Three tests ask whether it is random in that alphabet: chi-squared for uniform use
+A candidate is a run of key characters, or a part of it between signs: names, paths and keys may be glued together. '=' is never
+part of one, so values of NAME=value stand alone. Its encoding (hexadecimal, letters, base32, base36, base62, base64) is the
+smallest alphabet that holds it; runs that none holds count by their parts. Three tests ask whether it is random in that alphabet: chi-squared for uniform use
 of the characters, runs above and below the middle of the alphabet, and serial correlation of neighbours. Their p-values
 are combined (Bonferroni). Over the whole corpus the p-values of real keys are uniform and those of words and numbers lie near
 zero, so the share above one half gives the number of keys, and for each length class and encoding the least threshold is
@@ -28,21 +29,28 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Shortest candidate, and the longest value of each length class but the last.
 SHORTEST, CLASSES = 20, (23, 31, 39, 63, 127)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-_MIXED = re.compile(r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
+_PARTS = tuple(re.compile("[%s]{%d,}" % (chars, SHORTEST)) for chars in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"))
+_LETTER = re.compile(r"[A-Za-z]")
 #: Bins of the p-value in the histogram over the corpus, and the accepted share of false discoveries.
 BINS, RATE = 100, 0.01
 
 #: Alphabets by size, smallest first; a value belongs to the first that holds all its characters.
-ENCODINGS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+ENCODINGS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("lower", "abcdefghijklmnopqrstuvwxyz"),
+             ("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
              ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+             ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
              ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
              ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
              ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"))
 _SETS = [(n, frozenset(a), {c: k for k, c in enumerate(a)}) for n, a in ENCODINGS]
 
-#: The kind of each character of an alphabet: digit, capital, small letter, sign.
-_CELLS = {n: np.unique([c.isdigit() + 2 * c.isupper() + 3 * c.islower() for c in a], return_inverse=True)[1] for n, a in ENCODINGS}
+#: The kind of each character of an alphabet: digit, capital, small letter, sign; where there are only letters, also vowel or not.
+_CELLS = {n: np.unique([c.isdigit() + 2 * c.isupper() + 3 * c.islower() + 4 * (a.isalpha() and c.lower() in "aeiou") for c in a], return_inverse=True)[1]
+          for n, a in ENCODINGS}
+#: For alphabets of letters only, how common each letter is in words: logarithms of shares, scaled to mean 0 and deviation 1.
+_SHARES = dict(zip("etaoinsrhldcumfpgwybvkxjqz", (12, 9, 8.1, 7.7, 7.3, 7, 6.3, 6, 5.9, 4.3, 4, 2.7, 2.9, 2.6, 2.3, 1.8, 2, 2.1, 2.1, 1.5, 1.1, .7, .2, .1, .1, .1)))
+_COMMON = {n: (x - x.mean()) / x.std() for n, a in ENCODINGS if a.isalpha() for x in [np.log([_SHARES[c.lower()] for c in a])]}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,11 +63,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str):
-    """Runs that may be keys: (begin, end, value without padding)."""
+    """Runs that may be keys and their parts: (begin, end, value without padding, begin of the run), longer ones of a run first."""
     for m in _CANDIDATE.finditer(text):
-        value = m[0].rstrip("=")
-        if len(value) >= SHORTEST and "=" not in value and _MIXED.search(value):
-            yield m.start(), m.start() + len(value), value
+        at = m.start()
+        spans = {m.span()} | {(at + p.start(), at + p.end()) for part in _PARTS for p in part.finditer(m[0])}
+        for s, e in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+            if _LETTER.search(text, s, e):
+                yield s, e, text[s:e], at
 
 
 def encoding(value: str) -> str | None:
@@ -86,7 +96,10 @@ def battery(value: str, name: str) -> tuple[float, float, float]:
     n, k = len(x), len(rank)
     count, kind = np.bincount(x.astype(int), minlength=k), _CELLS[name]
     # short values have few of each character, so kinds of characters are tested as well
-    uneven = min(1.0, 2 * min(_chi_tail(count, np.full(k, n / k)), _chi_tail(np.bincount(kind, count), np.bincount(kind) * n / k)))
+    tails = [_chi_tail(count, np.full(k, n / k)), _chi_tail(np.bincount(kind, count), np.bincount(kind) * n / k)]
+    if name in _COMMON:  # words use common letters
+        tails.append(0.5 * math.erfc(float(count @ _COMMON[name]) / math.sqrt(2 * n)))
+    uneven = min(1.0, len(tails) * min(tails))
     up = x >= k / 2
     a, b = int(up.sum()), int(n - up.sum())
     runs = 1 + int((up[1:] != up[:-1]).sum())
@@ -111,10 +124,22 @@ def length_class(n: int) -> int:
 
 
 def _judged(text: str):
-    for s, e, value in candidates(text):
+    for s, e, value, run in candidates(text):
         name = encoding(value)
         if name:
-            yield s, e, name, length_class(e - s), min(BINS - 1, int(randomness(value, name) * BINS))
+            yield s, e, name, length_class(e - s), min(BINS - 1, int(randomness(value, name) * BINS)), run
+
+
+def _accepted(text: str, accept: dict, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Candidates that pass and touch none of ``taken``; of those of a run that overlap, the longest."""
+    out, own, last = [], [], -1
+    for s, e, name, size, place, run in _judged(text) if accept else ():
+        if run != last:
+            own, last = [], run
+        if place >= accept.get((name, size), BINS) and not any(s < b and a < e for x in (own, taken) for a, b in x):
+            own.append((s, e))
+            out.append((s, e))
+    return out
 
 
 def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[str, int], int]:
@@ -128,7 +153,7 @@ def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[
     def work(batch):
         count: dict = {}
         for value in batch.column(0).to_pylist():
-            for _, _, name, size, place in _judged(value or ""):
+            for _, _, name, size, place, _ in _judged(value or ""):
                 count[name, size, place] = count.get((name, size, place), 0) + 1
         rows = [(*k, v) for k, v in count.items()]
         return {c: [r[i] for r in rows] for i, c in enumerate(schema.names)}
@@ -169,9 +194,7 @@ def find_secrets(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", ra
         for value in batch.column(1).to_pylist():
             spans = base_spans(value) if value else []
             taken = [(s, e) for s, e, _ in spans]
-            for s, e, name, size, place in _judged(value or "") if accept else ():
-                if place >= accept.get((name, size), BINS) and not any(s < b and a < e for a, b in taken):
-                    spans.append((s, e, "random"))
+            spans += [(s, e, "random") for s, e in _accepted(value or "", accept, taken)]
             spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
             out.append([{"begin": s, "stop": e, "kind": k} for s, e, k in spans])
         return {"doc_id": batch.column(0), "spans": out}
@@ -188,7 +211,7 @@ def redact(docs: DataFrame, *, text: str = "text", rate: float = RATE, mark: str
         for value in batch.column(text).to_pylist():
             if value:
                 spans = [(s, e) for s, e, _ in base_spans(value)]
-                spans += [(s, e) for s, e, name, size, place in _judged(value) if place >= accept.get((name, size), BINS)] if accept else []
+                spans += _accepted(value, accept)
                 parts, last = [], 0
                 for s, e in sorted(spans):
                     if s >= last:

@@ -138,6 +138,25 @@ def test_randomness_battery_tells_keys_from_words(spark):
     assert clean[300] == f"see {other[100]} there" and sum(clean[k] == "see <SECRET> there" for k in range(200)) >= 190
 
 
+def test_keys_glued_to_names_urls_and_paths(spark):
+    import random
+    import string
+
+    r = random.Random(4)
+    mixed = string.ascii_letters + string.digits
+    forms = {"AWS_KEY={}": mixed, "x private_key={}== y": mixed + "+/", "https://a.example/get?user=7&sig={}&x=1": mixed + "-_",
+             "see /v1_x/{} there": mixed, "a-b/{}": mixed + "-_", "only {} small": string.ascii_lowercase, "only {} CAPITALS": string.ascii_uppercase}
+    keys = [(form, "".join(r.choices(signs, k=40))) for form, signs in forms.items() for _ in range(100)]
+    other = [f"NAME=chapter-{k}-of-the-long/title_about/things" for k in range(200)] + ["see internationalisierungsgedanken there", "MISUNDERSTANDINGSANDOTHERS ="] * 50
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([form.format(key) for form, key in keys] + other)], "doc_id long, text string")
+    found = {x["doc_id"]: x["spans"] for x in secrets.find_secrets(docs).collect()}
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
+    for n, form in enumerate(forms):
+        assert sum(any(s["begin"] <= form.index("{") + 2 and s["stop"] >= form.index("{") + 38 for s in found[k]) for k in range(100 * n, 100 * n + 100)) >= 85, form
+        assert sum(keys[k][1] not in clean[k] for k in range(100 * n, 100 * n + 100)) >= 90, form
+    assert not any(found[k] for k in range(len(keys), len(keys) + len(other)))
+
+
 def test_turn_order(spark):
     rows = [(1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (2, 0, "assistant"), (3, 0, "user"), (4, 0, "user"), (4, 1, "user"), (4, 2, "assistant")]
     made = chat.format_conversations(spark.createDataFrame([(*x, "t") for x in rows], "conv_id long, turn long, role string, text string"))
