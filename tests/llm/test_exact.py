@@ -157,6 +157,27 @@ def test_keys_glued_to_names_urls_and_paths(spark):
     assert not any(found[k] for k in range(len(keys), len(keys) + len(other)))
 
 
+def test_false_share_of_secrets():
+    """Values of simulated keys follow the histogram, and ids among keys don't hide behind too many estimated keys."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for name, size, n in (("base62", 3, 40), ("hex", 2, 32), ("base64url", 3, 43), ("lower", 0, 22)):
+        x = rng.integers(0, len(secrets._CELLS[name]), (20_000, n))
+        share = np.bincount([secrets._bin(p) for p in secrets.combined(secrets.p_values(x, name))], minlength=secrets.BINS) / len(x)
+        keys = secrets.key_bins(name, size)
+        assert abs(share[50:].sum() - keys[50:].sum()) < 0.03 and abs(share[5:].sum() - keys[5:].sum()) < 0.02, name
+    # ids with many digits: with 16 % too many keys estimated, 5 % of what is accepted are ids; now the rate and a standard error
+    rng = np.random.default_rng(8)
+    signs = dict(secrets.ENCODINGS)["base62"]
+    made = ["".join(signs[c] for c in row) for row in rng.integers(0, 62, (3000, 40))]
+    ids = ["".join(signs[c] for c in rng.choice(62, 40, p=np.where(np.arange(62) < 10, 2.8, 34 / 52) / 62)) for _ in range(1500)]
+    bins = [[secrets._bin(secrets.randomness(v, "base62")) for v in values] for values in (made, ids)]
+    count = [np.bincount(b, minlength=secrets.BINS) for b in bins]
+    cut = secrets.least_bin(count[0] + count[1], secrets.RATE, secrets.key_bins("base62", 3))
+    assert count[1][cut:].sum() <= 0.03 * (count[0] + count[1])[cut:].sum() and count[0][cut:].sum() >= 0.9 * 3000
+
+
 def test_turn_order(spark):
     rows = [(1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (2, 0, "assistant"), (3, 0, "user"), (4, 0, "user"), (4, 1, "user"), (4, 2, "assistant")]
     made = chat.format_conversations(spark.createDataFrame([(*x, "t") for x in rows], "conv_id long, turn long, role string, text string"))
