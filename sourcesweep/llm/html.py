@@ -7,6 +7,7 @@ trained by ``html_training`` on pages of random make and lie beside this module.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from html import unescape
@@ -25,15 +26,21 @@ INPUTS = PATH_CELLS + WORD_CELLS + MEASURES
 #: Pages that are read in step, and blocks of them together at most (a longer page is read alone).
 STEP_PAGES, STEP_BLOCKS = 64, 4096
 
-#: Elements that end a block where they begin and end, elements without content, and elements whose text nobody reads.
+#: Elements that end a block where they begin and end, elements without content, and elements whose text is
+#: no markup and that nobody reads; these go on to their end tag, or to the end of the page.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 "
                   "h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
                   "tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style title textarea noscript template svg math iframe object canvas audio video noembed noframes xmp".split())
+UNREAD = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: Elements that stand apart from the text around them without ending a paragraph; an open one doesn't hide what follows.
+APART = frozenset("noscript template svg object canvas audio video".split())
+#: Elements of other languages, in which "/>" closes, and elements that end them when they begin, as those of BLOCK do.
+FOREIGN = frozenset(("svg", "math"))
+LEAVES_FOREIGN = frozenset("b big br code em embed i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 #: A new one of these ends an open one of those.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_HOLDS = frozenset("ul ol menu dl table select body article section div".split())
+_HOLDS = frozenset("ul ol menu dl table select body article section div object template".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -41,12 +48,18 @@ _PART = re.compile(r"[a-z]+")
 _cells: dict[tuple[str, ...], list[int]] = {}
 
 
+@functools.lru_cache(maxsize=None)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
 def leaves(html: str) -> list[tuple[str, tuple[str, ...], int]]:
     """Blocks in page order: text, names on the path, characters inside links."""
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = [0, 0]  # open links, characters inside links
+    foreign = [0]  # open elements of other languages
 
     def text(s: str) -> None:
         if s:
@@ -64,6 +77,7 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], int]]:
 
     def close(k: int) -> None:
         linked[0] -= sum(name == "a" for name, _ in stack[k:])
+        foreign[0] -= sum(name in FOREIGN for name, _ in stack[k:])
         del stack[k:]
 
     at = 0
@@ -79,18 +93,26 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         name = name.lower()
         if end:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if name in BLOCK:
+            if name in BLOCK or name in APART:
                 flush()
             if k is not None:
                 close(k)
             continue
+        while foreign[0] and (name in LEAVES_FOREIGN or name in BLOCK):
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] == "foreignobject")
+            if stack[k][0] not in FOREIGN:
+                break
+            flush()
+            close(k)
         if name in UNREAD:
-            if not rest.endswith("/"):
-                m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = m.end() if m else len(html)
+            if not (foreign[0] and rest.endswith("/")):
+                m = _end_of(name).search(html, at)
+                at = m.end() if m else at if foreign[0] else len(html)
             continue
         if name == "br":
             parts.append(" ")
+        if name in APART:
+            flush()
         if name in BLOCK:
             flush()
             ends = ENDS.get(name)
@@ -99,13 +121,14 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], int]]:
                     close(k)
                 elif stack[k][0] in _HOLDS:
                     break
-        if name in VOID:
+        if name in VOID or rest.endswith("/") and (foreign[0] or name in FOREIGN):
             continue
         names = [f"<{name}"]
         for v in _NAMES.finditer(rest):
             names += _PART.findall((v[1] or v[2] or v[3] or "").lower())
         stack.append((name, (*(stack[-1][1] if stack else ()), *names)))
         linked[0] += name == "a"
+        foreign[0] += name in FOREIGN
     flush()
     return out
 

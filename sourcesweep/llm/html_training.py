@@ -28,6 +28,10 @@ _OTHER = {
 }
 
 
+#: Elements that may stand anywhere, closed or not, with text or without; they say nothing about what is main text.
+_ODD = ["svg", "math", "object", "canvas", "audio", "video", "noscript", "template"]
+
+
 def _words(r: random.Random, low: int, high: int) -> str:
     """Invented prose: the network shall not learn any wording."""
     out = ["".join(r.choice("aeiouàéöñ") + r.choice("bcdfghlmnprstvwxz") for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))]
@@ -76,7 +80,11 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
     for kind in kinds:
         begin, end = _open(r.choice(_MAIN if kind == "main" else _OTHER[kind]))
         wrap = r.choice([("", "")] * 3 + [("<div>", "</div>"), ('<div class="wrap">', "</div>"), ('<div class="container">', "</div>")])
-        body, inner = "".join(m.format(t) for m, t in _inside(r, kind)), ""
+        blocks, inner = [m.format(t) for m, t in _inside(r, kind)], ""
+        if r.random() < 0.3:
+            odd, k = r.choice(_ODD), r.randrange(len(blocks))
+            blocks[k] = r.choice([f"<{odd}>{blocks[k]}</{odd}>", f"<{odd}>{blocks[k]}", f"<{odd}></{odd}>{blocks[k]}", f"<p><{odd}>{_words(r, 1, 9)}</{odd}></p>{blocks[k]}"])
+        body = "".join(blocks)
         if kind == "main" and r.random() < 0.25:  # furniture inside the article
             low, high = _open(r.choice(_OTHER[r.choice(["ad", "side", "comment", "form"])]))
             inner = f"{low}{''.join(m.format(t) for m, t in _inside(r, 'side'))}{high}"
@@ -84,7 +92,7 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
             begin, end = "<main>" + begin, end + "</main>"
         begin, end = wrap[0] + begin, end + wrap[1]
         whole, first = len(H.leaves(begin + body + inner + end)), len(H.leaves(begin + body + end))
-        build += begin + body + inner + end
+        build += (f"<{r.choice(_ODD)}>" if r.random() < 0.03 else "") + begin + body + inner + end
         marks += [kind == "main"] * first + [False] * (whole - first)
     return build + "</body></html>", marks
 

@@ -102,6 +102,21 @@ def test_odd_pages(spark):
     assert text[1] == text[2] == text[6] == "" and text[7] == "a&bc d e f"
 
 
+def test_elements_without_end_tag_and_text_of_odd_elements(spark):
+    """One open element hides nothing, closed ones keep their text, and a script is no text however its tag is written."""
+    long = "One sentence of the article stands here, and a second one follows it to the end. " * 2
+    odd = ["svg", "math", "object", "canvas", "audio", "video", "noscript", "template"]
+    pages = {f"{name} {form}": page for name in odd for form, page in (
+        ("before", f"<body><nav><a href=x>menu</a></nav><{name}><article><p>{long}</p><p>last words of it.</p></article><footer>foot</footer>"),
+        ("open", f"<body><nav><a href=x>menu</a></nav><article><p>{long}</p><{name}><p>last words of it.</p></article><footer>foot</footer>"),
+        ("closed", f"<body><nav><a href=x>menu</a></nav><article><p>{long}</p><p><{name}>last words</{name}> of it.</p></article><footer>foot</footer>"),
+        ("nested", f"<body><article><p>{long}</p><{name}><{name}><p>last words</p></{name}></{name}><p>of it.</p></article><footer>foot</footer>"))}
+    pages["script"] = f"<body><article><p>{long}</p><script src=x/>var a = 1;</script ><p>last words of it.</p></article>"
+    pages["drawing"] = f"<body><article><p>{long}</p><svg><path d='x'/><title/><g/></svg><p>last words of it.</p></article>"
+    found = {r["id"]: r["text"] for r in html.main_text(spark.createDataFrame(list(pages.items()), "id string, html string")).collect()}
+    assert {k: x for k, x in found.items() if x != " ".join(f"{long} last words of it.".split())} == {}
+
+
 def test_redaction_and_likely_candidates(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co, 4111-1111-1111-1111 x", "s"), (2, None, "t"), (3, "", "u")], "doc_id long, text string, spans string")
     rows = {r["doc_id"]: r for r in pii.redact(docs).collect()}
