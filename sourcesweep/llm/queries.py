@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, html, near_dedup, pii, quality, secrets, substrings, toxicity
+from . import bpe, chat, decontamination, exact_dedup, html, near_dedup, pii, quality, secrets, substrings, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -94,8 +94,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_circulant_minhash, op4_substring_dedup, op5_bpe, op6_chat_format,
-                                   op7_pii, op8_quality_rules, op9_toxicity, op10_html_extraction)}
+                                   op7_pii, op8_quality_rules, op9_toxicity, op10_html_extraction, op13_exact_dedup)}
 
 #: Equal SQL, where SQL can say it.
 ORACLES: dict[str, str] = {}
@@ -116,3 +121,9 @@ select conv_id, count(*) as n_turns,
     bool_and(step in ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'))
         and arg_max(role, turn) = 'assistant' as in_order
 from steps group by conv_id"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op13_exact_dedup"] = f"""
+with norm as (select doc_id, {_LOWER} as text from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
+from norm window same as (partition by text)"""
