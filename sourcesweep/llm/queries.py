@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, exact_dedup, html, near_dedup, pii, quality, secrets, substrings, toxicity
+from . import bpe, chat, decontamination, divergence, exact_dedup, html, near_dedup, pii, quality, secrets, substrings, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -94,13 +94,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_circulant_minhash, op4_substring_dedup, op5_bpe, op6_chat_format,
-                                   op7_pii, op8_quality_rules, op9_toxicity, op10_html_extraction, op13_exact_dedup)}
+                                   op7_pii, op8_quality_rules, op9_toxicity, op10_html_extraction, op11_source_divergence, op13_exact_dedup)}
 
 #: Equal SQL, where SQL can say it.
 ORACLES: dict[str, str] = {}
@@ -123,6 +127,26 @@ select conv_id, count(*) as n_turns,
 from steps group by conv_id"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+ORACLES["op11_source_divergence"] = f"""
+with docs as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '{_TERMS}') as terms from documents),
+uses as (select doc_id, lang, source, unnest(terms) as term from docs),
+counts as (select lang, source, term, count(*) as n from uses group by all),
+kept as (select lang, term, count(*) as n from uses group by all having count(distinct doc_id) >= 3),
+langs as (select lang, sum(n)::hugeint as total, count(*)::hugeint as terms from kept group by all),
+groups as (select lang, source, coalesce(sum(k.n), 0)::hugeint as total
+    from (select distinct lang, source from docs) left join (select c.* from counts c semi join kept using (lang, term)) k using (lang, source) group by all),
+prices as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.total + l.terms) as p,
+        1 + (1000000000 * (k.n::hugeint + 1)) // (l.total + l.terms) as q
+    from groups g join langs l using (lang) join kept k using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select g.lang, g.source, h.source as item, coalesce(s.value, 0) as value from groups g join groups h on h.lang = g.lang and h.source <> g.source
+    left join (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+        from prices a join prices b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) s
+    on s.lang = g.lang and s.source = g.source and s.item = h.source),
+tops as (select lang, source, term as item, ((p - q) * (p - q)) // q as value from prices where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value::bigint as value, row_number() over (partition by lang, source order by value desc, item)::integer as rank from pairs
+union all select lang, source, 'term', item, value::bigint, row_number() over (partition by lang, source order by value desc, item)::integer as rank from tops
+    qualify rank <= 200"""
 ORACLES["op13_exact_dedup"] = f"""
 with norm as (select doc_id, {_LOWER} as text from documents)
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
