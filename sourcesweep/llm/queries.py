@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, divergence, exact_dedup, html, near_dedup, pii, quality, secrets, substrings, toxicity
+from . import bpe, chat, decontamination, divergence, exact_dedup, html, near_dedup, pii, quality, resampling, secrets, substrings, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -98,13 +98,19 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_circulant_minhash, op4_substring_dedup, op5_bpe, op6_chat_format,
-                                   op7_pii, op8_quality_rules, op9_toxicity, op10_html_extraction, op11_source_divergence, op13_exact_dedup)}
+                                   op7_pii, op8_quality_rules, op9_toxicity, op10_html_extraction, op11_source_divergence, op12_importance_resampling,
+                                   op13_exact_dedup)}
 
 #: Equal SQL, where SQL can say it.
 ORACLES: dict[str, str] = {}
