@@ -6,11 +6,12 @@ from .plans.report import report_lines, write_report
 from .plans.scan import (Scan, code_findings, register_advisories, register_analyzer, scan)
 from .rules.catalog import build_rules, catalogue_frame, custom_rule
 from .session import tune
+from .sources.feeds import read_feed
 from .sources.files import normalise_files
-from .sources.tree import read_tree
+from .sources.tree import open_tree, read_tree
 
 __all__ = [
     "CsrfOptions", "FunctionOptions", "Scan", "SecretOptions", "SmellOptions", "build_rules", "catalogue_frame",
-    "code_findings", "custom_rule", "normalise_files", "read_tree", "register_advisories",
+    "code_findings", "custom_rule", "normalise_files", "open_tree", "read_feed", "read_tree", "register_advisories",
     "register_analyzer", "report_lines", "scan", "tune", "write_report",
 ]

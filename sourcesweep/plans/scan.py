@@ -14,6 +14,7 @@ from ..operators.matching import vulnerabilities
 from ..operators.structure import CsrfOptions, FunctionOptions, structure_findings
 from ..rules.catalog import ANALYZERS, CRITICAL_ENDPOINTS, Rule, build_rules
 from ..schema import ADVISORY, FINDING_COLUMNS
+from ..sources.problems import every_problem, file_problems, manifest_problems
 
 _FAMILY = {name: family for family, name in ANALYZERS.items()}
 _REGISTERED: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -99,6 +100,7 @@ class Scan:
     dependencies: DataFrame
     findings: DataFrame | None
     vulnerabilities: DataFrame | None
+    problems: DataFrame
 
     def vulnerability_counts(self, *by: str) -> DataFrame:
         return severity_counts(self.vulnerabilities, *by)
@@ -109,12 +111,13 @@ class Scan:
 
 def scan(files: DataFrame, sources: list[tuple[str, DataFrame]] | None = None,
          analyzers: str | Iterable[str] | None = "all", strict_ranges: bool = False,
-         **options) -> Scan:
+         problems: DataFrame | None = None, **options) -> Scan:
     """Scan a files table.
 
     ``sources`` are ``(kind, advisories)`` pairs in order of preference, see
     :func:`sourcesweep.operators.matching.vulnerabilities`; registered tables follow by rank.
-    ``analyzers=None`` skips the code scan.  Further keywords go to :func:`code_findings`.
+    ``analyzers=None`` skips the code scan.  ``problems`` of reading the files or feeds join those of
+    the manifests in the result.  Further keywords go to :func:`code_findings`.
     """
     deps = dependencies(files)
     every = list(sources or [])
@@ -122,4 +125,5 @@ def scan(files: DataFrame, sources: list[tuple[str, DataFrame]] | None = None,
         every.append(("table", table))
     vulns = vulnerabilities(deps, every, strict_ranges) if every else None
     findings = code_findings(files, analyzers, **options) if analyzers else None
-    return Scan(files, deps, findings, vulns)
+    told = every_problem(file_problems(files), manifest_problems(files), *[p for p in (problems,) if p is not None])
+    return Scan(files, deps, findings, vulns, told)

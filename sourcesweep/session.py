@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder for files that a job hands on: the shared one; a temporary one only where all runs in one process, as in tests."""
+    folder = shared_folder(spark)
+    if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or tempfile.gettempdir()).rstrip('/')}/sourcesweep-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import score_from_severity, severity_from_score, severity_from_text
 from ..functions.versions import version_key
-from ..schema import GHSA_RAW, NVD_RAW, OSV_RAW
+from .feeds import read_feed
 
 # --- fixed values ---------------------------------------------------------------------------
 OSV_ECOSYSTEMS = {"npm": "npm", "pypi": "PyPI", "gem": "RubyGems", "composer": "Packagist",
@@ -27,17 +27,17 @@ VERSION_RANGES = ("SEMVER", "ECOSYSTEM")
 
 def read_nvd(spark: SparkSession, path: str) -> DataFrame:
     """NVD feed pages: one JSON object with a ``vulnerabilities`` list per file."""
-    return spark.read.schema(NVD_RAW).option("multiLine", True).json(path)
+    return read_feed(spark, path, "nvd").documents
 
 
 def read_osv(spark: SparkSession, path: str) -> DataFrame:
-    """OSV documents, one JSON object per line."""
-    return spark.read.schema(OSV_RAW).json(path)
+    """OSV documents, one per file or line; :func:`sourcesweep.sources.feeds.read_feed` also tells what could not be read."""
+    return read_feed(spark, path, "osv").documents
 
 
 def read_ghsa(spark: SparkSession, path: str) -> DataFrame:
-    """Advisory nodes with ``package`` and ``ecosystem``, one JSON object per line."""
-    return spark.read.schema(GHSA_RAW).json(path)
+    """Advisory nodes with ``package`` and ``ecosystem``, one per file or line."""
+    return read_feed(spark, path, "github-advisory").documents
 
 
 def _texts(expr: Column) -> Column:

@@ -591,4 +591,6 @@ ORACLES: dict[str, str] = {
       select project, count(*) filter (kind = 'm') as manifests,
         count(*) filter (kind = 'd') as dependencies, count(*) filter (kind = 'f') as findings,
         count(*) filter (kind = 'v') as vulnerabilities from parts group by project""",
+    "scan_problems": packages.problems_sql(),
+    "feed_documents": f"with {_FEEDS} select {_FLAT}, package, ecosystem from osvs",
 }

@@ -216,3 +216,56 @@ def ghsa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(">= 1.0, < "), k % 50, F.lit(".0")).alias("vulnerableVersionRange"),
         F.when(k % 2 == 0, F.struct(F.concat(k % 50, F.lit(".0")).alias("identifier")))
         .alias("firstPatchedVersion")), GHSA_RAW)
+
+
+# --- damaged inputs and feeds as files ------------------------------------------------------
+
+def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifests as bytes; some are cut, empty, not UTF-8 or hold sections of another kind."""
+    kind = F.substring_index(F.substring_index("path", "/", 1), "m", -1).cast("bigint") % 8
+    text = (F.when(kind == 0, F.expr("left(content, length(content) div 2)"))
+            .when(kind == 3, F.replace(F.replace("content", F.lit('"dependencies": {'), F.lit('"dependencies": [7], "other": {')),
+                                       F.lit('"require": {'), F.lit('"require": "x", "other": {'))).otherwise(F.col("content")))
+    raw = F.when(kind == 1, F.lit(None)).when(kind == 2, F.concat(text.cast("binary"), F.unhex(F.lit("FF")))).otherwise(text.cast("binary"))
+    return manifest_files(spark, sf_dir).select("project", "path", raw.alias("content"))
+
+
+def osv_texts(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """``k`` and the JSON text of each OSV document."""
+    raw = osv_raw(spark, sf_dir)
+    return raw.select(F.substring_index("id", "-", -1).cast("bigint").alias("k"), F.to_json(F.struct(*raw.columns), options).alias("text"))
+
+
+def damaged_osv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feed file per document; some are cut, lack the id, or hold a number for a list."""
+    text = (F.when(F.col("k") % 9 == 0, F.left("text", F.lit(25)))
+            .when(F.col("k") % 9 == 1, F.regexp_replace("text", '"id":"[^"]*",', ""))
+            .when(F.col("k") % 9 == 3, F.concat(F.lit("[\n"), "text", F.lit("\n]")))
+            .when(F.col("k") % 9 == 5, F.replace("text", F.lit('"affected":['), F.lit('"affected":7,"other":['))).otherwise(F.col("text")))
+    return osv_texts(spark, sf_dir).select(F.concat(F.lit("osv/"), "k", F.lit(".json")).alias("path"), text.alias("content"))
+
+
+def write_osv_dump(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The OSV documents as files: most one a line, every tenth in a file of its own, printed over many lines, half of these as lists."""
+    k = F.col("k")
+    osv_texts(spark, sf_dir).where(k % 10 != 0).select("text").write.text(f"{path}/lines")
+    pretty = osv_texts(spark, sf_dir, pretty="true").where(k % 10 == 0)
+    one = F.when(k % 20 == 0, F.col("text")).otherwise(F.concat(F.lit("[\n"), "text", F.lit("\n]")))
+    pretty.select(one).write.option("maxRecordsPerFile", 1).text(f"{path}/single")
+
+
+def problems_sql() -> str:
+    """Problems of the damaged files, by how they were damaged."""
+    return f"""with {manifests_sql()}, {advisory_sql()},
+  damaged as (select *, regexp_extract(path, '^m([0-9]+)/', 1)::bigint % 8 as kind,
+      regexp_extract(path, '^m([0-9]+)/', 1)::bigint % 5 = 0 as no_dev from manifests)
+  select project, path, 'read' as stage, case kind when 1 then 'no content' else 'not UTF-8, invalid bytes dropped' end as reason
+    from damaged where kind = 1 or kind = 2 and name <> 'README.md'
+  union all select project, path, 'manifest', case when kind = 0 then 'not a JSON object'
+      when name = 'composer.json' then 'not an object: require'
+      when kind = 3 then 'not an object: dependencies' || (case when no_dev then ', devDependencies' else '' end)
+      else 'not an object: devDependencies' end
+    from damaged where kind <> 1 and (name in ('package.json', 'composer.json') and kind in (0, 3)
+      or name = 'package.json' and no_dev)
+  union all select null, 'osv/' || k || '.json', 'osv', case k % 9 when 0 then 'not a JSON document'
+      when 1 then 'line 1: no id' else 'line 1: a field has another type' end from adv where k % 9 in (0, 1, 5)"""

@@ -20,9 +20,11 @@ from ..operators.structure import CsrfOptions, FunctionOptions, structure_findin
 from ..plans.report import finding_rows, vulnerability_rows
 from ..plans.scan import code_findings
 from ..rules.catalog import build_rules, rules_frame
-from ..session import materialised
+from ..session import materialised, work_folder
 from ..sources import advisories as adv
-from ..sources.files import is_skipped, lines_of
+from ..sources.feeds import feed_of
+from ..sources.files import is_skipped, lines_of, normalise_files
+from ..sources.problems import every_problem, file_problems, manifest_problems
 from . import corpus, packages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +281,20 @@ def scan_counters(spark, sf_dir):
     return counts.scan_counts(manifest, deps, line_findings(code, build_rules(["LINE"])), vulns)
 
 
+def scan_problems(spark, sf_dir):
+    """What a scan of damaged manifests and feed files passes over or reads in part."""
+    raw = packages.damaged_files(spark, sf_dir)
+    feed = feed_of(packages.damaged_osv(spark, sf_dir), "osv")
+    return every_problem(file_problems(raw), manifest_problems(normalise_files(raw)), feed.problems)
+
+
+def feed_documents(spark, sf_dir):
+    """Advisories read back from feed files of several layouts that the query writes."""
+    path = work_folder(spark)
+    packages.write_osv_dump(spark, sf_dir, path)
+    return _flat(adv.osv_advisories(adv.read_osv(spark, path)))
+
+
 QUERIES: dict[str, Query] = {
     "rule_line_findings": rule_line_findings,
     "risk_counts": risk_counts,
@@ -338,4 +354,6 @@ QUERIES: dict[str, Query] = {
     "top_risky_files": top_risky_files,
     "rule_catalog": rule_catalog,
     "scan_counters": scan_counters,
+    "scan_problems": scan_problems,
+    "feed_documents": feed_documents,
 }

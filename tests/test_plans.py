@@ -46,7 +46,7 @@ def test_tree_source(spark, tmp_path):
     assert {(r.project, r.path): r.content for r in rows} == {
         ("one", "__init__.py"): "x", ("one", ".hid.py"): "y", ("one", ".github/x.py"): "a\nb\nc",
         ("two", "_priv/deep/er/y.py"): "bad  byte", ("two", "top.js"): "eval(x)"}
-    single = list_tree(spark, str(tmp_path), depth=1).collect()
+    single = list_tree(spark, str(tmp_path), at_once=1).collect()
     assert {r.path for r in single} == set(wanted)
     assert {r.project for r in single} == {tmp_path.name}
 
