@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def version_key(version: Column) -> Column:
 def in_range(key: Column, events: Column) -> Column:
     """Whether a version key lies in an event range.
 
-    ``events`` is ``array<struct<kind string, key array<decimal(38,1)>>>`` with kinds ``introduced``,
+    ``events`` is ``array<struct<kind string, key>>``, with keys of the version key's own type and kinds ``introduced``,
     ``fixed`` and ``last_affected``: a version is affected from an ``introduced`` event up to the
     next ``fixed`` (exclusive) or ``last_affected`` (inclusive) event.
     """
@@ -68,13 +70,13 @@ def in_range(key: Column, events: Column) -> Column:
     return F.exists(events, lambda s: (s["kind"] == "introduced") & (s["key"] <= key) & ~ended(s))
 
 
-def satisfies(key: Column, version_range: Column) -> Column:
-    """Whether a version key meets every part of a range such as ``>= 1.2, < 2.0``."""
+def satisfies(key: Column, version_range: Column, key_of: Callable[[Column], Column] = version_key) -> Column:
+    """Whether a version key meets every part of a range such as ``>= 1.2, < 2.0``; ``key_of`` makes the keys of its bounds."""
     parts = F.filter(F.split(F.coalesce(version_range, F.lit("")), ","), lambda p: F.trim(p) != "")
 
     def meets(part: Column) -> Column:
         op = F.regexp_extract(part, r"^\s*(>=|<=|!=|>|<|=)?", 1)
-        bound = version_key(F.regexp_replace(part, r"^\s*(>=|<=|!=|>|<|=)?", ""))
+        bound = key_of(F.regexp_replace(part, r"^\s*(>=|<=|!=|>|<|=)?", ""))
         return (
             F.when(op == ">=", key >= bound).when(op == "<=", key <= bound)
             .when(op == "!=", key != bound).when(op == ">", key > bound)
@@ -82,3 +84,132 @@ def satisfies(key: Column, version_range: Column) -> Column:
         )
 
     return F.forall(parts, meets)
+
+
+# --- order by ecosystem ---------------------------------------------------------------------
+# A version becomes a string whose order as bytes is the ecosystem's order of versions.  Numbers carry
+# their length, so that they compare as numbers.  After the numbers of the release comes a mark: below "3"
+# where the version is before its release, "3" where the numbers end, above where they go on.
+
+#: Names under which the sources know ecosystems, by the rule that orders their versions.
+SEMVER_NAMES = ("npm", "NPM", "crates.io", "RUST", "cargo", "Go", "GO", "Hex", "Pub", "SwiftURL")
+PEP440_NAMES = ("pypi", "PyPI", "PIP")
+GEM_NAMES = ("gem", "RubyGems", "RUBYGEMS")
+COMPOSER_NAMES = ("composer", "Packagist", "COMPOSER")
+#: Stages of Python and PHP packages in their order; names of one rank are equal.
+PEP440_STAGES = (("a", "alpha"), ("b", "beta"), ("c", "rc", "pre", "preview"))
+COMPOSER_STAGES = (("dev",), ("a", "alpha"), ("b", "beta"), ("rc",), ("stable", ""), ("p", "pl", "patch"))
+
+_END = "\x01"
+_PEP440 = (r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|rc|c)[-_.]?([0-9]*))?"
+           r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$")
+_COMPOSER = (r"(?i)^\s*v?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(stable|beta|b|rc|alpha|a|patch|pl|p|dev)[-_.]?([0-9]+(?:\.[0-9]+)*)?)?"
+             r"([-_.]?dev)?(?:\+.*)?\s*$")
+_SEMVER = r"^\s*[vV=]*\s*([0-9]+(?:\.[0-9]+)*)(?:[-_.]?([0-9A-Za-z][0-9A-Za-z.-]*))?(?:\+.*)?\s*$"
+
+
+def _sortable(digits: Column) -> Column:
+    """Digits with their number ahead; an empty text is zero."""
+    bare = F.regexp_replace(F.concat(F.lit("0"), digits), "^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)
+
+
+def _segments(parts: Column) -> Column:
+    """Numbers and words in order, as if zeros without end came after the last: zeros before the end count for nothing, a word is less than any number."""
+    def step(acc: Column, x: Column) -> Column:
+        word, zero = x.rlike("^[^0-9]"), x.rlike("^0+$")
+        run = F.lpad(acc["zeros"].cast("string"), 4, "0")
+        back = F.lpad((F.lit(9999) - acc["zeros"]).cast("string"), 4, "0")
+        made = F.when(word, F.concat(F.when(acc["zeros"] == 0, "1").otherwise(F.concat(F.lit("2"), run)), x, F.lit(_END))).otherwise(
+            F.concat(F.when(acc["zeros"] == 0, "5").otherwise(F.concat(F.lit("4"), back)), _sortable(x)))
+        return F.struct(F.when(zero, acc["key"]).otherwise(F.concat(acc["key"], made)).alias("key"), F.when(zero, acc["zeros"] + 1).otherwise(0).alias("zeros"))
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("key"), F.lit(0).alias("zeros")), step, lambda acc: acc["key"])
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+
+
+def _ranked(name: Column, stages: tuple[tuple[str, ...], ...]) -> Column:
+    expr = None
+    for rank, names in enumerate(stages):
+        expr = (F if expr is None else expr).when(name.isin(*names), str(rank))
+    return expr.otherwise("")
+
+
+def _general_key(text: Column) -> Column:
+    """Any version: numbers, and before its release one with a stage of :data:`STAGES`."""
+    stage = F.lower(F.regexp_extract(text, _STAGED, 2))
+    staged = F.concat(_segments(_found(F.regexp_extract(text, _STAGED, 1), "[0-9]+")), F.lit("1"), _ranked(stage, STAGES),
+                      _segments(_found(F.regexp_extract(text, _STAGED, 3), "[0-9]+")), F.lit("3"))
+    return F.when(stage != "", staged).otherwise(F.concat(_segments(_found(text, "[0-9]+")), F.lit("3")))
+
+
+def _semver_key(text: Column) -> Column:
+    """Semantic versions: whatever follows the numbers is before the release, numbers in it before words, build data is left out."""
+    tag = F.regexp_extract(text, _SEMVER, 2)
+    identifiers = F.transform(F.split(tag, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("2"), _sortable(x))).otherwise(
+        F.concat(F.lit("4"), x, F.lit(_END))))
+    key = F.concat(_segments(_found(F.regexp_extract(text, _SEMVER, 1), "[0-9]+")),
+                   F.when(tag == "", "3").otherwise(F.concat(F.lit("1"), F.array_join(identifiers, ""), F.lit("0"))))
+    return F.when(text.rlike(_SEMVER), key).otherwise(_general_key(text))
+
+
+def _pep440_key(text: Column) -> Column:
+    """Python versions: epoch, release, alpha to candidate, post, dev and local part."""
+    def part(n: int) -> Column:
+        return F.lower(F.regexp_extract(text, _PEP440, n))
+
+    post, dev, local = part(5) != "", part(8) != "", part(10)
+    posted = post | (part(6) != "")
+    stage = F.when(part(3) != "", F.concat((_ranked(part(3), PEP440_STAGES).cast("int") + 1).cast("string"), _sortable(part(4)))).when(
+        ~posted & dev, "0").otherwise("4")
+    locals_ = F.transform(_found(local, "[a-z0-9]+"), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("5"), _sortable(x))).otherwise(F.concat(F.lit("4"), x, F.lit(_END))))
+    key = F.concat(_sortable(part(1)), _segments(_found(part(2), "[0-9]+")), F.lit("3"), stage,
+                   F.when(posted, F.concat(F.lit("1"), _sortable(F.when(post, part(5)).otherwise(part(7))))).otherwise("0"),
+                   F.when(dev, F.concat(F.lit("0"), _sortable(part(9)))).otherwise("1"),
+                   F.when(local == "", "0").otherwise(F.concat(F.lit("1"), F.array_join(locals_, ""), F.lit("0"))))
+    return F.when(text.rlike(_PEP440), key).otherwise(F.concat(_sortable(F.lit("")), _general_key(text)))
+
+
+def _gem_key(text: Column) -> Column:
+    """Ruby versions: numbers and words, a word before any number; a dash stands for ``.pre.``."""
+    return F.concat(_segments(_found(F.regexp_replace(text, "-", ".pre."), "[0-9]+|[A-Za-z]+")), F.lit("3"))
+
+
+def _composer_key(text: Column) -> Column:
+    """PHP versions: release, then dev, alpha, beta, candidate, none, patch, each with its numbers."""
+    stage = F.lower(F.regexp_extract(text, _COMPOSER, 2))
+    more = F.when(F.regexp_extract(text, _COMPOSER, 4) != "", "0").otherwise("1")
+    key = F.concat(_segments(_found(F.regexp_extract(text, _COMPOSER, 1), "[0-9]+")), F.lit("3"), _ranked(stage, COMPOSER_STAGES),
+                   _segments(_found(F.regexp_extract(text, _COMPOSER, 3), "[0-9]+")), F.lit("3"), more)
+    return F.when(text.rlike(_COMPOSER), key).otherwise(_general_key(text))
+
+
+def order_key(version: Column, ecosystem: Column) -> Column:
+    """A string that sorts as versions do in an ecosystem, given by any of its names.
+
+    Keys of one ecosystem compare with each other only.  Null and texts without digits come first.  Ecosystems without a
+    rule of their own follow :data:`STAGES`.
+    """
+    text = F.coalesce(version, F.lit(""))
+    return (F.when(ecosystem.isin(*SEMVER_NAMES), _semver_key(text)).when(ecosystem.isin(*PEP440_NAMES), _pep440_key(text))
+            .when(ecosystem.isin(*GEM_NAMES), _gem_key(text)).when(ecosystem.isin(*COMPOSER_NAMES), _composer_key(text))
+            .otherwise(_general_key(text)))
+
+
+def range_bounds(version_range: Column, ecosystem: Column) -> Column:
+    """The parts of a range such as ``>= 1.2, < 2.0`` as ``array<struct<op, key>>`` with keys of :func:`order_key`."""
+    parts = F.filter(F.split(F.coalesce(version_range, F.lit("")), ","), lambda p: F.trim(p) != "")
+    return F.transform(parts, lambda p: F.struct(
+        F.regexp_extract(p, r"^\s*(>=|<=|!=|>|<|=)?", 1).alias("op"),
+        order_key(F.trim(F.regexp_replace(p, r"^\s*(>=|<=|!=|>|<|=)?", "")), ecosystem).alias("key")))
+
+
+def within(key: Column, bounds: Column) -> Column:
+    """Whether a key meets all bounds; no bounds hold every version."""
+    return F.forall(bounds, lambda b: (
+        F.when(b["op"] == ">=", key >= b["key"]).when(b["op"] == "<=", key <= b["key"])
+        .when(b["op"] == "!=", key != b["key"]).when(b["op"] == ">", key > b["key"])
+        .when(b["op"] == "<", key < b["key"]).otherwise(key == b["key"])))

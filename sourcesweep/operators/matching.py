@@ -3,26 +3,30 @@
 Occurrences of one package version can make up a large part of all rows, so matching works on the
 distinct ``(type, name, clean)`` keys, which are aggregated before any shuffle.  Advisory text stays
 out of it: matching moves keys and advisory numbers, de-duplicates, and only then picks up the text.
-The last join puts the result back on the occurrences; it is a plain inner equi-join, which adaptive
-execution splits where one key is hot.  No side is broadcast by hint: Spark decides on sizes.
+Counts never see an occurrence or a text: occurrences are counted by key, severities by key, and the
+two are joined.  The join that puts results back on the occurrences is a plain inner equi-join, which
+adaptive execution splits where one key is hot.  No side is broadcast by hint: Spark decides on sizes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import vulnerability_type
-from ..functions.versions import in_range, satisfies, version_key
+from ..functions.versions import in_range, order_key, range_bounds, within
 from ..session import materialised
 from ..sources.advisories import (DEFAULT_REMEDIATION, GHSA_ECOSYSTEMS, NO_DESCRIPTION,
                                   OSV_ECOSYSTEMS, ecosystem_of)
+from .counts import LEVELS, level_counts
 from .manifests import checkable
 
 KEY = ["type", "name", "clean"]
-_WORD = r"[a-z0-9@](?:[a-z0-9._@/+-]*[a-z0-9])?"
+#: What lies between words, and what is cut off a word: leading and trailing marks, and a v before a version.
+_BETWEEN, _MARKS = r"[^\p{L}\p{N}._@/+-]+", r"^[./+-]+|[./@-]+$"
 
 
 def dependency_keys(deps: DataFrame) -> DataFrame:
@@ -31,9 +35,11 @@ def dependency_keys(deps: DataFrame) -> DataFrame:
 
 
 def number_advisories(advisories: DataFrame) -> DataFrame:
-    """Add ``adv_no``, a content-derived number, so that text can be picked up after matching."""
-    cols = [c for c, t in advisories.dtypes if not t.startswith("map")]
-    return advisories.withColumn("adv_no", F.xxhash64(*cols))
+    """Add ``adv_no``, the digest of the whole row, so that text can be picked up after matching.
+
+    Rows with one digest are the same advisory, whatever order they come in.
+    """
+    return advisories.withColumn("adv_no", F.unhex(F.sha2(F.to_json(F.struct(*advisories.columns)), 256)))
 
 
 def _version_hit(version: Column) -> Column:
@@ -47,51 +53,54 @@ def _version_hit(version: Column) -> Column:
 
 
 def match_osv(keys: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Keys joined to OSV rows by package, ecosystem and version.
+    """Keys joined to OSV rows by package, ecosystem and version, in the ecosystem's own order of versions.
 
     A dependency type the source does not know is matched by name in every ecosystem.
     """
-    left = keys.select(*KEY, ecosystem_of(F.col("type"), OSV_ECOSYSTEMS).alias("eco"),
-                       version_key(F.col("clean")).alias("key"))
+    left = keys.select(*KEY, ecosystem_of(F.col("type"), OSV_ECOSYSTEMS).alias("eco"))
     slim = advisories.select("adv_no", "id", "package", "ecosystem", "versions", "events")
-    known = left.filter(F.col("eco").isNotNull()).join(
+    known = left.filter(F.col("eco").isNotNull()).withColumn("key", order_key(F.col("clean"), F.col("eco"))).join(
         slim, (F.col("name") == F.col("package")) & (F.col("eco") == F.col("ecosystem")))
-    other = left.filter(F.col("eco").isNull()).join(slim, F.col("name") == F.col("package"))
-    return known.unionByName(other).filter(_version_hit(F.col("clean"))).select(
+    other = left.filter(F.col("eco").isNull()).join(slim, F.col("name") == F.col("package")).withColumn(
+        "key", order_key(F.col("clean"), F.col("ecosystem")))
+    return known.unionByName(other.select(*known.columns)).filter(_version_hit(F.col("clean"))).select(
         *KEY, "adv_no", "id")
 
 
 def match_ghsa(keys: DataFrame, advisories: DataFrame, strict_ranges: bool = False) -> DataFrame:
     """Keys joined to advisory nodes by package and ecosystem; unknown types match nothing.
 
-    The version range is reported but not tested unless ``strict_ranges`` is set.
+    Every node of a package is a hit, as the source's own answer has it; ``outside`` tells that the version is not in
+    the node's range, ``behind`` that its patched version is unknown or not above it.  ``strict_ranges`` leaves out what is outside.
     """
-    left = keys.select(*KEY, ecosystem_of(F.col("type"), GHSA_ECOSYSTEMS).alias("eco"))
-    slim = advisories.select("adv_no", "id", "package", "ecosystem", "affected_versions")
-    hits = left.join(slim, (F.col("name") == F.col("package"))
-                     & (F.col("eco") == F.col("ecosystem")))
-    if strict_ranges:
-        hits = hits.filter(satisfies(version_key(F.col("clean")), F.col("affected_versions")))
-    return hits.select(*KEY, "adv_no", "id")
+    left = keys.select(*KEY, ecosystem_of(F.col("type"), GHSA_ECOSYSTEMS).alias("eco")).filter(
+        F.col("eco").isNotNull()).withColumn("key", order_key(F.col("clean"), F.col("eco")))
+    slim = advisories.select(
+        "adv_no", "id", "package", "ecosystem", range_bounds(F.col("affected_versions"), F.col("ecosystem")).alias("bounds"),
+        F.when(F.col("patched").isNotNull(), order_key(F.col("patched"), F.col("ecosystem"))).alias("patched"))
+    hits = left.join(slim, (F.col("name") == F.col("package")) & (F.col("eco") == F.col("ecosystem")))
+    hits = hits.select(*KEY, "adv_no", "id", (~within(F.col("key"), F.col("bounds"))).alias("outside"),
+                       F.coalesce(F.col("patched") <= F.col("key"), F.lit(True)).alias("behind"), "patched")
+    return hits.filter(~F.col("outside")) if strict_ranges else hits
 
 
 def words(text: Column) -> Column:
-    """Distinct lower-case words; dots, dashes and slashes inside a word are kept."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), F.lit(1)))
+    """Distinct lower-case words; dots, dashes, slashes and plus signs inside or behind a word are kept, ``v2.0`` counts as ``2.0``."""
+    cut = F.transform(F.split(F.lower(text), _BETWEEN), lambda w: F.regexp_replace(F.regexp_replace(w, _MARKS, ""), "^v(?=[0-9])", ""))
+    return F.array_distinct(F.filter(cut, lambda w: w != ""))
 
 
 def match_keywords(keys: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Keys joined to advisories whose description holds every word of ``name version``.
+    """Keys joined to advisories whose description holds every word of ``name version``, both cut into words by one rule.
 
     An inverted index is joined on each key's rarest word only, so common words such as version
     numbers never multiply rows; the other words are tested on the few pairs that remain.
     """
-    texts = advisories.select("adv_no", "id", words(F.col("description")).alias("words"))
+    texts = materialised(advisories.select("adv_no", "id", words(F.col("description")).alias("words")))
     postings = texts.select("adv_no", F.explode("words").alias("word"))
     frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
 
-    query = F.array_distinct(F.filter(
-        F.split(F.lower(F.concat_ws(" ", "name", "clean")), r"\s+"), lambda w: w != ""))
+    query = words(F.concat_ws(" ", "name", "clean"))
     wanted = keys.select(*KEY, query.alias("query"))
     anchors = (
         wanted.select(*KEY, F.size("query").alias("n"), F.explode("query").alias("word"))
@@ -106,19 +115,50 @@ def match_keywords(keys: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def first_per_id(matches: list[DataFrame]) -> DataFrame:
-    """One row per key and advisory id: the first source in the list that has it wins."""
-    ranked = [m.filter(F.length("id") > 0).withColumn("rank", F.lit(i))
-              for i, m in enumerate(matches)]
-    every = reduce(DataFrame.unionByName, ranked)
-    best = every.groupBy(*KEY, "id").agg(F.min(F.struct("rank", "adv_no")).alias("best"))
-    return best.select(*KEY, "best.rank", "best.adv_no")
+    """One row per key and advisory id: the first source in the list that has it wins.
 
+    Of several rows of one source, the branch that holds the version wins, then one whose patched version lies above it,
+    the least of these; rows that are alike in all this differ by their content, and the least digest wins.
+    """
+    def full(m: DataFrame) -> DataFrame:
+        given = {"outside": F.lit(False), "behind": F.lit(True), "patched": F.lit(None).cast("string")}
+        return m.select(*KEY, "id", "adv_no", *[F.col(c) if c in m.columns else e.alias(c) for c, e in given.items()])
 
-def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],
-                    strict_ranges: bool = False) -> DataFrame:
-    """Vulnerability rows of all dependency occurrences.
+    every = reduce(DataFrame.unionByName, [
+        full(m.filter(F.length("id") > 0)).withColumn("rank", F.lit(i)) for i, m in enumerate(matches)])
+    order = F.struct("rank", "outside", "behind", "patched", "adv_no")
+    return every.groupBy(*KEY, "id").agg(F.min(order).alias("best")).select(*KEY, "id", "best.rank", "best.adv_no")
+
+
+@dataclass(frozen=True)
+class Matched:
+    """Dependencies and what was found for their distinct keys; see :func:`match`."""
+
+    deps: DataFrame
+    per_key: DataFrame
+    texts: DataFrame
 
-    Dependencies, their distinct keys and the advisories are each used several times, so they are
+    def vulnerabilities(self) -> DataFrame:
+        """A row for each occurrence and advisory; all that depends on the advisory alone is worked out before that join."""
+        found = self.per_key.join(self.texts, ["rank", "adv_no"])
+        return checkable(self.deps).join(found.drop("adv_no"), KEY).select(
+            "project", "path", "dep_seq", "rank", F.col("name").alias("package"), F.col("clean").alias("version"),
+            F.col("id").alias("cve"), "source", F.col("kind").alias("type"), "description", "cvss_score", "severity",
+            "references", "remediation")
+
+    def counts(self, *by: str) -> DataFrame:
+        """Totals by severity over all occurrences, by columns of the dependencies, without joining occurrences or texts."""
+        levels = [level.lower() for level in LEVELS]
+        per_key = self.per_key.join(self.texts.select("rank", "adv_no", "severity"), ["rank", "adv_no"]).groupBy(*KEY).agg(*level_counts(F.col("severity")))
+        weights = checkable(self.deps).groupBy(*by, *KEY).agg(F.count("*").alias("n"))
+        sums = [F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0)).alias(c) for c in ("total", *levels, "unknown")]
+        return weights.join(per_key, KEY).groupBy(*by).agg(*sums)
+
+
+def match(deps: DataFrame, sources: list[tuple[str, DataFrame]], strict_ranges: bool = False) -> Matched:
+    """Match all dependencies with all sources.
+
+    Dependencies, their distinct keys, the advisories and the matches are each used several times, so they are
     written to the shared folder first (see :func:`sourcesweep.session.materialised`); the joins
     on top are lazy.
 
@@ -146,20 +186,19 @@ def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],
         else:
             raise ValueError(f"unknown advisory source {kind!r}")
         found.append(hits)
-    text = ["adv_no", "id", "source", "description", "cvss_score", "severity", "references",
-            "remediation"]
-    texts = reduce(DataFrame.unionByName, [
-        adv.select(*text, F.lit(i).alias("rank")) for i, (_, adv) in enumerate(numbered)])
-    texts = texts.dropDuplicates(["rank", "adv_no"])
-    per_key = first_per_id(found).join(texts, ["rank", "adv_no"])
-    joined = checkable(deps).join(per_key, KEY)
-    return joined.select(
-        "project", "path", "dep_seq", "rank", F.col("name").alias("package"),
-        F.col("clean").alias("version"), F.col("id").alias("cve"),
-        F.coalesce("source", F.lit("unknown")).alias("source"),
-        vulnerability_type(F.col("description")).alias("type"),
+    texts = reduce(DataFrame.unionByName, [adv.select(
+        F.lit(i).alias("rank"), "adv_no", F.coalesce("source", F.lit("unknown")).alias("source"),
+        vulnerability_type(F.col("description")).alias("kind"),
         F.coalesce("description", F.lit(NO_DESCRIPTION)).alias("description"),
         F.coalesce("cvss_score", F.lit(0.0)).alias("cvss_score"),
         F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
         F.coalesce("references", F.array().cast("array<string>")).alias("references"),
         F.coalesce("remediation", F.lit(DEFAULT_REMEDIATION)).alias("remediation"))
+        for i, (_, adv) in enumerate(numbered)])
+    return Matched(deps, materialised(first_per_id(found)), texts.dropDuplicates(["rank", "adv_no"]))
+
+
+def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],
+                    strict_ranges: bool = False) -> DataFrame:
+    """Vulnerability rows of all dependency occurrences; :func:`match` describes the arguments."""
+    return match(deps, sources, strict_ranges).vulnerabilities()

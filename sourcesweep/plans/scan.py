@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators.counts import risk_counts, severity_counts
+from ..operators.counts import risk_counts
 from ..operators.lines import SecretOptions, SmellOptions, line_findings
 from ..operators.manifests import dependencies
-from ..operators.matching import vulnerabilities
+from ..operators.matching import Matched, match
 from ..operators.structure import CsrfOptions, FunctionOptions, structure_findings
 from ..rules.catalog import ANALYZERS, CRITICAL_ENDPOINTS, Rule, build_rules
 from ..schema import ADVISORY, FINDING_COLUMNS
@@ -101,9 +101,11 @@ class Scan:
     findings: DataFrame | None
     vulnerabilities: DataFrame | None
     problems: DataFrame
+    matched: Matched | None = None
 
     def vulnerability_counts(self, *by: str) -> DataFrame:
-        return severity_counts(self.vulnerabilities, *by)
+        """Totals by severity, by columns of the dependencies such as ``project``."""
+        return self.matched.counts(*by)
 
     def finding_counts(self, *by: str) -> DataFrame:
         return risk_counts(self.findings, *by)
@@ -115,7 +117,7 @@ def scan(files: DataFrame, sources: list[tuple[str, DataFrame]] | None = None,
     """Scan a files table.
 
     ``sources`` are ``(kind, advisories)`` pairs in order of preference, see
-    :func:`sourcesweep.operators.matching.vulnerabilities`; registered tables follow by rank.
+    :func:`sourcesweep.operators.matching.match`; registered tables follow by rank.
     ``analyzers=None`` skips the code scan.  ``problems`` of reading the files or feeds join those of
     the manifests in the result.  Further keywords go to :func:`code_findings`.
     """
@@ -123,7 +125,7 @@ def scan(files: DataFrame, sources: list[tuple[str, DataFrame]] | None = None,
     every = list(sources or [])
     for _, table in sorted(_ADVISORY_TABLES.values(), key=lambda rt: rt[0]):
         every.append(("table", table))
-    vulns = vulnerabilities(deps, every, strict_ranges) if every else None
+    matched = match(deps, every, strict_ranges) if every else None
     findings = code_findings(files, analyzers, **options) if analyzers else None
     told = every_problem(file_problems(files), manifest_problems(files), *[p for p in (problems,) if p is not None])
-    return Scan(files, deps, findings, vulns, told)
+    return Scan(files, deps, findings, matched and matched.vulnerabilities(), told, matched)

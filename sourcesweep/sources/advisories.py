@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import score_from_severity, severity_from_score, severity_from_text
-from ..functions.versions import version_key
+from ..functions.versions import order_key
 from .feeds import read_feed
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -95,13 +95,17 @@ def affected_ranges(affected: Column) -> Column:
         F.filter(ranges, lambda r: F.size(r["events"]) > 0), events_text), "; "))
 
 
-def _range_events(ranges: Column) -> Column:
-    """One array of keyed events per range; a range of commits has none, so it holds no version."""
+def _range_events(ranges: Column, ecosystem: Column) -> Column:
+    """One array of keyed events per range; a range of commits has none, so it holds no version.
+
+    ``introduced: 0`` stands for the time before any version, prereleases of ``0`` included.
+    """
     def keyed(rng: Column) -> Column:
         events = F.filter(rng["events"], lambda e: F.coalesce(rng["type"], F.lit("ECOSYSTEM")).isin(*VERSION_RANGES))
         return F.transform(F.flatten(F.transform(events, lambda e: F.map_entries(e))),
-                           lambda p: F.struct(p["key"].alias("kind"),
-                                              version_key(p["value"]).alias("key")))
+                           lambda p: F.struct(p["key"].alias("kind"), F.when(
+                               (p["key"] == "introduced") & (p["value"] == "0"), "").otherwise(
+                               order_key(p["value"], ecosystem)).alias("key")))
 
     return F.transform(ranges, keyed)
 
@@ -128,11 +132,11 @@ def osv_advisories(raw: DataFrame) -> DataFrame:
         *docs.columns[:-1], F.col("item.package.name").alias("package"),
         F.col("item.package.ecosystem").alias("ecosystem"),
         F.col("item.versions").alias("versions"),
-        _range_events(F.col("item.ranges")).alias("events"))
+        _range_events(F.col("item.ranges"), F.col("item.package.ecosystem")).alias("events"))
 
 
 def ghsa_advisories(raw: DataFrame) -> DataFrame:
-    """Advisory nodes; a node without an advisory is dropped."""
+    """Advisory nodes, one for each branch of versions; a node without an advisory is dropped."""
     adv, fixed = F.col("advisory"), F.col("firstPatchedVersion")
     level = F.upper(F.coalesce(adv["severity"], F.lit("UNKNOWN")))
     cwes = F.transform(adv["cwes"]["nodes"], lambda c: c["cweId"])
@@ -148,7 +152,7 @@ def ghsa_advisories(raw: DataFrame) -> DataFrame:
         F.when(fixed.isNotNull(), F.concat(F.lit("Update to version "), F.coalesce(
             fixed["identifier"], F.lit("latest")))).otherwise(DEFAULT_REMEDIATION)
         .alias("remediation"),
-        "package", "ecosystem")
+        "package", "ecosystem", fixed["identifier"].alias("patched"))
 
 
 def ecosystem_of(dep_type: Column, mapping: dict[str, str]) -> Column:

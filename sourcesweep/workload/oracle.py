@@ -334,6 +334,8 @@ def _map(column: str, mapping: dict[str, str]) -> str:
 
 
 _R = sql_list(packages.RATINGS)
+_FIXED = f"""k % 50 || '.' || k % 7
+    || (case when k % 5 = 2 then '.0' || ({sql_list(packages.TAGS)})[1 + k % 4] else '' end)"""
 _OSV_SCORE = f"""case k % 5 when 0 then score when 1 then {_rating(f'({_R})[1 + k % 5]')}
       when 2 then score else 0.0::double end"""
 _FEEDS = f"""{packages.advisory_sql()},
@@ -350,11 +352,14 @@ _FEEDS = f"""{packages.advisory_sql()},
       lower((case when k % 7 <> 0 then text else '' end) || ' Details: ' || text) as words,
       'https://o.example/' || k || ' https://p.example' as refs, '2024-02-01' as published,
       case when k % 5 = 0 then 'CWE-' || k % 900 else '' end as cwe,
-      case when k % 3 <> 1 then 'introduced: ' || (case when k % 2 = 0 then '0' else '3.2' end)
+      case when k % 9 = 2 or k % 6 = 4 then 'introduced: 0, fixed: 0a1b2c' else '' end
+        || (case when k % 9 = 2 then '; ' else '' end) || (case when k % 3 <> 1 then
+        'introduced: ' || (case when k % 2 = 0 then '0' else '3.2' end)
         || ', ' || (case when k % 11 = 0 then 'last_affected' else 'fixed' end) || ': '
-        || k % 50 || '.' || k % 7 else '' end as affected_versions,
+        || {_FIXED} else '' end) as affected_versions,
       '{adv.DEFAULT_REMEDIATION}' as remediation, p as package,
-      ({sql_list(packages.OSV_ECO)})[1 + k % 4] as ecosystem, v from advt),
+      ({sql_list(packages.OSV_ECO)})[1 + k % 4] as ecosystem, v, branch
+    from advt, (values (1), (2)) as b(branch) where branch = 1 or k % 10 = 7),
   osvs as (select *, case when {_level('cvss_score')} = 'UNKNOWN'
       then {_case('words', sev.TEXT_LEVELS, 'LOW')} else {_level('cvss_score')} end as severity
     from osv),
@@ -366,63 +371,67 @@ _FEEDS = f"""{packages.advisory_sql()},
         else upper(({_R})[1 + k % 5]) end as severity,
       'https://g.example/' || k as refs, '2024-03-01' as published,
       'CWE-1 CWE-2 CWE-3 CWE-4 CWE-5 CWE-6 CWE-7' as cwe,
-      '>= 1.0, < ' || k % 50 || '.0' as affected_versions,
-      case when k % 2 = 0 then 'Update to version ' || k % 50 || '.0'
+      case when branch = 1 then '>= 1.0, < ' || k % 50 || '.0' else '>= ' || k % 50 || '.1.0, < ' || (k % 50 + 5)
+        || '.0.0' || ({sql_list(packages.TAGS)})[1 + k % 4] end as affected_versions,
+      case when branch = 2 then 'Update to version ' || (k % 50 + 5) || '.0.0'
+        when k % 2 = 0 then 'Update to version ' || k % 50 || '.0'
         else '{adv.DEFAULT_REMEDIATION}' end as remediation,
-      p as package, ({sql_list(packages.GHSA_ECO)})[1 + k % 4] as ecosystem
-    from advt where k % 19 <> 0)"""
+      p as package, ({sql_list(packages.GHSA_ECO)})[1 + k % 4] as ecosystem, branch
+    from advt, (values (1), (2)) as b(branch) where k % 19 <> 0 and (branch = 1 or k % 3 = 1))"""
 _FLAT = ("id, source, description, cvss_score, severity, refs, published, cwe, "
          "affected_versions, remediation")
 
 
-def _version_key(column: str) -> str:
-    return f"list_transform(regexp_extract_all({column}, '(\\d+)', 1), lambda x: x::bigint)"
-
-
-def _trim_zeros(nums: str) -> str:
-    return (f"({nums})[1:coalesce(list_max(list_filter(range(1, len({nums}) + 1), "
-            f"lambda i: ({nums})[i] <> 0)), 0)]")
-
-
 def _key(column: str) -> str:
-    return _trim_zeros(_version_key(column))
+    """Three numbers, whether it is a release, and the stage; enough for the versions in these feeds."""
+    nums = f"string_split(regexp_extract({column}, '^[0-9]+([.][0-9]+)*'), '.')"
+    tag = f"lower(regexp_extract({column}, '^[0-9]+(?:[.][0-9]+)*[-.]?([A-Za-z].*)?$', 1))"
+    parts = ", ".join(f"coalesce(try_cast(({nums})[{i}] as bigint), 0)" for i in (1, 2, 3))
+    return f"row({parts}, ({tag} = '')::integer, {tag})"
 
 
 _MATCHES = f"""{_KEYS}, {_FEEDS},
   vkeys as (select *, {_key('clean')} as vk from keys),
   osv_pairs as (select t.type, t.name, t.clean, t.vk, o.*,
-      {_key("case when k % 2 = 0 then '0' else '3.2' end")} as lo,
-      {_key("(k % 50) || '.' || (k % 7)")} as hi
+      case when k % 2 = 0 then row(-1, 0, 0, 0, '') else {_key("'3.2'")} end as lo,
+      {_key('(' + _FIXED + ')')} as hi
     from vkeys t join osvs o on t.name = o.package
       and o.ecosystem = {_map('t.type', adv.OSV_ECOSYSTEMS)}),
-  osv_hits as (select type, name, clean, id, k from osv_pairs where
+  osv_hits as (select type, name, clean, id, k from osv_pairs where branch = 2 and clean in ('7.7.0', '9.9.0')
+    or branch = 1 and (
       (k % 3 = 0 and (clean = v or clean = '1.0.0'))
       or (k % 3 <> 1 and vk >= lo and case when k % 11 = 0 then not (hi >= lo and hi < vk)
             else not (hi > lo and hi <= vk) end)
-      or (k % 3 = 1)),
-  ghsa_hits as (select t.type, t.name, t.clean, g.id, g.k, t.vk,
-      {_key("(k % 50) || '.0'")} as hi
+      or (k % 3 = 1 and k % 6 <> 4))),
+  ghsa_pairs as (select t.type, t.name, t.clean, g.id, g.k, g.branch, t.vk,
+      case when branch = 1 then {_key("'1.0'")} else {_key("((k % 50) || '.1.0')")} end as lo,
+      case when branch = 1 then {_key("((k % 50) || '.0')")}
+        else {_key(f"((k % 50 + 5) || '.0.0' || ({sql_list(packages.TAGS)})[1 + k % 4])")} end as hi,
+      case when branch = 2 then {_key("((k % 50 + 5) || '.0.0')")}
+        when k % 2 = 0 then {_key("((k % 50) || '.0')")} end as patched
     from vkeys t join ghsas g on t.name = g.package
       and g.ecosystem = {_map('t.type', adv.GHSA_ECOSYSTEMS)}),
-  nvd_words as (select k, id, list_distinct(regexp_extract_all(lower(description),
-      '([a-z0-9@](?:[a-z0-9._@/+-]*[a-z0-9])?)', 1)) as words from nvds),
-  nvd_index as (select k, id, words, unnest(words) as word from nvd_words),
+  ghsa_hits as (select *, not (vk >= lo and vk < hi) as outside, coalesce(patched <= vk, true) as behind from ghsa_pairs),
+  nvd_words as (select k, id, list_transform(list_distinct(list_transform(string_split_regex(lower(description),
+      '[^a-z0-9._@/+-]+'), lambda w: regexp_replace(w, '^[./+-]+|[./@-]+$', '', 'g'))),
+      lambda w: regexp_replace(w, '^v([0-9])', '\\1')) as words from nvds),
+  nvd_index as (select distinct k, id, words, unnest(words) as word from nvd_words),
   nvd_hits as (select type, name, clean, id, k from keys join nvd_index on word = name
     where clean = '' or list_contains(words, clean)),
-  every as (select type, name, clean, id, 0 as rank, k from nvd_hits
-    union all select type, name, clean, id, 1, k from osv_hits
-    union all select type, name, clean, id, 2, k from ghsa_hits),
-  best as (select type, name, clean, id, min(rank)::integer as rank, any_value(k) as k
-    from every group by type, name, clean, id)"""
-_TEXTS = """texts as (select 0 as rank, k, id, source, description, severity, remediation from nvds
-    union all select 1, k, id, source, description, severity, remediation from osvs
-    union all select 2, k, id, source, description, severity, remediation from ghsas)"""
+  every as (select type, name, clean, id, 0 as rank, k, 1 as branch, false as outside, true as behind, null as patched from nvd_hits
+    union all select distinct type, name, clean, id, 1, k, 1, false, true, null from osv_hits
+    union all select type, name, clean, id, 2, k, branch, outside, behind, patched from ghsa_hits),
+  best as (select type, name, clean, id, rank, k, branch from every qualify row_number() over (
+    partition by type, name, clean, id order by rank, outside, behind, patched nulls first) = 1)"""
+_TEXTS = """texts as (select 0 as rank, k, 1 as branch, id, source, description, severity, remediation from nvds
+    union all select 1, k, branch, id, source, description, severity, remediation from osvs
+    union all select 2, k, branch, id, source, description, severity, remediation from ghsas)"""
 _VULNS = f"""{_MATCHES}, {_TEXTS},
   vulns as (select l.project, l.path, l.dep_seq, l.name as package, l.clean as version,
       b.id, b.rank, t.source, t.description, t.severity, t.remediation,
       {_type_of('t.description')} as vtype
     from live l join best b on l.type = b.type and l.name = b.name and l.clean = b.clean
-      join texts t on t.rank = b.rank and t.id = b.id)"""
+      join texts t on t.rank = b.rank and t.id = b.id and t.branch = b.branch)"""
 
 
 def _truncated(column: str) -> str:
@@ -503,9 +512,10 @@ ORACLES: dict[str, str] = {
     "deps_join_osv": f"with {_MATCHES} select type, name, clean, id from osv_hits",
     "deps_join_ghsa": f"with {_MATCHES} select type, name, clean, id from ghsa_hits",
     "deps_join_ghsa_strict": f"with {_MATCHES} select type, name, clean, id from ghsa_hits "
-                             "where vk >= [1]::bigint[] and vk < hi",
+                             "where not outside",
     "deps_join_nvd_keyword": f"with {_MATCHES} select type, name, clean, id from nvd_hits",
-    "advisory_dedup": f"with {_MATCHES} select type, name, clean, id, rank from best",
+    "advisory_dedup": f"with {_MATCHES}, {_TEXTS} select type, name, clean, b.id, b.rank, t.remediation "
+                      "from best b join texts t on t.rank = b.rank and t.id = b.id and t.branch = b.branch",
     "vuln_report_rows": f"with {_VULNS} select {_rank('severity', sev.VULN_ORDER)} as "
                         f"severity_rank, project, path, dep_seq, {_row(_CELLS)} as row from vulns",
     "finding_report_rows": f"with {_LINE_FOUND} select {_rank('severity', sev.FINDING_ORDER)} as "
@@ -591,6 +601,7 @@ ORACLES: dict[str, str] = {
       select project, count(*) filter (kind = 'm') as manifests,
         count(*) filter (kind = 'd') as dependencies, count(*) filter (kind = 'f') as findings,
         count(*) filter (kind = 'v') as vulnerabilities from parts group by project""",
+    "version_order": packages.ordered_sql(),
     "scan_problems": packages.problems_sql(),
     "feed_documents": f"with {_FEEDS} select {_FLAT}, package, ecosystem from osvs",
 }

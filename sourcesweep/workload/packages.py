@@ -23,6 +23,21 @@ TEMPLATES = ["SQL injection in {p} {v} by crafted input", "Stored XSS in {p} {v}
 RATINGS = ["CRITICAL", "HIGH", "MODERATE", "LOW", "odd"]
 OSV_ECO = ["npm", "PyPI", "Packagist", "RubyGems"]
 GHSA_ECO = ["NPM", "PIP", "COMPOSER", "RUBYGEMS"]
+#: A stage before a release as each of these ecosystems writes it.
+TAGS = ["-next.1", "rc2", "-RC2", ".beta2"]
+#: Versions in rising order by ecosystem, equal ones together; ``@`` stands for a number.
+ORDERED = {
+    "npm": [["@.0.0-0"], ["@.0.0-alpha"], ["@.0.0-alpha.1"], ["@.0.0-alpha.beta"], ["@.0.0-beta"], ["@.0.0-beta.2"], ["@.0.0-beta.11"],
+            ["@.0.0-canary.5"], ["@.0.0-next.1"], ["@.0.0-rc.1"], ["@.0.0", "v@.0.0", "@.0.0+build.7", "@"], ["@.0.1-0"], ["@.0.1"], ["@.1.9"],
+            ["@.1.10"], ["@.10.0"]],
+    "PyPI": [["@.0.dev1"], ["@.0a1.dev2"], ["@.0a1", "@.0.alpha-1"], ["@.0a1.post1"], ["@.0b2"], ["@.0rc1", "@.0.0c1", "@.0-pre1"],
+             ["@.0", "@", "v@.0.0"], ["@.0+ubuntu.1"], ["@.0.post1.dev3"], ["@.0.post1", "@.0-1", "@.0.r1"], ["@.0.1.dev1"], ["@.0.1"], ["@.1"],
+             ["@.10"], ["1!0.@"]],
+    "Packagist": [["@.0.0-dev"], ["@.0.0-alpha1"], ["@.0.0-beta2", "@.0b2"], ["@.0.0-beta10"], ["@.0-RC1"], ["@.0.0", "v@.0", "@.0.0.0"],
+                  ["@.0.0-patch1", "@.0-pl1"], ["@.0.1"], ["@.1"], ["@.10"]],
+    "RubyGems": [["@.0.0.a"], ["@.0.0.beta2"], ["@.0.0.beta10"], ["@.0.0.pre"], ["@.0.0.pre.1"], ["@.0.0.rc1"], ["@.0.0", "@", "@.0"],
+                 ["@.0.1.alpha"], ["@.0.1"], ["@.1"], ["@.10"]],
+    "Maven": [["@.0-alpha-2"], ["@.0-beta1"], ["@.0-M1"], ["@.0-rc1"], ["@.0-SNAPSHOT"], ["@.0", "@"], ["@.0.1"], ["@.2"], ["@.10"]]}
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +53,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def version(j: Column) -> Column:
         return F.concat(_pick(PREFIXES, no + j), (no + j * 3) % 50, F.lit("."), (no + j) % 10,
-                        F.lit(".0"), F.when((no + j) % 13 == 0, "-beta").otherwise(""))
+                        F.lit(".0"), F.when((no + j) % 13 == 0, "-beta").when((no + j) % 13 == 1, "rc1").otherwise(""))
 
     def rows(first: int, last: Column, text) -> Column:
         return F.transform(F.sequence(F.lit(first).cast("bigint"), last), text)
@@ -82,7 +97,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_DEP = f"""({sql_list(ADJECTIVES)})[1 + (no + j) % 8] || '-' ||
     ({sql_list(NOUNS)})[1 + (no * 3 + j) % 8] || '-' || (no * 7 + j * 5 + sub) % 40"""
 _SQL_VERSION = f"""({sql_list(PREFIXES)})[1 + (no + j) % 6] || (no + j * 3) % 50 || '.' ||
-    (no + j) % 10 || '.0' || (case when (no + j) % 13 = 0 then '-beta' else '' end)"""
+    (no + j) % 10 || '.0' || (case (no + j) % 13 when 0 then '-beta' when 1 then 'rc1' else '' end)"""
 
 
 def manifests_sql() -> str:
@@ -168,7 +183,7 @@ def nvd_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def osv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per part: listed versions, event ranges, or neither."""
+    """One document per part: listed versions, ranges of versions or commits, or neither; every tenth names the package twice."""
     k, v = F.col("k"), F.col("v")
     score = F.col("score").cast("string")
     extra = (F.when(k % 5 == 0, F.create_map(F.lit("cvss"), score, F.lit("cwe_ids"),
@@ -179,26 +194,28 @@ def osv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                  score.alias("score")))).when(
         k % 5 == 3, F.array(F.struct(F.lit("CVSS_V3").alias("type"),
                                      F.lit("CVSS:3.1/AV:N/AC:L").alias("score"))))
-    fixed = F.concat(k % 50, F.lit("."), k % 7)
+    fixed = F.concat(k % 50, F.lit("."), k % 7, F.when(k % 5 == 2, F.concat(F.lit(".0"), _pick(TAGS, k))).otherwise(""))
     events = F.array(F.create_map(F.lit("introduced"), F.when(k % 2 == 0, "0").otherwise("3.2")),
                      F.create_map(F.when(k % 11 == 0, "last_affected").otherwise("fixed"), fixed))
-    item = F.struct(
-        F.struct(F.col("p").alias("name"), _pick(OSV_ECO, k).alias("ecosystem")).alias("package"),
-        F.when(k % 3 == 0, F.array(v, F.lit("1.0.0"))).alias("versions"),
-        F.when(k % 3 != 1, F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))))
-        .alias("ranges"))
+    commits = F.struct(F.lit("GIT").alias("type"), F.array(F.create_map(F.lit("introduced"), F.lit("0")), F.create_map(F.lit("fixed"), F.lit("0a1b2c"))).alias("events"))
+    numbers = F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))
+    package = F.struct(F.col("p").alias("name"), _pick(OSV_ECO, k).alias("ecosystem")).alias("package")
+    ranges = F.when(k % 9 == 2, F.array(commits, numbers)).when(k % 3 != 1, F.array(numbers)).when(k % 6 == 4, F.array(commits))
+    item = F.struct(package, F.when(k % 3 == 0, F.array(v, F.lit("1.0.0"))).alias("versions"), ranges.alias("ranges"))
+    again = F.struct(package, F.array(F.lit("7.7.0"), F.lit("9.9.0")).alias("versions"), F.lit(None).cast(
+        "array<struct<type: string, events: array<map<string, string>>>>").alias("ranges"))
     return _typed(_advisory_base(spark, sf_dir).select(
         F.concat(F.when(k % 2 == 0, "GHSA-").otherwise("OSV-"), k).alias("id"),
         F.when(k % 7 != 0, F.col("text")).alias("summary"),
         F.concat(F.lit("Details: "), "text").alias("details"), F.lit("2024-02-01").alias("published"),
         levels.alias("severity"), extra.alias("database_specific"),
-        F.array(item).alias("affected"),
+        F.when(k % 10 == 7, F.array(item, again)).otherwise(F.array(item)).alias("affected"),
         F.array(F.concat(F.lit('{"type": "WEB", "url": "https://o.example/'), k, F.lit('"}')),
                 F.lit("https://p.example")).alias("references")), OSV_RAW)
 
 
 def ghsa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One node per part; ids overlap with both other feeds."""
+    """One node per part, two branches of versions for every third; ids overlap with both other feeds."""
     k = F.col("k")
     adv = F.struct(
         F.concat(F.when(k % 3 == 0, "CVE-2024-").otherwise("GHSA-"), k).alias("ghsaId"),
@@ -210,12 +227,49 @@ def ghsa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.transform(F.sequence(F.lit(1), F.lit(7)),
                              lambda i: F.struct(F.concat(F.lit("CWE-"), i).alias("cweId")))
                  .alias("nodes")).alias("cwes"))
+    def branch(held: Column, patched: Column) -> Column:
+        return F.struct(held.alias("vulnerableVersionRange"), patched.alias("firstPatchedVersion"))
+
+    def version(text: Column) -> Column:
+        return F.struct(text.alias("identifier"))
+
+    one = branch(F.concat(F.lit(">= 1.0, < "), k % 50, F.lit(".0")), F.when(k % 2 == 0, version(F.concat(k % 50, F.lit(".0")))))
+    two = branch(F.concat(F.lit(">= "), k % 50, F.lit(".1.0, < "), k % 50 + 5, F.lit(".0.0"), _pick(TAGS, k)), version(F.concat(k % 50 + 5, F.lit(".0.0"))))
+    branches = F.when(k % 3 == 1, F.array(two, one)).otherwise(F.array(one))
     return _typed(_advisory_base(spark, sf_dir).select(
         F.col("p").alias("package"), _pick(GHSA_ECO, k).alias("ecosystem"),
-        F.when(k % 19 != 0, adv).alias("advisory"),
-        F.concat(F.lit(">= 1.0, < "), k % 50, F.lit(".0")).alias("vulnerableVersionRange"),
-        F.when(k % 2 == 0, F.struct(F.concat(k % 50, F.lit(".0")).alias("identifier")))
-        .alias("firstPatchedVersion")), GHSA_RAW)
+        F.when(k % 19 != 0, adv).alias("advisory"), F.inline(branches)), GHSA_RAW)
+
+
+def ordered_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k``, ecosystem and two versions ``a`` and ``b`` of one part, from the ordered lists with the part's number."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    names, out = list(ORDERED), None
+    for i, name in enumerate(names):
+        pool = [v for same in ORDERED[name] for v in same]
+        pair = F.struct(F.lit(name).alias("ecosystem"), _pick(pool, k).alias("a"), _pick(pool, k * 7 + size).alias("b"))
+        out = pair if out is None else F.when(k % len(names) == i, pair).otherwise(out)
+    part = table(spark, sf_dir, "part")
+    number = (size * 3).cast("string")
+    return part.select(k.alias("k"), out.alias("pair"), number.alias("n")).select(
+        "k", "pair.ecosystem", F.replace("pair.a", F.lit("@"), F.col("n")).alias("a"), F.replace("pair.b", F.lit("@"), F.col("n")).alias("b"))
+
+
+def ordered_sql() -> str:
+    """The places of both versions in the lists, compared."""
+    pools, places = [], []
+    for name, classes in ORDERED.items():
+        pools.append(sql_list([v for same in classes for v in same]))
+        places.append("[" + ", ".join(str(i) for i, same in enumerate(classes) for _ in same) + "]")
+    names = list(ORDERED)
+
+    def arm(items, index):
+        return "case " + " ".join(f"when k % {len(names)} = {i} then ({x})[1 + ({index}) % len({x})]" for i, x in enumerate(items)) + " end"
+    return f"""with parts as (select p_partkey as k, p_size::bigint as s from part),
+  pairs as (select k, ({sql_list(names)})[1 + k % {len(names)}] as ecosystem,
+      replace({arm(pools, 'k')}, '@', (s * 3)::varchar) as a, replace({arm(pools, 'k * 7 + s')}, '@', (s * 3)::varchar) as b,
+      {arm(places, 'k')} as i, {arm(places, 'k * 7 + s')} as j from parts)
+  select k, ecosystem, a, b, sign(i - j)::integer as compared from pairs"""
 
 
 # --- damaged inputs and feeds as files ------------------------------------------------------

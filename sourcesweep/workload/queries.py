@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.severity import (score_from_severity, severity_from_score, severity_from_text,
                                   vulnerability_type)
 from ..functions.text import advisory_link, severity_html, smart_truncate
-from ..functions.versions import clean_version
+from ..functions.versions import clean_version, order_key
 from ..operators import counts
 from ..operators.lines import SecretOptions, SmellOptions, line_findings
 from ..operators.manifests import checkable, dependencies, manifests
-from ..operators.matching import (KEY, dependency_keys, first_per_id, match_ghsa, match_keywords,
-                                  match_osv, number_advisories, vulnerabilities)
+from ..operators.matching import (KEY, dependency_keys, match, match_ghsa, match_keywords,
+                                  match_osv, number_advisories)
 from ..operators.structure import CsrfOptions, FunctionOptions, structure_findings
 from ..plans.report import finding_rows, vulnerability_rows
 from ..plans.scan import code_findings
@@ -95,12 +95,16 @@ def _flat(df: DataFrame) -> DataFrame:
                      *[c for c in ("package", "ecosystem") if c in df.columns])
 
 
-def _vulns(spark, sf_dir):
-    return vulnerabilities(dependencies(packages.manifest_files(spark, sf_dir)), [
+def _matched(spark, sf_dir):
+    return match(dependencies(packages.manifest_files(spark, sf_dir)), [
         ("nvd", _nvd(spark, sf_dir)), ("osv", _osv(spark, sf_dir)),
         ("github-advisory", _ghsa(spark, sf_dir))])
 
 
+def _vulns(spark, sf_dir):
+    return _matched(spark, sf_dir).vulnerabilities()
+
+
 def _line_rules(spark, sf_dir):
     return line_findings(corpus.code_files(spark, sf_dir), build_rules(["LINE"]))
 
@@ -186,12 +190,17 @@ def deps_join_nvd_keyword(spark, sf_dir):
 
 
 def advisory_dedup(spark, sf_dir):
-    keys = _keys(spark, sf_dir)
-    found = [match_keywords(keys, number_advisories(_nvd(spark, sf_dir))),
-             match_osv(keys, number_advisories(_osv(spark, sf_dir))),
-             match_ghsa(keys, number_advisories(_ghsa(spark, sf_dir)))]
-    ids = [m.select(*KEY, "id", F.col("id").alias("adv_no")) for m in found]
-    return first_per_id(ids).select(*KEY, F.col("adv_no").alias("id"), "rank")
+    """The row that wins for each key and advisory id, with the remediation of its branch."""
+    matched = _matched(spark, sf_dir)
+    return matched.per_key.join(matched.texts, ["rank", "adv_no"]).select(*KEY, "id", "rank", "remediation")
+
+
+def version_order(spark, sf_dir):
+    """Pairs of versions, compared by the keys of their ecosystem."""
+    pairs = packages.ordered_versions(spark, sf_dir)
+    a, b = (order_key(F.col(c), F.col("ecosystem")) for c in "ab")
+    keyed = pairs.select("*", a.alias("key_a"), b.alias("key_b"))
+    return keyed.select("k", "ecosystem", "a", "b", F.when(F.col("key_a") < F.col("key_b"), -1).when(F.col("key_a") > F.col("key_b"), 1).otherwise(0).alias("compared"))
 
 
 def vuln_report_rows(spark, sf_dir):
@@ -204,7 +213,7 @@ def finding_report_rows(spark, sf_dir):
 
 
 def severity_counts(spark, sf_dir):
-    return counts.severity_counts(_vulns(spark, sf_dir), "project")
+    return _matched(spark, sf_dir).counts("project")
 
 
 def truncated_text(spark, sf_dir):
@@ -267,8 +276,7 @@ def top_risky_files(spark, sf_dir):
 def rule_catalog(spark, sf_dir):
     """Every rule of the catalogue with the number of its findings in the code corpus."""
     hits = counts.findings_by(_pattern_findings(spark, sf_dir), "rule_id")
-    # The catalogue is a fixed table of about a hundred rows.
-    return F.broadcast(rules_frame(spark)).join(hits, "rule_id", "left").select(
+    return rules_frame(spark).join(hits, "rule_id", "left").select(
         "rule_id", "analyzer", "lang", "severity", "issue",
         F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings"))
 
@@ -276,9 +284,8 @@ def rule_catalog(spark, sf_dir):
 def scan_counters(spark, sf_dir):
     code, manifest = corpus.code_files(spark, sf_dir), packages.manifest_files(spark, sf_dir)
     deps = dependencies(manifest)
-    vulns = vulnerabilities(deps, [("osv", _osv(spark, sf_dir)),
-                                   ("github-advisory", _ghsa(spark, sf_dir))])
-    return counts.scan_counts(manifest, deps, line_findings(code, build_rules(["LINE"])), vulns)
+    matched = match(deps, [("osv", _osv(spark, sf_dir)), ("github-advisory", _ghsa(spark, sf_dir))])
+    return counts.scan_counts(manifest, deps, line_findings(code, build_rules(["LINE"])), matched.counts("project"))
 
 
 def scan_problems(spark, sf_dir):
@@ -356,4 +363,5 @@ QUERIES: dict[str, Query] = {
     "scan_counters": scan_counters,
     "scan_problems": scan_problems,
     "feed_documents": feed_documents,
+    "version_order": version_order,
 }
