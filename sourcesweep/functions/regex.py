@@ -163,11 +163,20 @@ def _weight(literals: frozenset[str]) -> tuple:
     return min(map(len, literals)) / len(literals) ** 0.5, sorted(literals)
 
 
+#: Characters outside ASCII that match an ASCII letter when case is ignored: long s, the Kelvin sign, I with and i without a dot.
+_FOLDING = "[\u017f\u212a\u0130\u0131]"
+
+
+def folds_to_ascii(text: Column) -> Column:
+    """Whether a text has characters that lower-casing does not turn into the ASCII letter they match."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(_FOLDING)
+
+
 def gate(lowered: Column, non_ascii: Column, literals: frozenset[str]) -> Column:
     """True on every line that can match a rule with these required literals.
 
     ``lowered`` is the lower-cased line.  Unicode case folding has characters outside ASCII that
-    fold to ASCII letters, so lines with any non-ASCII character always pass.
+    fold to ASCII letters, so lines with one of these (:func:`folds_to_ascii`) always pass.
     """
     if not literals:
         return F.lit(True)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regex import sql_text
+
 
 def clean_version(version: Column) -> Column:
     """Drop range operators and everything from the first dash on."""
@@ -100,7 +103,7 @@ COMPOSER_NAMES = ("composer", "Packagist", "COMPOSER")
 PEP440_STAGES = (("a", "alpha"), ("b", "beta"), ("c", "rc", "pre", "preview"))
 COMPOSER_STAGES = (("dev",), ("a", "alpha"), ("b", "beta"), ("rc",), ("stable", ""), ("p", "pl", "patch"))
 
-_END = "\x01"
+_END = "char(1)"
 _PEP440 = (r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|rc|c)[-_.]?([0-9]*))?"
            r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$")
 _COMPOSER = (r"(?i)^\s*v?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(stable|beta|b|rc|alpha|a|patch|pl|p|dev)[-_.]?([0-9]+(?:\.[0-9]+)*)?)?"
@@ -108,108 +111,113 @@ _COMPOSER = (r"(?i)^\s*v?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(stable|beta|b|rc|alpha|a
 _SEMVER = r"^\s*[vV=]*\s*([0-9]+(?:\.[0-9]+)*)(?:[-_.]?([0-9A-Za-z][0-9A-Za-z.-]*))?(?:\+.*)?\s*$"
 
 
-def _sortable(digits: Column) -> Column:
+# The expression is large, so it is built as SQL text in one call; arguments are SQL text, too.
+
+def _bound(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _sortable(digits: str) -> str:
     """Digits with their number ahead; an empty text is zero."""
-    bare = F.regexp_replace(F.concat(F.lit("0"), digits), "^0+(?=.)", "")
-    return F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)
+    return _bound("d", f"regexp_replace(concat('0', {digits}), '^0+(?=.)', '')", "concat(lpad(cast(length(d) as string), 4, '0'), d)")
 
 
-def _segments(parts: Column) -> Column:
+def _segments(parts: str) -> str:
     """Numbers and words in order, as if zeros without end came after the last: zeros before the end count for nothing, a word is less than any number."""
-    def step(acc: Column, x: Column) -> Column:
-        word, zero = x.rlike("^[^0-9]"), x.rlike("^0+$")
-        run = F.lpad(acc["zeros"].cast("string"), 4, "0")
-        back = F.lpad((F.lit(9999) - acc["zeros"]).cast("string"), 4, "0")
-        made = F.when(word, F.concat(F.when(acc["zeros"] == 0, "1").otherwise(F.concat(F.lit("2"), run)), x, F.lit(_END))).otherwise(
-            F.concat(F.when(acc["zeros"] == 0, "5").otherwise(F.concat(F.lit("4"), back)), _sortable(x)))
-        return F.struct(F.when(zero, acc["key"]).otherwise(F.concat(acc["key"], made)).alias("key"), F.when(zero, acc["zeros"] + 1).otherwise(0).alias("zeros"))
+    return f"""aggregate({parts}, named_struct('key', '', 'zeros', 0), (acc, x) -> case
+        when x rlike '^0+$' then named_struct('key', acc.key, 'zeros', acc.zeros + 1)
+        when x rlike '^[^0-9]' then named_struct('key', concat(acc.key, if(acc.zeros = 0, '1', concat('2', lpad(cast(acc.zeros as string), 4, '0'))), x, {_END}), 'zeros', 0)
+        else named_struct('key', concat(acc.key, if(acc.zeros = 0, '5', concat('4', lpad(cast(9999 - acc.zeros as string), 4, '0'))), {_sortable('x')}), 'zeros', 0) end,
+        acc -> acc.key)"""
 
-    return F.aggregate(parts, F.struct(F.lit("").alias("key"), F.lit(0).alias("zeros")), step, lambda acc: acc["key"])
 
+def _found(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, {sql_text('(' + pattern + ')')}, 1)"
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
+def _grouped(text: str, pattern: str, groups: int, body: str, otherwise: str) -> str:
+    """``body`` with ``g[0]``, ``g[1]``, ... standing for the groups of a pattern, found in one pass; ``otherwise`` where the whole text doesn't match."""
+    joined = sql_text("\x02".join(f"${n}" for n in range(1, groups + 1)))
+    return _bound("g", f"split(regexp_replace({text}, {sql_text(pattern)}, {joined}), {sql_text(chr(2))}, -1)",
+                  f"if(size(g) = {groups}, {body}, {otherwise})")
 
-def _ranked(name: Column, stages: tuple[tuple[str, ...], ...]) -> Column:
-    expr = None
-    for rank, names in enumerate(stages):
-        expr = (F if expr is None else expr).when(name.isin(*names), str(rank))
-    return expr.otherwise("")
 
+def _ranked(name: str, stages: tuple[tuple[str, ...], ...], first: int = 0) -> str:
+    arms = " ".join(f"when {sql_text(n)} then '{k}'" for k, names in enumerate(stages, first) for n in names)
+    return f"case {name} {arms} else '' end"
 
-def _general_key(text: Column) -> Column:
+
+def _general_key() -> str:
     """Any version: numbers, and before its release one with a stage of :data:`STAGES`."""
-    stage = F.lower(F.regexp_extract(text, _STAGED, 2))
-    staged = F.concat(_segments(_found(F.regexp_extract(text, _STAGED, 1), "[0-9]+")), F.lit("1"), _ranked(stage, STAGES),
-                      _segments(_found(F.regexp_extract(text, _STAGED, 3), "[0-9]+")), F.lit("3"))
-    return F.when(stage != "", staged).otherwise(F.concat(_segments(_found(text, "[0-9]+")), F.lit("3")))
+    staged = f"concat({_segments(_found('g[0]', '[0-9]+'))}, '1', {_ranked('lower(g[1])', STAGES)}, {_segments(_found('g[2]', '[0-9]+'))}, '3')"
+    return _grouped("v", _STAGED, 3, staged, f"concat({_segments(_found('v', '[0-9]+'))}, '3')")
 
 
-def _semver_key(text: Column) -> Column:
+def _semver_key(general: str) -> str:
     """Semantic versions: whatever follows the numbers is before the release, numbers in it before words, build data is left out."""
-    tag = F.regexp_extract(text, _SEMVER, 2)
-    identifiers = F.transform(F.split(tag, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("2"), _sortable(x))).otherwise(
-        F.concat(F.lit("4"), x, F.lit(_END))))
-    key = F.concat(_segments(_found(F.regexp_extract(text, _SEMVER, 1), "[0-9]+")),
-                   F.when(tag == "", "3").otherwise(F.concat(F.lit("1"), F.array_join(identifiers, ""), F.lit("0"))))
-    return F.when(text.rlike(_SEMVER), key).otherwise(_general_key(text))
+    identifier = f"if(i rlike '^[0-9]+$', concat('2', {_sortable('i')}), concat('4', i, {_END}))"
+    mark = f"if(g[1] = '', '3', concat('1', array_join(transform(split(g[1], {sql_text('[.]')}), i -> {identifier}), ''), '0'))"
+    return _grouped("v", _SEMVER, 2, f"concat({_segments(_found('g[0]', '[0-9]+'))}, {mark})", general)
 
 
-def _pep440_key(text: Column) -> Column:
+def _pep440_key(general: str) -> str:
     """Python versions: epoch, release, alpha to candidate, post, dev and local part."""
-    def part(n: int) -> Column:
-        return F.lower(F.regexp_extract(text, _PEP440, n))
-
-    post, dev, local = part(5) != "", part(8) != "", part(10)
-    posted = post | (part(6) != "")
-    stage = F.when(part(3) != "", F.concat((_ranked(part(3), PEP440_STAGES).cast("int") + 1).cast("string"), _sortable(part(4)))).when(
-        ~posted & dev, "0").otherwise("4")
-    locals_ = F.transform(_found(local, "[a-z0-9]+"), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("5"), _sortable(x))).otherwise(F.concat(F.lit("4"), x, F.lit(_END))))
-    key = F.concat(_sortable(part(1)), _segments(_found(part(2), "[0-9]+")), F.lit("3"), stage,
-                   F.when(posted, F.concat(F.lit("1"), _sortable(F.when(post, part(5)).otherwise(part(7))))).otherwise("0"),
-                   F.when(dev, F.concat(F.lit("0"), _sortable(part(9)))).otherwise("1"),
-                   F.when(local == "", "0").otherwise(F.concat(F.lit("1"), F.array_join(locals_, ""), F.lit("0"))))
-    return F.when(text.rlike(_PEP440), key).otherwise(F.concat(_sortable(F.lit("")), _general_key(text)))
-
-
-def _gem_key(text: Column) -> Column:
+    posted, dev = "(g[4] <> '' or g[5] <> '')", "g[7] <> ''"
+    stage = (f"case when g[2] <> '' then concat({_ranked('g[2]', PEP440_STAGES, 1)}, {_sortable('g[3]')}) "
+             f"when not {posted} and {dev} then '0' else '4' end")
+    post = f"if({posted}, concat('1', {_sortable("if(g[4] <> '', g[4], g[6])")}), '0')"
+    local = f"if(i rlike '^[0-9]+$', concat('5', {_sortable('i')}), concat('4', i, {_END}))"
+    return _grouped("lower(v)", _PEP440, 10, (
+        f"concat({_sortable('g[0]')}, {_segments(_found('g[1]', '[0-9]+'))}, '3', {stage}, {post}, "
+        f"if({dev}, concat('0', {_sortable('g[8]')}), '1'), "
+        f"if(g[9] = '', '0', concat('1', array_join(transform({_found('g[9]', '[a-z0-9]+')}, i -> {local}), ''), '0')))"), f"concat('00010', {general})")
+
+
+def _gem_key() -> str:
     """Ruby versions: numbers and words, a word before any number; a dash stands for ``.pre.``."""
-    return F.concat(_segments(_found(F.regexp_replace(text, "-", ".pre."), "[0-9]+|[A-Za-z]+")), F.lit("3"))
+    return f"concat({_segments(_found("replace(v, '-', '.pre.')", '[0-9]+|[A-Za-z]+'))}, '3')"
 
 
-def _composer_key(text: Column) -> Column:
+def _composer_key(general: str) -> str:
     """PHP versions: release, then dev, alpha, beta, candidate, none, patch, each with its numbers."""
-    stage = F.lower(F.regexp_extract(text, _COMPOSER, 2))
-    more = F.when(F.regexp_extract(text, _COMPOSER, 4) != "", "0").otherwise("1")
-    key = F.concat(_segments(_found(F.regexp_extract(text, _COMPOSER, 1), "[0-9]+")), F.lit("3"), _ranked(stage, COMPOSER_STAGES),
-                   _segments(_found(F.regexp_extract(text, _COMPOSER, 3), "[0-9]+")), F.lit("3"), more)
-    return F.when(text.rlike(_COMPOSER), key).otherwise(_general_key(text))
+    return _grouped("lower(v)", _COMPOSER, 4, (
+        f"concat({_segments(_found('g[0]', '[0-9]+'))}, '3', {_ranked('g[1]', COMPOSER_STAGES)}, "
+        f"{_segments(_found('g[2]', '[0-9]+'))}, '3', if(g[3] <> '', '0', '1'))"), general)
+
 
+@lru_cache(maxsize=1)
+def _key_body() -> str:
+    def names(known):
+        return f"e in ({', '.join(map(sql_text, known))})"
 
-def order_key(version: Column, ecosystem: Column) -> Column:
-    """A string that sorts as versions do in an ecosystem, given by any of its names.
+    general = _general_key()
+    return (f"case when {names(SEMVER_NAMES)} then {_semver_key(general)} when {names(PEP440_NAMES)} then {_pep440_key(general)} "
+            f"when {names(GEM_NAMES)} then {_gem_key()} when {names(COMPOSER_NAMES)} then {_composer_key(general)} else {general} end")
+
+
+def order_key_sql(version: str, ecosystem: str) -> str:
+    """:func:`order_key` as SQL text of SQL text."""
+    return _bound("v", f"coalesce({version}, '')", _bound("e", f"coalesce({ecosystem}, '')", _key_body()))
+
+
+def order_key(version: str, ecosystem: str) -> Column:
+    """A string that sorts as versions do in an ecosystem, given by any of its names; the arguments are columns or SQL text.
 
     Keys of one ecosystem compare with each other only.  Null and texts without digits come first.  Ecosystems without a
     rule of their own follow :data:`STAGES`.
     """
-    text = F.coalesce(version, F.lit(""))
-    return (F.when(ecosystem.isin(*SEMVER_NAMES), _semver_key(text)).when(ecosystem.isin(*PEP440_NAMES), _pep440_key(text))
-            .when(ecosystem.isin(*GEM_NAMES), _gem_key(text)).when(ecosystem.isin(*COMPOSER_NAMES), _composer_key(text))
-            .otherwise(_general_key(text)))
+    return F.expr(order_key_sql(version, ecosystem))
 
 
-def range_bounds(version_range: Column, ecosystem: Column) -> Column:
+def range_bounds(version_range: str, ecosystem: str) -> Column:
     """The parts of a range such as ``>= 1.2, < 2.0`` as ``array<struct<op, key>>`` with keys of :func:`order_key`."""
-    parts = F.filter(F.split(F.coalesce(version_range, F.lit("")), ","), lambda p: F.trim(p) != "")
-    return F.transform(parts, lambda p: F.struct(
-        F.regexp_extract(p, r"^\s*(>=|<=|!=|>|<|=)?", 1).alias("op"),
-        order_key(F.trim(F.regexp_replace(p, r"^\s*(>=|<=|!=|>|<|=)?", "")), ecosystem).alias("key")))
+    op = sql_text(r"^\s*(>=|<=|!=|>|<|=)?")
+    return F.expr(f"""transform(filter(split(coalesce({version_range}, ''), ','), p -> trim(p) <> ''), p -> named_struct(
+        'op', regexp_extract(p, {op}, 1), 'key', {order_key_sql(f"trim(regexp_replace(p, {op}, ''))", ecosystem)}))""")
 
 
-def within(key: Column, bounds: Column) -> Column:
+def within(key: str, bounds: str) -> Column:
     """Whether a key meets all bounds; no bounds hold every version."""
-    return F.forall(bounds, lambda b: (
-        F.when(b["op"] == ">=", key >= b["key"]).when(b["op"] == "<=", key <= b["key"])
-        .when(b["op"] == "!=", key != b["key"]).when(b["op"] == ">", key > b["key"])
-        .when(b["op"] == "<", key < b["key"]).otherwise(key == b["key"])))
+    return F.expr(f"""forall({bounds}, b -> case b.op when '>=' then {key} >= b.key when '<=' then {key} <= b.key
+        when '!=' then {key} <> b.key when '>' then {key} > b.key when '<' then {key} < b.key else {key} = b.key end)""")

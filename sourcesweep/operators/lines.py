@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.regex import (gate, gate_sql, matches, matches_sql, necessary_literals,
-                               required_literals, shared_gates, spark_regex, sql_text)
+from ..functions.regex import (folds_to_ascii, gate, gate_sql, matches, matches_sql,
+                               necessary_literals, required_literals, shared_gates, spark_regex,
+                               sql_text)
 from ..functions.text import snippet, strip
 from ..rules.catalog import (ANALYZERS, DEFAULT_EXTENSIONS, ESCAPE_FUNCTIONS, LANGUAGES,
                              LINE_EXTENSIONS, SANITIZERS, SMELL_EXTENSIONS, Rule)
@@ -314,8 +315,7 @@ def line_findings(
     sanitized = F.lit(False)
     if sanitizable and allow_sanitizers:
         content = F.col("content")
-        hint = gate(F.lower(content), F.octet_length(content) != F.length(content),
-                    required_literals(SANITIZERS))
+        hint = gate(F.lower(content), folds_to_ascii(content), required_literals(SANITIZERS))
         sanitized = (F.col("lang") == "JS") & hint & matches(content, SANITIZERS, True)
 
     picked = (files.withColumn("lang", language()).withColumns(flags)
@@ -327,7 +327,7 @@ def line_findings(
     text = F.col("line_text")
     lines = lines.filter(text != "").select(
         "*", F.lower(text).alias("lowered"),
-        (F.octet_length(text) != F.length(text)).alias("non_ascii"))
+        folds_to_ascii(text).alias("non_ascii"))
 
     zero = F.lit(0).cast("bigint")
     masks: dict[str, Column] = {}

@@ -10,7 +10,7 @@ adaptive execution splits where one key is hot.  No side is broadcast by hint: S
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import vulnerability_type
 from ..functions.versions import in_range, order_key, range_bounds, within
-from ..session import materialised
+from ..session import materialised, materialised_together
 from ..sources.advisories import (DEFAULT_REMEDIATION, GHSA_ECOSYSTEMS, NO_DESCRIPTION,
                                   OSV_ECOSYSTEMS, ecosystem_of)
 from .counts import LEVELS, level_counts
@@ -35,11 +35,12 @@ def dependency_keys(deps: DataFrame) -> DataFrame:
 
 
 def number_advisories(advisories: DataFrame) -> DataFrame:
-    """Add ``adv_no``, the digest of the whole row, so that text can be picked up after matching.
+    """Add ``adv_no``, the digest of all that a row tells, so that text can be picked up after matching.
 
     Rows with one digest are the same advisory, whatever order they come in.
     """
-    return advisories.withColumn("adv_no", F.unhex(F.sha2(F.to_json(F.struct(*advisories.columns)), 256)))
+    told = [c for c in advisories.columns if c not in ("events", "words")]  # made for matching only
+    return advisories.withColumn("adv_no", F.unhex(F.sha2(F.to_json(F.struct(*told)), 256)))
 
 
 def _version_hit(version: Column) -> Column:
@@ -59,10 +60,11 @@ def match_osv(keys: DataFrame, advisories: DataFrame) -> DataFrame:
     """
     left = keys.select(*KEY, ecosystem_of(F.col("type"), OSV_ECOSYSTEMS).alias("eco"))
     slim = advisories.select("adv_no", "id", "package", "ecosystem", "versions", "events")
-    known = left.filter(F.col("eco").isNotNull()).withColumn("key", order_key(F.col("clean"), F.col("eco"))).join(
+    known = left.filter(F.col("eco").isNotNull()).withColumn("key", order_key("clean", "eco")).join(
         slim, (F.col("name") == F.col("package")) & (F.col("eco") == F.col("ecosystem")))
-    other = left.filter(F.col("eco").isNull()).join(slim, F.col("name") == F.col("package")).withColumn(
-        "key", order_key(F.col("clean"), F.col("ecosystem")))
+    # the key behind a generator, so that the filter doesn't take its whole expression to every place it is used
+    other = left.filter(F.col("eco").isNull()).join(slim, F.col("name") == F.col("package")).select(
+        "*", F.explode_outer(F.array(order_key("clean", "ecosystem"))).alias("key"))
     return known.unionByName(other.select(*known.columns)).filter(_version_hit(F.col("clean"))).select(
         *KEY, "adv_no", "id")
 
@@ -74,12 +76,12 @@ def match_ghsa(keys: DataFrame, advisories: DataFrame, strict_ranges: bool = Fal
     the node's range, ``behind`` that its patched version is unknown or not above it.  ``strict_ranges`` leaves out what is outside.
     """
     left = keys.select(*KEY, ecosystem_of(F.col("type"), GHSA_ECOSYSTEMS).alias("eco")).filter(
-        F.col("eco").isNotNull()).withColumn("key", order_key(F.col("clean"), F.col("eco")))
+        F.col("eco").isNotNull()).withColumn("key", order_key("clean", "eco"))
     slim = advisories.select(
-        "adv_no", "id", "package", "ecosystem", range_bounds(F.col("affected_versions"), F.col("ecosystem")).alias("bounds"),
-        F.when(F.col("patched").isNotNull(), order_key(F.col("patched"), F.col("ecosystem"))).alias("patched"))
+        "adv_no", "id", "package", "ecosystem", range_bounds("affected_versions", "ecosystem").alias("bounds"),
+        F.when(F.col("patched").isNotNull(), order_key("patched", "ecosystem")).alias("patched"))
     hits = left.join(slim, (F.col("name") == F.col("package")) & (F.col("eco") == F.col("ecosystem")))
-    hits = hits.select(*KEY, "adv_no", "id", (~within(F.col("key"), F.col("bounds"))).alias("outside"),
+    hits = hits.select(*KEY, "adv_no", "id", (~within("key", "bounds")).alias("outside"),
                        F.coalesce(F.col("patched") <= F.col("key"), F.lit(True)).alias("behind"), "patched")
     return hits.filter(~F.col("outside")) if strict_ranges else hits
 
@@ -96,7 +98,7 @@ def match_keywords(keys: DataFrame, advisories: DataFrame) -> DataFrame:
     An inverted index is joined on each key's rarest word only, so common words such as version
     numbers never multiply rows; the other words are tested on the few pairs that remain.
     """
-    texts = materialised(advisories.select("adv_no", "id", words(F.col("description")).alias("words")))
+    texts = advisories.select("adv_no", "id", F.col("words") if "words" in advisories.columns else words(F.col("description")).alias("words"))
     postings = texts.select("adv_no", F.explode("words").alias("word"))
     frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
 
@@ -138,6 +140,10 @@ class Matched:
     per_key: DataFrame
     texts: DataFrame
 
+    def settled(self) -> Matched:
+        """The same with the matches written once, for those who use both rows and counts."""
+        return replace(self, per_key=materialised(self.per_key))
+
     def vulnerabilities(self) -> DataFrame:
         """A row for each occurrence and advisory; all that depends on the advisory alone is worked out before that join."""
         found = self.per_key.join(self.texts, ["rank", "adv_no"])
@@ -158,9 +164,9 @@ class Matched:
 def match(deps: DataFrame, sources: list[tuple[str, DataFrame]], strict_ranges: bool = False) -> Matched:
     """Match all dependencies with all sources.
 
-    Dependencies, their distinct keys, the advisories and the matches are each used several times, so they are
-    written to the shared folder first (see :func:`sourcesweep.session.materialised`); the joins
-    on top are lazy.
+    Dependencies, their distinct keys and the advisories (with the words of their descriptions) are each used
+    several times, so they are written to the shared folder first (see :func:`sourcesweep.session.materialised`);
+    the joins on top are lazy.
 
     ``sources`` lists ``(kind, advisories)`` in order of preference; kind is ``nvd``, ``osv``,
     ``github-advisory`` or, for a registered table with ``package`` and ``ecosystem`` named like
@@ -168,9 +174,11 @@ def match(deps: DataFrame, sources: list[tuple[str, DataFrame]], strict_ranges:
     """
     if not sources:
         raise ValueError("no advisory sources given")
-    deps = materialised(deps)
+    ready = [number_advisories(adv) for _, adv in sources]
+    deps, *ready = materialised_together(deps, *[
+        adv.withColumn("words", words(F.col("description"))) if kind == "nvd" else adv for (kind, _), adv in zip(sources, ready, strict=True)])
     keys = materialised(dependency_keys(deps))
-    numbered = [(kind, materialised(number_advisories(adv))) for kind, adv in sources]
+    numbered = [(kind, adv) for (kind, _), adv in zip(sources, ready, strict=True)]
     found = []
     for kind, adv in numbered:
         if kind == "nvd":
@@ -195,7 +203,7 @@ def match(deps: DataFrame, sources: list[tuple[str, DataFrame]], strict_ranges:
         F.coalesce("references", F.array().cast("array<string>")).alias("references"),
         F.coalesce("remediation", F.lit(DEFAULT_REMEDIATION)).alias("remediation"))
         for i, (_, adv) in enumerate(numbered)])
-    return Matched(deps, materialised(first_per_id(found)), texts.dropDuplicates(["rank", "adv_no"]))
+    return Matched(deps, first_per_id(found), texts.dropDuplicates(["rank", "adv_no"]))
 
 
 def vulnerabilities(deps: DataFrame, sources: list[tuple[str, DataFrame]],

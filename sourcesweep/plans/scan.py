@@ -125,7 +125,7 @@ def scan(files: DataFrame, sources: list[tuple[str, DataFrame]] | None = None,
     every = list(sources or [])
     for _, table in sorted(_ADVISORY_TABLES.values(), key=lambda rt: rt[0]):
         every.append(("table", table))
-    matched = match(deps, every, strict_ranges) if every else None
+    matched = match(deps, every, strict_ranges).settled() if every else None
     findings = code_findings(files, analyzers, **options) if analyzers else None
     told = every_problem(file_problems(files), manifest_problems(files), *[p for p in (problems,) if p is not None])
     return Scan(files, deps, findings, matched and matched.vulnerabilities(), told, matched)

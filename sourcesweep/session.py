@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # HotSpot does not compile methods above this many bytes of bytecode.
@@ -55,3 +57,12 @@ def materialised(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def materialised_together(*frames: DataFrame) -> list[DataFrame]:
+    """Each frame as :func:`materialised` gives it; the writes run side by side, as none alone fills a cluster."""
+    if len(frames) < 2 or shared_folder(frames[0].sparkSession) is None:
+        return [materialised(df) for df in frames]
+    with ThreadPoolExecutor(len(frames)) as pool:
+        run = inheritable_thread_target(frames[0].sparkSession)(materialised)
+        return list(pool.map(run, frames))

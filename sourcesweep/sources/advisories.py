@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import score_from_severity, severity_from_score, severity_from_text
-from ..functions.versions import order_key
+from ..functions.versions import order_key_sql
 from .feeds import read_feed
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -95,19 +95,15 @@ def affected_ranges(affected: Column) -> Column:
         F.filter(ranges, lambda r: F.size(r["events"]) > 0), events_text), "; "))
 
 
-def _range_events(ranges: Column, ecosystem: Column) -> Column:
+def _range_events(ranges: str, ecosystem: str) -> Column:
     """One array of keyed events per range; a range of commits has none, so it holds no version.
 
     ``introduced: 0`` stands for the time before any version, prereleases of ``0`` included.
     """
-    def keyed(rng: Column) -> Column:
-        events = F.filter(rng["events"], lambda e: F.coalesce(rng["type"], F.lit("ECOSYSTEM")).isin(*VERSION_RANGES))
-        return F.transform(F.flatten(F.transform(events, lambda e: F.map_entries(e))),
-                           lambda p: F.struct(p["key"].alias("kind"), F.when(
-                               (p["key"] == "introduced") & (p["value"] == "0"), "").otherwise(
-                               order_key(p["value"], ecosystem)).alias("key")))
-
-    return F.transform(ranges, keyed)
+    kinds = ", ".join(f"'{k}'" for k in VERSION_RANGES)
+    return F.expr(f"""transform({ranges}, r -> transform(
+        flatten(transform(filter(r.events, x -> coalesce(r.type, 'ECOSYSTEM') in ({kinds})), x -> map_entries(x))),
+        p -> named_struct('kind', p.key, 'key', if(p.key = 'introduced' and p.value = '0', '', {order_key_sql('p.value', ecosystem)}))))""")
 
 
 def osv_advisories(raw: DataFrame) -> DataFrame:
@@ -132,7 +128,7 @@ def osv_advisories(raw: DataFrame) -> DataFrame:
         *docs.columns[:-1], F.col("item.package.name").alias("package"),
         F.col("item.package.ecosystem").alias("ecosystem"),
         F.col("item.versions").alias("versions"),
-        _range_events(F.col("item.ranges"), F.col("item.package.ecosystem")).alias("events"))
+        _range_events("item.ranges", "item.package.ecosystem").alias("events"))
 
 
 def ghsa_advisories(raw: DataFrame) -> DataFrame:

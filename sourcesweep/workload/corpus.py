@@ -1,8 +1,8 @@
 """Corpora derived from the test tables, each as a Spark plan and as equal DuckDB SQL.
 
-The tables hold business rows and prose, so source trees, manifests and advisory feeds are derived
-from them by arithmetic on their keys.  Every row of the driving table yields one file, nothing is
-filtered, no file needs a shuffle, and a third of all files sits in one project.
+Prose hits few rules, so source trees, manifests and advisory feeds are derived from business rows by
+arithmetic on their keys; every corpus of code holds all documents, pages and conversations, whole, as well.
+Every row of a driving table yields one file, nothing is filtered, and a third of all derived files sits in one project.
 """
 
 from __future__ import annotations
@@ -29,13 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that is too small to be split when read.
-
-    The test tables are single files with one row group, hence one task.  Tables with enough
-    partitions are left as they are, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The rows of a driving table, dealt out evenly to as many tasks as any shuffle has: a row becomes a whole file, whatever it takes to store."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _array(items: list[str]) -> Column:
@@ -70,6 +65,11 @@ _SQL_PATH = """'proj' || (case when no % 3 = 0 then 0 else sub % 50 end) as proj
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived code and all texts."""
+    return derived_code(spark, sf_dir).unionByName(prose_files(spark, sf_dir))
+
+
+def derived_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file of 8 to 20 lines per order."""
     src = spread(table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("sub")))
@@ -85,8 +85,20 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_files(files)
 
 
+def _and_prose_sql(derived: str) -> str:
+    """CTE ``lines`` (project, path, ext, line_no, line) of a derived corpus and all texts."""
+    return f"""
+  derived as (with {derived} select project, path, ext, line_no, line from lines),
+  texts_too as (with {prose_lines_sql()} select project, path, ext, line_no, line from lines),
+  lines as (select * from derived union all select * from texts_too)"""
+
+
 def code_lines_sql() -> str:
-    """The same corpus by line: ``project, path, ext, no, line_no, line``."""
+    """The same corpus by line: ``project, path, ext, line_no, line``."""
+    return _and_prose_sql(derived_lines_sql())
+
+
+def derived_lines_sql() -> str:
     return f"""
   base as (select o_orderkey as no, o_custkey as sub,
              ({sql_list(CODE_EXTS)})[1 + o_orderkey % {len(CODE_EXTS)}] as ext from orders),
@@ -98,7 +110,7 @@ def code_lines_sql() -> str:
 
 
 def function_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per part with functions of 20 to 119 lines; declarations, bodies, top-level lines."""
+    """All texts, and one file per part with functions of 20 to 119 lines; declarations, bodies, top-level lines."""
     src = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("no"),
                                               F.col("p_size").cast("bigint").alias("sub")))
     no, sub = F.col("no"), F.col("sub")
@@ -112,11 +124,11 @@ def function_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     body = F.transform(F.sequence(F.lit(1).cast("bigint"), 150 + no % 60), line)
     return normalise_files(src.select(*_path(no, sub, _pick(FUNC_EXTS, no)),
-                                      F.array_join(body, "\n").alias("content")))
+                                      F.array_join(body, "\n").alias("content"))).unionByName(prose_files(spark, sf_dir))
 
 
 def function_lines_sql() -> str:
-    return f"""
+    return _and_prose_sql(f"""
   base as (select p_partkey as no, p_size::bigint as sub,
              ({sql_list(FUNC_EXTS)})[1 + p_partkey % {len(FUNC_EXTS)}] as ext from part),
   lines as (select {_SQL_PATH}, no, k as line_no, replace(
@@ -124,11 +136,11 @@ def function_lines_sql() -> str:
              then ({sql_list(FUNC_DECLS)})[1 + no % {len(FUNC_DECLS)}]
            when (k * 13 + no) % 97 = 0 then {sql_str(FUNC_BODY[5])}
            else ({sql_list(FUNC_BODY[:5])})[1 + (k * 3 + no) % 5] end, '@@', k::varchar) as line
-    from base cross join lateral unnest(range(1, 151 + no % 60)) as u(k))"""
+    from base cross join lateral unnest(range(1, 151 + no % 60)) as u(k))""")
 
 
 def endpoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file of 30 to 89 lines per customer: routes, handlers and, in every third, an excuse."""
+    """All texts, and one file of 30 to 89 lines per customer: routes, handlers and, in every third, an excuse."""
     src = spread(table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("no"), F.col("c_nationkey").cast("bigint").alias("sub")))
     no, sub = F.col("no"), F.col("sub")
@@ -140,11 +152,11 @@ def endpoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     body = F.transform(F.sequence(F.lit(1).cast("bigint"), 30 + no % 60), line)
     return normalise_files(src.select(*_path(no, sub, _pick(CSRF_EXTS, no)),
-                                      F.array_join(body, "\n").alias("content")))
+                                      F.array_join(body, "\n").alias("content"))).unionByName(prose_files(spark, sf_dir))
 
 
 def endpoint_lines_sql() -> str:
-    return f"""
+    return _and_prose_sql(f"""
   base as (select c_custkey as no, c_nationkey::bigint as sub,
              ({sql_list(CSRF_EXTS)})[1 + c_custkey % {len(CSRF_EXTS)}] as ext from customer),
   pool as (select {sql_list(CSRF_POOL)} as items, {sql_list(CSRF_EXCUSES)} as excuses),
@@ -152,7 +164,7 @@ def endpoint_lines_sql() -> str:
       case when no % 3 = 0 and k % 40 = 15 then excuses[1 + no % {len(CSRF_EXCUSES)}]
            else items[1 + (no * 17 + k * k * 5 + k * sub) % {len(CSRF_POOL)}] end,
       '@@', sub::varchar) as line
-    from base cross join pool cross join lateral unnest(range(1, 31 + no % 60)) as u(k))"""
+    from base cross join pool cross join lateral unnest(range(1, 31 + no % 60)) as u(k))""")
 
 
 def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +199,8 @@ def html_files_sql() -> str:
 
 
 def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and every conversation turn, whole, as a source file."""
-    docs = spread(table(spark, sf_dir, "documents")).select(
+    """Every document, conversation turn and page, whole, as a source file."""
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(
         F.col("source").alias("project"),
         F.concat(F.lit("docs/d"), "doc_id", _pick([".py", ".js", ".php", ".java"],
                                                   F.col("doc_id"))).alias("path"),
@@ -197,7 +209,10 @@ def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("talk").alias("project"),
         F.concat(F.lit("talk/c"), "conv_id", F.lit("_"), "turn", F.lit(".py")).alias("path"),
         F.col("text").alias("content"))
-    return normalise_files(docs.unionByName(talk))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
+        F.lit("pages").alias("project"), F.concat(F.lit("pages/p"), "page_id", F.lit(".html")).alias("path"),
+        F.col("html").alias("content"))
+    return normalise_files(docs.unionByName(talk).unionByName(pages))
 
 
 def prose_lines_sql() -> str:
@@ -207,7 +222,9 @@ def prose_lines_sql() -> str:
         || (['.py', '.js', '.php', '.java'])[1 + doc_id % 4] as path,
       (['.py', '.js', '.php', '.java'])[1 + doc_id % 4] as ext, text as content from documents
     union all
-    select 'talk', 'talk/c' || conv_id || '_' || turn || '.py', '.py', text from conversations),
+    select 'talk', 'talk/c' || conv_id || '_' || turn || '.py', '.py', text from conversations
+    union all
+    select 'pages', 'pages/p' || page_id || '.html', '.html', html from pages),
   lines as (select project, path, ext, generate_subscripts(parts, 1) as line_no,
       unnest(parts) as line
     from (select project, path, ext, string_split(regexp_replace(content,

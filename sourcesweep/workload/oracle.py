@@ -92,16 +92,16 @@ def _rule_findings(rules: list[cat.Rule]) -> str:
     return f"""
   {corpus.code_lines_sql()},
   texts as materialized (select *, {_SKIPPED} as skipped, {_STRIPPED} as stripped from lines),
-  clean_files as (select no from texts
-    where {_in('ext', cat.LANGUAGES['JS'])} group by no
+  clean_files as (select project, path from texts
+    where {_in('ext', cat.LANGUAGES['JS'])} group by project, path
     having bool_or({_hit('line', cat.SANITIZERS, True)})),
   rules(rule_id, analyzer, plain, sanitized, issue, message) as (values {values}),
-  hits as (select project, path, no, line_no, stripped, unnest(list_filter([
+  hits as (select project, path, line_no, stripped, unnest(list_filter([
     {', '.join(cases)}], lambda x: x is not null)) as rule_id from texts),
   found as (select h.project, h.path, h.line_no, r.analyzer, h.rule_id, r.issue, r.message,
-      case when c.no is null then r.plain else r.sanitized end as severity,
+      case when c.path is null then r.plain else r.sanitized end as severity,
       case when r.analyzer = 'line-patterns' then stripped else left(stripped, 100) end as snippet
-    from hits h join rules r using (rule_id) left join clean_files c using (no))"""
+    from hits h join rules r using (rule_id) left join clean_files c using (project, path))"""
 
 
 def _findings(families: list[str], **options) -> str:
@@ -124,11 +124,8 @@ def _smell(rule_id: str, bit: int, body: str, where: str, analyzer: str = "code-
     """
     row = next(r for r in (rows or ln._SMELL_ROWS) if r[0] == bit)
     fill = "replace(replace({}, '{{a}}', coalesce(a, '')), '{{b}}', coalesce(b, ''))"
-    code, prose = corpus.code_lines_sql(), corpus.prose_lines_sql()
-    return f"""with code as (with {code} select project, path, ext, line_no, line from lines),
-  prose as (with {prose} select project, path, ext, line_no, line from lines),
-  texts as (select *, {_STRIPPED} as stripped from (select * from code union all
-      select * from prose) where {_in('ext', exts)} and not {_SKIPPED} {extra}),
+    return f"""with {corpus.code_lines_sql()},
+  texts as (select *, {_STRIPPED} as stripped from lines where {_in('ext', exts)} and not {_SKIPPED} {extra}),
   found as ({body.format(where=where)})
   select project, path, line_no::integer as line, {sql_str(analyzer)} as analyzer,
     coalesce(sev, {sql_str(row[2])}) as severity, {sql_str(rule_id)} as rule_id,
@@ -209,7 +206,7 @@ def _long_functions() -> str:
       lang = 'PY' and regexp_matches(line, '^\\S') as top from texts),
   events as (select *, case {' '.join(name)} end as name,
       lead(line_no) over w as next_no, lead(decl) over w as next_decl
-    from marked where decl or top window w as (partition by no order by line_no)),
+    from marked where decl or top window w as (partition by project, path order by line_no)),
   found as (select *, next_no - line_no - (case when next_decl then 1 else 0 end) as length
     from events where decl and not top and next_no is not null)
   select project, path, line_no::integer as line, 'code-smell' as analyzer,
@@ -232,7 +229,7 @@ def _csrf(rule_id: str, key: str, severity: str, cases: list[tuple[str, str, str
         for cond, issue, msg in cases)
     return f"""with {corpus.endpoint_lines_sql()},
   framed as (select *, {_STRIPPED} as stripped, string_agg(line, chr(10)) over (
-      partition by no order by line_no rows between 4 preceding and {after} following) as frame
+      partition by project, path order by line_no rows between 4 preceding and {after} following) as frame
     from lines where {_in('ext', cat.LANGUAGES[key])} and not {_SKIPPED}),
   live as materialized (select * from framed where not ({comments}) and {needs}
     and not {_hit('frame', _alt(checks), True)}),
@@ -528,7 +525,7 @@ ORACLES: dict[str, str] = {
     "advisory_link": f"with {_FEEDS} select id, source, {_link('id', 'source')} as link, "
                      f"{_html('severity', sev.VULN_ORDER)} as html from {_ALL_FEEDS}",
     "skip_filter": f"with {corpus.code_lines_sql()} select project, {_SKIPPED} as skipped, "
-                   "count(distinct no) as files from lines group by all",
+                   "count(distinct path) as files from lines group by all",
     "file_lines": f"with {corpus.prose_lines_sql()} select project, path, "
                   "count(*)::integer as lines, (sum(length(line)) + count(*) - 1)::integer as chars "
                   "from lines group by project, path",

@@ -135,7 +135,7 @@ def manifests_sql() -> str:
 # --- advisories -----------------------------------------------------------------------------
 
 def _advisory_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
     k = F.col("p_partkey")
     package = F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), k % 40)
     version = F.concat("p_size", F.lit("."), k % 10, F.lit(".0"))

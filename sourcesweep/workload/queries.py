@@ -20,7 +20,7 @@ from ..operators.structure import CsrfOptions, FunctionOptions, structure_findin
 from ..plans.report import finding_rows, vulnerability_rows
 from ..plans.scan import code_findings
 from ..rules.catalog import build_rules, rules_frame
-from ..session import materialised, work_folder
+from ..session import materialised_together, work_folder
 from ..sources import advisories as adv
 from ..sources.feeds import feed_of
 from ..sources.files import is_skipped, lines_of, normalise_files
@@ -41,7 +41,7 @@ def _family(family: str) -> Query:
 
 def _smell(rule_id: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = corpus.code_files(spark, sf_dir).unionByName(corpus.prose_files(spark, sf_dir))
+        files = corpus.code_files(spark, sf_dir)
         return line_findings(files, smells=SmellOptions()).filter(
             F.col("rule_id") == rule_id).select(*_FINDING)
     return query
@@ -64,17 +64,13 @@ def _deps(kind: str | None) -> Query:
 
 def _secrets(rule_id: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = corpus.code_files(spark, sf_dir).unionByName(corpus.prose_files(spark, sf_dir))
+        files = corpus.code_files(spark, sf_dir)
         options = SecretOptions(min_entropy=3.5, check_entropy=rule_id == "SEC-2")
         return line_findings(files, secrets=options).filter(
             F.col("rule_id") == rule_id).select(*_FINDING)
     return query
 
 
-def _keys(spark, sf_dir):
-    return materialised(dependency_keys(dependencies(packages.manifest_files(spark, sf_dir))))
-
-
 def _nvd(spark, sf_dir):
     return adv.nvd_advisories(packages.nvd_raw(spark, sf_dir))
 
@@ -169,24 +165,26 @@ def osv_affected_ranges(spark, sf_dir):
     return _osv(spark, sf_dir).select("id", "affected_versions")
 
 
+def _inputs(spark, sf_dir, advisories):
+    """Distinct keys of all dependencies and the numbered advisories of one feed."""
+    keys = dependency_keys(dependencies(packages.manifest_files(spark, sf_dir)))
+    return materialised_together(keys, number_advisories(advisories(spark, sf_dir)))
+
+
 def deps_join_osv(spark, sf_dir):
-    return match_osv(_keys(spark, sf_dir), number_advisories(_osv(spark, sf_dir))).select(
-        *KEY, "id")
+    return match_osv(*_inputs(spark, sf_dir, _osv)).select(*KEY, "id")
 
 
 def deps_join_ghsa(spark, sf_dir):
-    return match_ghsa(_keys(spark, sf_dir), number_advisories(_ghsa(spark, sf_dir))).select(
-        *KEY, "id")
+    return match_ghsa(*_inputs(spark, sf_dir, _ghsa)).select(*KEY, "id")
 
 
 def deps_join_ghsa_strict(spark, sf_dir):
-    return match_ghsa(_keys(spark, sf_dir), number_advisories(_ghsa(spark, sf_dir)),
-                      strict_ranges=True).select(*KEY, "id")
+    return match_ghsa(*_inputs(spark, sf_dir, _ghsa), strict_ranges=True).select(*KEY, "id")
 
 
 def deps_join_nvd_keyword(spark, sf_dir):
-    return match_keywords(_keys(spark, sf_dir), number_advisories(_nvd(spark, sf_dir))).select(
-        *KEY, "id")
+    return match_keywords(*_inputs(spark, sf_dir, _nvd)).select(*KEY, "id")
 
 
 def advisory_dedup(spark, sf_dir):
@@ -198,7 +196,7 @@ def advisory_dedup(spark, sf_dir):
 def version_order(spark, sf_dir):
     """Pairs of versions, compared by the keys of their ecosystem."""
     pairs = packages.ordered_versions(spark, sf_dir)
-    a, b = (order_key(F.col(c), F.col("ecosystem")) for c in "ab")
+    a, b = (order_key(c, "ecosystem") for c in "ab")
     keyed = pairs.select("*", a.alias("key_a"), b.alias("key_b"))
     return keyed.select("k", "ecosystem", "a", "b", F.when(F.col("key_a") < F.col("key_b"), -1).when(F.col("key_a") > F.col("key_b"), 1).otherwise(0).alias("compared"))
 
