@@ -102,8 +102,11 @@ def match_keywords(keys: DataFrame, advisories: DataFrame) -> DataFrame:
     postings = texts.select("adv_no", F.explode("words").alias("word"))
     frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
 
-    query = words(F.concat_ws(" ", "name", "clean"))
-    wanted = keys.select(*KEY, query.alias("query"))
+    asked = F.concat_ws(" ", "name", "clean")
+    query = words(asked)
+    # a part without any word, such as the version *, is in no description
+    hollow = F.exists(F.filter(F.split(asked, r"\s+"), lambda p: p != ""), lambda p: F.size(words(p)) == 0)
+    wanted = keys.filter(~hollow).select(*KEY, query.alias("query"))
     anchors = (
         wanted.select(*KEY, F.size("query").alias("n"), F.explode("query").alias("word"))
         .join(frequency, "word")

@@ -1,13 +1,20 @@
-"""The report as tables of ordered Markdown rows, and its sink."""
+"""The report as tables of ordered Markdown rows, numbered rows, and its sink.
+
+Each part of the report brings its own keys to sort by: section, number, project, path, two more numbers and a
+name.  Rows of vulnerabilities and findings are written once where there is a shared folder; the counts of
+the summary, and which sections there are at all, come from those rows.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import FINDING_ORDER, VULN_ORDER, severity_rank
 from ..functions.text import advisory_link, severity_html, smart_truncate
-from ..operators.counts import risk_counts, severity_counts
+from ..session import materialised_together, work_folder
 
 VULN_HEADER = ["Severity", "Package", "Version", "CVE", "Source", "Type", "Description",
                "Remediation"]
@@ -41,74 +48,106 @@ def finding_rows(findings: DataFrame) -> DataFrame:
         "line", "rule_id", _row(cells).alias("row"))
 
 
-#: Sort keys that are numbers of any size, padded so that they sort as such.
-_COUNTED = ("line", "dep_seq", "rank", "severity_rank")
+_KEYS = "section int, n0 bigint, project string, path string, n1 bigint, n2 bigint, name string"
+_ORDER = [c.strip().split(" ")[0] for c in _KEYS.split(",")] + ["value"]
+NOTHING_FOUND = "No vulnerabilities found in dependencies."
 
 
-def _section(df: DataFrame, section: int, order: list[str], text: Column) -> DataFrame:
-    key = F.struct(*[F.col(c).cast("string").alias(f"k{i}") if c not in _COUNTED
-                     else F.lpad(F.col(c).cast("string"), 12, "0").alias(f"k{i}")
-                     for i, c in enumerate(order)])
-    keys = [key[f"k{i}"] if i < len(order) else F.lit("") for i in range(6)]
-    return df.select(F.lit(section).alias("section"),
-                     *[F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)],
-                     text.alias("value"))
+def report_header(date: str | None = None, place: str | None = None, sources: list[str] = ()) -> list[str]:
+    """Header lines: when and what was scanned, and with which advisory sources."""
+    given = [("Scan Date", date), ("Project Path", place), ("Sources", ", ".join(sources) or "None (basic scan only)")]
+    return [f"**{label}:** {text}" for label, text in given if text]
 
 
-def _fixed(like: DataFrame, section: int, lines: list[str]) -> DataFrame:
-    spark = like.sparkSession
-    rows = [(section, f"{i:03d}", "", "", "", "", "", line) for i, line in enumerate(lines)]
-    return spark.createDataFrame(rows, "section int, k0 string, k1 string, k2 string, k3 string, "
-                                       "k4 string, k5 string, value string")
+def _part(df: DataFrame, section: int, order: dict[str, str], value: str) -> DataFrame:
+    """Rows of one section with the keys they sort by; keys that a section doesn't have are equal."""
+    keys = [F.coalesce(F.col(order[n]).cast(t), F.lit(0 if t != "string" else "").cast(t)).alias(n) if n in order else
+            F.lit(section if n == "section" else 0 if t != "string" else "").cast(t).alias(n)
+            for n, t in (c.strip().split(" ") for c in _KEYS.split(","))]
+    return df.select(*keys, F.col(value).alias("value"))
 
 
-def _counts_section(counts: DataFrame, section: int, labels: dict[str, str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(f"{i:03d}").alias("k"), F.lit(label).alias("label"),
-                               F.col(c).alias("n"), F.lit(c == "unknown").alias("optional"))
-                      for i, (c, label) in enumerate(labels.items())])
-    rows = counts.select(F.inline(pairs)).filter(~F.col("optional") | (F.col("n") > 0))
-    return rows.select(F.lit(section).alias("section"), F.col("k").alias("k0"),
-                       *[F.lit("").alias(f"k{i}") for i in range(1, 6)],
-                       F.concat(F.lit("- **"), "label", F.lit(":** "), F.col("n").cast("string"))
-                       .alias("value"))
+def _texts(df: DataFrame, section: int, lines: Column) -> DataFrame:
+    """Lines, an array for each row of a table of one row, in their order."""
+    return _part(df.select(F.posexplode(lines).alias("at", "line")), section, {"n0": "at"}, "line")
 
 
-def report_lines(title: str, vulns: DataFrame | None, findings: DataFrame | None,
-                 header: list[str] = ()) -> DataFrame:
-    """The whole report, one row per line, sorted globally; write it as text."""
-    base = vulns if vulns is not None else findings
-    if base is None:
+def _counts(rows: DataFrame, order: list[str]) -> DataFrame:
+    rank = F.col("severity_rank")
+    levels = [F.count_if(rank == i).alias(level.lower()) for i, level in enumerate(order[:4])]
+    return rows.agg(F.count("*").alias("total"), *levels, F.count_if(rank > 3).alias("unknown"))
+
+
+def _count_lines(labels: dict[str, str]) -> Column:
+    return F.array(*[F.concat(F.lit(f"- **{label}:** "), F.col(c).cast("string")) for c, label in labels.items()])
+
+
+def _array(lines: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in lines])
+
+
+def _table(name: str, columns: list[str]) -> list[str]:
+    return ["", f"## {name}", "", f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
+
+
+def _lines(title: str, vulns: DataFrame | None, findings: DataFrame | None, header: list[str]) -> DataFrame:
+    if vulns is None and findings is None:
         raise ValueError("a report needs vulnerabilities or findings")
-    parts = [_fixed(base, 0, [f"# Security Report - {title}", "", *header, "",
-                              "## Executive Summary", ""])]
+    made = [vulnerability_rows(vulns) if vulns is not None else None, finding_rows(findings) if findings is not None else None]
+    written = iter(materialised_together(*[m for m in made if m is not None]))
+    vrows, frows = (next(written) if m is not None else None for m in made)
+    one = (vrows if vrows is not None else frows).sparkSession.range(1)
+    parts = [_texts(one, 0, _array([f"# Security Report - {title}", "", *header, *[""] * bool(header), "## Executive Summary", ""]))]
     levels = {"critical": "Critical", "high": "High", "medium": "Medium", "low": "Low"}
-    if vulns is not None:
-        parts.append(_counts_section(severity_counts(vulns), 1, {
-            "total": "Total Vulnerabilities", **levels, "unknown": "Unknown"}))
-    if findings is not None:
-        parts.append(_counts_section(risk_counts(findings), 2, {
-            "total": "Suspicious Code Patterns",
-            **{k: f"{v} Risk Patterns" for k, v in levels.items()}}))
-
-    def heading(section: int, name: str, columns: list[str]) -> DataFrame:
-        return _fixed(base, section, ["", f"## {name}", "", f"| {' | '.join(columns)} |",
-                                      "|" + "---|" * len(columns)])
-
-    if vulns is not None:
-        parts += [heading(3, "Vulnerabilities", VULN_HEADER),
-                  _section(vulnerability_rows(vulns), 4,
-                           ["severity_rank", "project", "path", "dep_seq", "rank", "cve"],
-                           F.col("row"))]
-    if findings is not None:
-        parts += [heading(5, "Suspicious Code Patterns", FINDING_HEADER),
-                  _section(finding_rows(findings), 6,
-                           ["severity_rank", "project", "path", "line", "rule_id"], F.col("row"))]
-    parts.append(_fixed(base, 7, ["", "## Recommendations", "",
-                                  *[f"{i}. {t}" for i, t in enumerate(RECOMMENDATIONS, 1)]]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.orderBy("section", *[f"k{i}" for i in range(6)]).select("value")
+    if vrows is not None:
+        counts, some = _counts(vrows, VULN_ORDER), F.col("total") > 0
+        unknown = F.when(F.col("unknown") > 0, _count_lines({"unknown": "Unknown"})).otherwise(F.array().cast("array<string>"))
+        parts += [_texts(counts, 1, F.concat(_count_lines({"total": "Total Vulnerabilities", **levels}), unknown)),
+                  _texts(counts, 3, F.when(some, _array(_table("Vulnerabilities", VULN_HEADER))).otherwise(
+                      _array(["", "## Vulnerabilities", "", NOTHING_FOUND]))),
+                  _part(vrows, 4, {"n0": "severity_rank", "project": "project", "path": "path", "n1": "dep_seq", "n2": "rank", "name": "cve"}, "row")]
+    if frows is not None:
+        counts = _counts(frows, FINDING_ORDER).where("total > 0")
+        parts += [_texts(counts, 2, _count_lines({"total": "Suspicious Code Patterns", **{k: f"{v} Risk Patterns" for k, v in levels.items()}})),
+                  _texts(counts, 5, _array(_table("Suspicious Code Patterns", FINDING_HEADER))),
+                  _part(frows, 6, {"n0": "severity_rank", "project": "project", "path": "path", "n1": "line", "name": "rule_id"}, "row")]
+    parts.append(_texts(one, 7, _array(["", "## Recommendations", "", *[f"{i}. {t}" for i, t in enumerate(RECOMMENDATIONS, 1)]])))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_lines(title: str, vulns: DataFrame | None, findings: DataFrame | None,
+                 header: list[str] = ()) -> DataFrame:
+    """The whole report, one row per line, sorted globally; write it as text.
+
+    Findings have a section, and counts in the summary, only if there are any; without vulnerabilities a line says so.
+    """
+    return _lines(title, vulns, findings, list(header)).orderBy(*_ORDER).select("value")
+
+
+def numbered_report(title: str, vulns: DataFrame | None, findings: DataFrame | None,
+                    header: list[str] = ()) -> DataFrame:
+    """``position`` (from 1) and ``text`` of every line of the report."""
+    return numbered(_lines(title, vulns, findings, list(header)), _ORDER).select("position", F.col("value").alias("text"))
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``position``, the place from 1 of each row in an order, without bringing rows to one task.
+
+    Rows are dealt out by ranges of the order, sorted and written; a partition's places follow on the rows
+    of those before it, of which only the counts are collected, one for each partition.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    path, schema = work_folder(spark), placed.schema
+    placed.write.parquet(path)
+    placed = spark.read.schema(schema).parquet(path).withColumn("_part", F.shiftright("_place", 33))
+    before, offsets = 0, []
+    for part, n in sorted(placed.groupBy("_part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    place = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(starts, "_part").withColumn("position", place).drop("_part", "_place", "_before")
 
 
 def write_report(lines: DataFrame, path: str) -> None:

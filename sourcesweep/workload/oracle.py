@@ -477,6 +477,44 @@ def _row(cells) -> str:
     return "'| ' || " + " || ' | ' || ".join(f"({c})" for c in cells) + " || ' |'"
 
 
+def _numbered(parts: list[str]) -> str:
+    """Lines with their places; parts have section, n0, project, path, n1, n2, name, value."""
+    return (f"select row_number() over (order by section, n0, project, path, n1, n2, name, value) as position, value as text "
+            f"from ({' union all '.join(parts)}) as p(section, n0, project, path, n1, n2, name, value)")
+
+
+def _written(section: int, lines: list[str], source: str = "") -> list[str]:
+    return [f"select {section}, {i}, '', '', 0, 0, '', {line if source else sql_str(line)} {source}" for i, line in enumerate(lines)]
+
+
+def _summary(section: int, table: str, labels: list[tuple[str, str]]) -> list[str]:
+    return _written(section, [f"'- **{label}:** ' || (count(*) filter ({where}))" for label, where in labels], f"from {table}")
+
+
+def _vuln_table(name: str, columns: list[str]) -> list[str]:
+    return ["", f"## {name}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+
+
+_SEVERITIES = [(v.capitalize(), f"severity = '{v}'") for v in ("CRITICAL", "HIGH", "MEDIUM", "LOW")]
+_END_LINES = ["", "## Recommendations", "", "1. Upgrade dependencies with known vulnerabilities",
+              "2. Look into the suspicious lines and fix them", "3. Scan again regularly", "4. Agree on secure coding rules"]
+_FULL_REPORT = f"""with found as (with {_LINE_FOUND} select * from found), {_VULNS}
+  """ + _numbered([
+    *_written(0, ["# Security Report - fleet", "", "**Scan Date:** 2024-01-01 00:00:00", "**Project Path:** /srv/code",
+                  "**Sources:** nvd, osv, github-advisory", "", "## Executive Summary", ""]),
+    *_summary(1, "vulns", [("Total Vulnerabilities", "true"), *_SEVERITIES]),
+    "select 1, 5, '', '', 0, 0, '', '- **Unknown:** ' || count(*) from vulns where severity not in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') having count(*) > 0",
+    *_summary(2, "found", [("Suspicious Code Patterns", "true"), *[(f"{k} Risk Patterns", w) for k, w in _SEVERITIES]]),
+    *_written(3, _vuln_table("Vulnerabilities", ["Severity", "Package", "Version", "CVE", "Source", "Type", "Description", "Remediation"])),
+    f"select 4, {_rank('severity', sev.VULN_ORDER)}, project, path, dep_seq, rank, id, {_row(_CELLS)} from vulns",
+    *_written(5, _vuln_table("Suspicious Code Patterns", ["File", "Line", "Pattern", "Risk", "Description", "Recommendation"])),
+    f"select 6, {_rank('severity', sev.FINDING_ORDER)}, project, path, line_no, 0, rule_id, {_row(_FCELLS)} from found",
+    *_written(7, _END_LINES)])
+_EMPTY_REPORT = _numbered([
+    *_written(0, ["# Security Report - texts", "", "## Executive Summary", ""]),
+    *_written(1, [f"- **{k}:** 0" for k in ("Total Vulnerabilities", "Critical", "High", "Medium", "Low")]),
+    *_written(3, ["", "## Vulnerabilities", "", "No vulnerabilities found in dependencies."]), *_written(7, _END_LINES)])
+
 _CATALOG = ",\n".join("(" + ", ".join(map(sql_str, (
     r.rule_id, r.analyzer, r.lang, r.severity, r.issue))) + ")" for r in cat.build_rules())
 
@@ -599,6 +637,8 @@ ORACLES: dict[str, str] = {
         count(*) filter (kind = 'd') as dependencies, count(*) filter (kind = 'f') as findings,
         count(*) filter (kind = 'v') as vulnerabilities from parts group by project""",
     "version_order": packages.ordered_sql(),
+    "report_rows_all": _FULL_REPORT,
+    "report_without_findings": _EMPTY_REPORT,
     "scan_problems": packages.problems_sql(),
     "feed_documents": f"with {_FEEDS} select {_FLAT}, package, ecosystem from osvs",
 }

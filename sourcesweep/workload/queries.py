@@ -17,9 +17,9 @@ from ..operators.manifests import checkable, dependencies, manifests
 from ..operators.matching import (KEY, dependency_keys, match, match_ghsa, match_keywords,
                                   match_osv, number_advisories)
 from ..operators.structure import CsrfOptions, FunctionOptions, structure_findings
-from ..plans.report import finding_rows, vulnerability_rows
+from ..plans.report import finding_rows, numbered_report, report_header, vulnerability_rows
 from ..plans.scan import code_findings
-from ..rules.catalog import build_rules, rules_frame
+from ..rules.catalog import build_rules, custom_rule, rules_frame
 from ..session import materialised_together, work_folder
 from ..sources import advisories as adv
 from ..sources.feeds import feed_of
@@ -210,6 +210,20 @@ def finding_report_rows(spark, sf_dir):
     return finding_rows(_line_rules(spark, sf_dir))
 
 
+def report_rows_all(spark, sf_dir):
+    """Every line of the report with its place."""
+    header = report_header("2024-01-01 00:00:00", "/srv/code", ["nvd", "osv", "github-advisory"])
+    return numbered_report("fleet", _vulns(spark, sf_dir), _line_rules(spark, sf_dir), header)
+
+
+def report_without_findings(spark, sf_dir):
+    """The report of files without a manifest: no vulnerabilities, and the line patterns of one rule that finds none."""
+    files = corpus.prose_files(spark, sf_dir)
+    vulns = match(dependencies(files), [("osv", _osv(spark, sf_dir))]).vulnerabilities()
+    none = line_findings(files, [custom_rule("NONE-1", "PY", "\x00never\x00", "LOW", "Never")])
+    return numbered_report("texts", vulns, none)
+
+
 def severity_counts(spark, sf_dir):
     return _matched(spark, sf_dir).counts("project")
 
@@ -362,4 +376,6 @@ QUERIES: dict[str, Query] = {
     "scan_problems": scan_problems,
     "feed_documents": feed_documents,
     "version_order": version_order,
+    "report_rows_all": report_rows_all,
+    "report_without_findings": report_without_findings,
 }
