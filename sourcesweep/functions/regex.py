@@ -19,26 +19,74 @@ from pyspark.sql import functions as F
 _EXTRA_SPACE = r"\x1c-\x1f"
 
 
+#: What Java reads in another way than Python, or not at all, and can't be written otherwise.
+_REFUSED = re.compile(r"\\N\{|\(\?\(|\(\?[a-zA-Z]*[axLu][a-zA-Z]*[:)-]")
+
+
+def _class_item(pattern: str, i: int) -> tuple[str, int]:
+    """One item of a character class from place ``i``, as Java takes it, and the place after it."""
+    two = pattern[i : i + 2]
+    if two == r"\s":
+        return r"\s" + _EXTRA_SPACE, i + 2
+    if two == r"\b":
+        return r"\x08", i + 2
+    if two[0] == "\\":
+        return _escape(pattern, i, True)
+    return ("\\" + two[0] if two[0] in "[&~^" else two[0]), i + 1  # Java nests and intersects classes
+
+
+def _escape(pattern: str, i: int, inside: bool = False) -> tuple[str, int]:
+    """An escape from place ``i``, as Java takes it, and the place after it."""
+    two = pattern[i : i + 2]
+    if two == r"\U":
+        return rf"\x{{{pattern[i + 2 : i + 10].lstrip('0') or '0'}}}", i + 10
+    octal = re.compile(r"\\(0[0-7]{0,2}|[0-3][0-7]{2})").match(pattern, i)
+    if octal:
+        return rf"\x{{{int(octal[1], 8):x}}}", octal.end()
+    if inside and two[1].isdigit():
+        raise ValueError(f"unknown escape {two!r} in a class")
+    return two, i + 2
+
+
 @lru_cache(maxsize=4096)
 def spark_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Python ``re`` pattern -> pattern for Spark's regex functions."""
-    out, in_class, i = [], False, 0
+    """Python ``re`` pattern -> pattern for Spark's regex functions.
+
+    Classes with ``[`` or ``&&`` in them, named groups, ``\\Z``, ``{,n}`` and escapes are written as Java takes them;
+    conditional groups, comments, names of characters and the flags a, L, u and x are refused.
+    """
+    if _REFUSED.search(re.sub(r"\\\\", "", pattern)) or "(?#" in pattern:
+        raise ValueError(f"pattern {pattern!r} holds something that can't be run")
+    out, names, i = [], {}, 0
     while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two == r"\s":
-            out.append(r"\s" + _EXTRA_SPACE if in_class else rf"[\s{_EXTRA_SPACE}]")
+        two, named = pattern[i : i + 2], re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))").match(pattern, i)
+        if pattern[i] == "[":
+            end = i + 1 + (pattern[i + 1 : i + 2] == "^")
+            out.append(pattern[i:end])
+            first = True
+            while first or pattern[end] != "]":
+                item, end = (r"\]", end + 1) if pattern[end] == "]" else _class_item(pattern, end)
+                out.append(item)
+                first = False
+            out.append("]")
+            i = end + 1
+        elif two in (r"\s", r"\S"):
+            out.append(f"[{'^' if two[1] == 'S' else ''}\\s{_EXTRA_SPACE}]")
             i += 2
-        elif two == r"\S" and not in_class:
-            out.append(rf"[^\s{_EXTRA_SPACE}]")
+        elif two == r"\Z":
+            out.append(r"\z")
             i += 2
-        elif pattern[i] == "\\":
-            out.append(two)
+        elif two[0] == "\\":
+            item, i = _escape(pattern, i)
+            out.append(item)
+        elif named:
+            name = names.setdefault(named[1] or named[2], f"g{len(names)}n")  # Java's names have letters and digits only
+            out.append(f"(?<{name}>" if named[1] else rf"\k<{name}>")
+            i = named.end()
+        elif two == "{,":
+            out.append("{0,")
             i += 2
         else:
-            if pattern[i] == "[":
-                in_class = True
-            elif pattern[i] == "]":
-                in_class = False
             out.append(pattern[i])
             i += 1
     return ("(?Udi)" if ignore_case else "(?Ud)") + "".join(out)
@@ -206,9 +254,10 @@ def gate_sql(lowered: str, non_ascii: str, literals: frozenset[str]) -> str:
 
 
 def check(pattern: str) -> str:
-    """Raise ``ValueError`` for a pattern that is not a valid expression; return it unchanged."""
+    """Raise ``ValueError`` for a pattern that is not a valid expression or can't be run as Python would; return it unchanged."""
     try:
         re.compile(pattern)
     except re.error as exc:
         raise ValueError(f"invalid pattern {pattern!r}: {exc}") from exc
+    spark_regex(pattern)
     return pattern

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cvss import vector_score
 from ..functions.severity import score_from_severity, severity_from_score, severity_from_text
 from ..functions.versions import order_key_sql
 from .feeds import read_feed
@@ -74,12 +75,12 @@ def nvd_advisories(raw: DataFrame) -> DataFrame:
 
 
 def _osv_score() -> Column:
-    """Numeric score, else the score of a rating, else a numeric ``CVSS_V3`` entry, else 0."""
+    """Numeric score, else the score of a rating, else that of the first ``CVSS_V3`` entry, a number or a vector, else 0."""
     extra = F.col("database_specific")
     first = F.when(F.map_contains_key(extra, "cvss"), extra["cvss"].try_cast("double")).when(
         F.map_contains_key(extra, "severity"), score_from_severity(extra["severity"]))
-    listed = F.get(F.filter("severity", lambda s: s["type"] == "CVSS_V3"), F.lit(0))["score"]
-    return F.coalesce(F.nullif(first, F.lit(0.0)), listed.try_cast("double"), F.lit(0.0))
+    listed = "get(filter(severity, s -> s.type = 'CVSS_V3'), 0).score"
+    return F.coalesce(F.nullif(first, F.lit(0.0)), F.expr(f"try_cast({listed} as double)"), vector_score(listed), F.lit(0.0))
 
 
 def affected_ranges(affected: Column) -> Column:

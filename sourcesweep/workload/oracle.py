@@ -334,7 +334,7 @@ _R = sql_list(packages.RATINGS)
 _FIXED = f"""k % 50 || '.' || k % 7
     || (case when k % 5 = 2 then '.0' || ({sql_list(packages.TAGS)})[1 + k % 4] else '' end)"""
 _OSV_SCORE = f"""case k % 5 when 0 then score when 1 then {_rating(f'({_R})[1 + k % 5]')}
-      when 2 then score else 0.0::double end"""
+      when 2 then score when 3 then {packages.vector_sql()} else 0.0::double end"""
 _FEEDS = f"""{packages.advisory_sql()},
   nvd as (select k, 'CVE-2024-' || k as id, 'nvd' as source,
       case when k % 17 <> 0 then text else '{adv.NO_DESCRIPTION}' end as description,
@@ -637,6 +637,18 @@ ORACLES: dict[str, str] = {
         count(*) filter (kind = 'd') as dependencies, count(*) filter (kind = 'f') as findings,
         count(*) filter (kind = 'v') as vulnerabilities from parts group by project""",
     "version_order": packages.ordered_sql(),
+    "osv_vector_score": f"with {_FEEDS} select id, cvss_score, severity from osvs where k % 5 = 3",
+    "catalogue_findings": f"""with {_PATTERN_FOUND}, known(kind, name) as (values {", ".join(
+        [f"('analyzer', {sql_str(n)})" for n in (*cat.ANALYZERS.values(),)] + [f"('source', '{n}')" for n in ('nvd', 'osv', 'github-advisory')])})
+      select kind, name, count(f.rule_id) as findings from known left join found f on f.analyzer = known.name group by all""",
+    "selected_analyzers": f"with {_rule_findings(cat.build_rules(['SQLI', 'XSS']))} select analyzer, severity, count(*) as findings from found group by all",
+    "own_rules": f"""with {corpus.code_lines_sql()}, live as (select *, {_STRIPPED} as stripped from lines where not {_SKIPPED})
+      select project, path, line_no::integer as line, 'custom' as analyzer, severity, rule_id, issue, issue as message, left(stripped, 100) as snippet
+      from live join (values ('OWN-1', '.py', 'LOW', 'Total'), ('OWN-2', '.php', 'HIGH', 'Number')) as r(rule_id, e, severity, issue) on ext = e
+      where case when rule_id = 'OWN-1' then regexp_matches(line, 'total|summe|request', 'i') else regexp_matches(line, '=\\s*[''"]?[0-9]{{2,}}', 'c') end""",
+    "own_advisories": f"""with {_KEYS}, {_FEEDS}, own as (select k, p, (['npm', 'pypi', 'gem', 'composer'])[1 + k % 4] as eco,
+        case when k % 6 = 0 then '' else 'OWN-' || k % 500 end as id from adv)
+      select t.type, t.name, t.clean, o.id, any_value('Ask team ' || k % 500 % 7) as remediation from keys t join own o on t.name = o.p and t.type = o.eco where id <> '' group by all""",
     "report_rows_all": _FULL_REPORT,
     "report_without_findings": _EMPTY_REPORT,
     "scan_problems": packages.problems_sql(),

@@ -182,6 +182,28 @@ def nvd_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(_advisory_base(spark, sf_dir).select(page.alias("vulnerabilities")), NVD_RAW)
 
 
+def _vector(k: Column) -> Column:
+    """A version 3.1 vector; every eleventh lacks its last metrics."""
+    j = F.floor(k / 5)
+    metrics = [("AV", "NALP", j), ("AC", "LH", F.floor(j / 4)), ("PR", "NLH", F.floor(j / 3)), ("UI", "NR", F.floor(j / 7)), ("S", "UC", F.floor(j / 2)),
+               ("C", "HLN", F.floor(j / 5)), ("I", "NLH", F.floor(j / 6)), ("A", "LHN", F.floor(j / 8))]
+    parts = [F.concat(F.lit(f"{name}:"), F.substring(F.lit(values), (i % len(values) + 1).cast("int"), F.lit(1))) for name, values, i in metrics]
+    return F.concat_ws("/", F.lit("CVSS:3.1"), *parts[:5], F.when(j % 11 != 0, F.concat_ws("/", *parts[5:])))
+
+
+def vector_sql() -> str:
+    """The score of the same vector, from the weights of its metrics."""
+    def pick(weights, index):
+        return f"({weights})[1 + ({index}) % {len(weights)}]"
+    ease = f"8.22 * {pick([0.85, 0.62, 0.55, 0.2], 'j')} * {pick([0.77, 0.44], 'j // 4')} * {pick([0.85, 0.62], 'j // 7')}"
+    iss = f"1 - (1 - {pick([0.56, 0.22, 0.0], 'j // 5')}) * (1 - {pick([0.0, 0.22, 0.56], 'j // 6')}) * (1 - {pick([0.22, 0.56, 0.0], 'j // 8')})"
+    return f"""(select case when j % 11 = 0 or impact <= 0 then 0.0 else ceil(round(least(total, 10) * 100000) / 10000) / 10 end::double
+      from (select *, case when changed then 1.08 * (impact + ease * pc) else impact + ease * pu end as total
+      from (select *, case when changed then 7.52 * (s - 0.029) - 3.25 * power(s - 0.02, 15) else 6.42 * s end as impact
+      from (select j, (j // 2) % 2 = 1 as changed, ({iss})::double as s, ({ease})::double as ease,
+          {pick([0.85, 0.62, 0.27], 'j // 3')}::double as pu, {pick([0.85, 0.68, 0.5], 'j // 3')}::double as pc from (select k // 5 as j)))))"""
+
+
 def osv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per part: listed versions, ranges of versions or commits, or neither; every tenth names the package twice."""
     k, v = F.col("k"), F.col("v")
@@ -193,7 +215,7 @@ def osv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.when(k % 5 == 2, F.array(F.struct(F.lit("CVSS_V3").alias("type"),
                                                  score.alias("score")))).when(
         k % 5 == 3, F.array(F.struct(F.lit("CVSS_V3").alias("type"),
-                                     F.lit("CVSS:3.1/AV:N/AC:L").alias("score"))))
+                                     _vector(k).alias("score"))))
     fixed = F.concat(k % 50, F.lit("."), k % 7, F.when(k % 5 == 2, F.concat(F.lit(".0"), _pick(TAGS, k))).otherwise(""))
     events = F.array(F.create_map(F.lit("introduced"), F.when(k % 2 == 0, "0").otherwise("3.2")),
                      F.create_map(F.when(k % 11 == 0, "last_affected").otherwise("fixed"), fixed))
@@ -241,6 +263,16 @@ def ghsa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 19 != 0, adv).alias("advisory"), F.inline(branches)), GHSA_RAW)
 
 
+def own_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One advisory per part for the dependency type as it stands; every sixth has no id."""
+    k = F.col("k")
+    return _advisory_base(spark, sf_dir).select(
+        F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("OWN-"), k % 500)).alias("id"), F.lit("own").alias("source"), F.col("text").alias("description"),
+        F.col("score").alias("cvss_score"), F.lit("LOW").alias("severity"), F.array(F.lit("u")).alias("references"), F.lit("").alias("published"),
+        F.array().cast("array<string>").alias("cwe"), F.lit("").alias("affected_versions"), F.concat(F.lit("Ask team "), k % 500 % 7).alias("remediation"),
+        F.col("p").alias("package"), _pick(["npm", "pypi", "gem", "composer"], k).alias("ecosystem"))
+
+
 def ordered_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k``, ecosystem and two versions ``a`` and ``b`` of one part, from the ordered lists with the part's number."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("bigint")

@@ -19,7 +19,7 @@ from ..operators.matching import (KEY, dependency_keys, match, match_ghsa, match
 from ..operators.structure import CsrfOptions, FunctionOptions, structure_findings
 from ..plans.report import finding_rows, numbered_report, report_header, vulnerability_rows
 from ..plans.scan import code_findings
-from ..rules.catalog import build_rules, custom_rule, rules_frame
+from ..rules.catalog import build_rules, catalogue_frame, custom_rule, rules_frame
 from ..session import materialised_together, work_folder
 from ..sources import advisories as adv
 from ..sources.feeds import feed_of
@@ -314,6 +314,39 @@ def feed_documents(spark, sf_dir):
     return _flat(adv.osv_advisories(adv.read_osv(spark, path)))
 
 
+def osv_vector_score(spark, sf_dir):
+    """Scores and severities of the documents that give a vector."""
+    raw = packages.osv_raw(spark, sf_dir).where(F.exists("severity", lambda s: s["score"].startswith("CVSS:")))
+    return adv.osv_advisories(raw).select("id", "cvss_score", "severity")
+
+
+def catalogue_findings(spark, sf_dir):
+    """Every analyzer and advisory source with the number of pattern findings in the code corpus."""
+    hits = counts.findings_by(_pattern_findings(spark, sf_dir), "analyzer").withColumnRenamed("analyzer", "name")
+    return catalogue_frame(spark).join(hits, "name", "left").select("kind", "name", F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings"))
+
+
+def selected_analyzers(spark, sf_dir):
+    """Analyzers chosen by a list in one text, with spaces and a name given twice."""
+    found = code_findings(corpus.code_files(spark, sf_dir), " sql-injection,xss-detector , sql-injection")
+    return counts.findings_by(found, "analyzer", "severity")
+
+
+def own_rules(spark, sf_dir):
+    """Rules of the user alone."""
+    rules = [custom_rule("OWN-1", "PY", r"total|summe|request", "LOW", "Total"),
+             custom_rule("OWN-2", "PHP", r"=\s*['\"]?[0-9]{2,}", "HIGH", "Number", ignore_case=False)]
+    return line_findings(corpus.code_files(spark, sf_dir), rules).select(*_FINDING)
+
+
+def own_advisories(spark, sf_dir):
+    """An advisory table of the user's, in which ids are empty or given to several packages."""
+    own = packages.own_advisories(spark, sf_dir)
+    matched = match(dependencies(packages.manifest_files(spark, sf_dir)), [("table", own)])
+    found = matched.per_key.join(matched.texts, ["rank", "adv_no"]).select(*KEY, "id", "remediation")
+    return found
+
+
 QUERIES: dict[str, Query] = {
     "rule_line_findings": rule_line_findings,
     "risk_counts": risk_counts,
@@ -376,6 +409,11 @@ QUERIES: dict[str, Query] = {
     "scan_problems": scan_problems,
     "feed_documents": feed_documents,
     "version_order": version_order,
+    "osv_vector_score": osv_vector_score,
+    "catalogue_findings": catalogue_findings,
+    "selected_analyzers": selected_analyzers,
+    "own_rules": own_rules,
+    "own_advisories": own_advisories,
     "report_rows_all": report_rows_all,
     "report_without_findings": report_without_findings,
 }
