@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import GHSA_RAW, NVD_RAW, OSV_RAW
 from ..sources.files import normalise_files
-from .corpus import _pick, spread, sql_list, table
+from .corpus import _pick, prose_files, prose_lines_sql, spread, sql_list, table
 
 NAMES = ["package.json", "requirements.txt", "composer.json", "Gemfile", "pom.xml",
          "build.gradle", "Cargo.toml", "Dockerfile", "README.md", "package.json",
@@ -307,13 +307,14 @@ def ordered_sql() -> str:
 # --- damaged inputs and feeds as files ------------------------------------------------------
 
 def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifests as bytes; some are cut, empty, not UTF-8 or hold sections of another kind."""
+    """All texts and the manifests as bytes; some manifests are cut, empty, not UTF-8 or hold sections of another kind."""
     kind = F.substring_index(F.substring_index("path", "/", 1), "m", -1).cast("bigint") % 8
     text = (F.when(kind == 0, F.expr("left(content, length(content) div 2)"))
             .when(kind == 3, F.replace(F.replace("content", F.lit('"dependencies": {'), F.lit('"dependencies": [7], "other": {')),
                                        F.lit('"require": {'), F.lit('"require": "x", "other": {'))).otherwise(F.col("content")))
     raw = F.when(kind == 1, F.lit(None)).when(kind == 2, F.concat(text.cast("binary"), F.unhex(F.lit("FF")))).otherwise(text.cast("binary"))
-    return manifest_files(spark, sf_dir).select("project", "path", raw.alias("content"))
+    texts = prose_files(spark, sf_dir).select("project", "path", F.col("content").cast("binary").alias("content"))
+    return manifest_files(spark, sf_dir).select("project", "path", raw.alias("content")).unionByName(texts)
 
 
 def osv_texts(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -353,5 +354,6 @@ def problems_sql() -> str:
       else 'not an object: devDependencies' end
     from damaged where kind <> 1 and (name in ('package.json', 'composer.json') and kind in (0, 3)
       or name = 'package.json' and no_dev)
+  union all select * from (with {prose_lines_sql()} select project, path, 'read', 'no content' from prose where content is null)
   union all select null, 'osv/' || k || '.json', 'osv', case k % 9 when 0 then 'not a JSON document'
       when 1 then 'line 1: no id' else 'line 1: a field has another type' end from adv where k % 9 in (0, 1, 5)"""
