@@ -2,9 +2,14 @@
 
 import hashlib
 import itertools
+import math
 import re
 from collections import Counter
 
+import numpy as np
+
+from sourcesweep.llm import words as W
+
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -122,3 +127,39 @@ def private(text):
              ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15))
     names = [k for k, _, _ in kinds]
     return sorted(((m.start(), m.end(), k) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m)), key=lambda x: (x[0], names.index(x[2])))
+
+
+def divergences(rows, common=40, least_docs=10, least_reference=2000):
+    """class and word distance (or None) and their verdict for each (lang, text), by counters over all rows."""
+    kind = lambda c: ("beyond" if c > "\x7f" else "symbol" if c in "#*$%&|<>" else "stop" if c in ".,;:!?'\"()-" else "line" if c == "\n" else "small" if c.islower()
+                      else "capital" if c.isupper() else "digit" if c.isdigit() else "space" if c.isspace() else "sign")
+    words_of = lambda t: LETTERS.findall(lower(t))
+
+    def tie(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(W.signed(W.hashes(raw, np.array([0]), np.array([len(raw)])))[0])
+
+    def apart(p, q):
+        p, q = ({k: n / max(sum(x.values()), 1) for k, n in x.items()} for x in (p, q))
+        bits = lambda a, b: sum(x * math.log2(2 * x / (x + b.get(k, 0))) for k, x in a.items() if x)
+        return math.sqrt(max((bits(p, q) + bits(q, p)) / 2, 0))
+
+    known = {}
+    for lang in {x for x, _ in rows} - {None}:
+        texts = [t for x, t in rows if x == lang]
+        per_doc, every = Counter(w for t in texts for w in set(words_of(t))), Counter(w for t in texts for w in words_of(t))
+        top = sorted(per_doc, key=lambda w: (-per_doc[w], tie(w)))[:common]
+        if len(texts) >= least_docs and sum(every.values()) >= least_reference:
+            reference = Counter({w: every[w] for w in top})
+            reference[None] = sum(every.values()) - sum(reference.values())
+            known[lang] = Counter(kind(c) for t in texts for c in t or ""), reference, set(top)
+    out = []
+    for lang, text in rows:
+        kinds, words, far = Counter(kind(c) for c in text or ""), words_of(text), [None, None]
+        if lang in known:
+            classes, reference, top = known[lang]
+            far[0] = apart(kinds, classes) if sum(kinds.values()) >= 300 else None
+            far[1] = apart(Counter(w if w in top else None for w in words), reference) if len(words) >= 50 else None
+        most = [math.sqrt(m * m + upper / (8 * math.log(2) * max(n, 1))) for m, upper, n in ((0.3, 28.06, sum(kinds.values())), (0.22, 73.49, len(words)))]
+        out.append((*far, all(d is None or d <= m for d, m in zip(far, most))))
+    return out

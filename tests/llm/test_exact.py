@@ -1,8 +1,10 @@
 """The queries against plain versions, on whole tables and on odd rows."""
 
+import random
+
 import pytest
 
-from sourcesweep.llm import bpe, chat, decontamination, near_dedup, secrets, substrings
+from sourcesweep.llm import bpe, chat, decontamination, near_dedup, quality, secrets, substrings
 from sourcesweep.llm.queries import QUERIES, tokenizer_path
 
 from . import brute
@@ -199,3 +201,27 @@ def test_quality(spark, folder):
         want = brute.quality(text)
         assert found[d][:6] == want, (d, text)
         assert not (found[d][5] and found[d][6])
+
+
+def test_divergence_of_quality(spark, folder):
+    rows = rows_of(folder, "documents", "doc_id", "lang", "text")
+    found = {r["doc_id"]: r for r in QUERIES["op8_quality_rules"](spark, folder).collect()}
+    for (d, _, text), (kinds, words, fine) in zip(rows, brute.divergences([r[1:] for r in rows])):
+        r = found[d]
+        assert (r["class_distance"] is None, r["word_distance"] is None) == (kinds is None, words is None), (d, text)
+        assert abs((r["class_distance"] or 0) - (kinds or 0)) < 1e-9 and abs((r["word_distance"] or 0) - (words or 0)) < 1e-9, (d, text)
+        assert r["kept"] == (fine and not r["base_failed"])
+
+
+def test_quality_of_any_language(spark):
+    """Texts of every language stay, also in other scripts; those of another language or script than they say, and lists of rare words, go."""
+    r = random.Random(9)
+    letters = {"it": "abcdefgilmnoprstuvz", "ru": "абвгдежзиклмнопрстуфхцчшя", "el": "αβγδεζηθικλμνξοπρστυ", "pl": "abcdeęfghijklłmnoóprsśtuwyzż", "zz": "qwxyk"}
+    words = {x: ["".join(r.choices(s, k=r.randrange(1, 4))) for _ in range(30)] + ["".join(r.choices(s, k=r.randrange(5, 10))) for _ in range(900)] for x, s in letters.items()}
+    say = lambda x, n: " ".join(r.choice(words[x][:30] if r.random() < 0.45 else words[x][30:]) + ("." if r.random() < 0.1 else "") for _ in range(n))
+    good = [(x, say(x, r.choice([60, 150, 171, 400, 900]))) for x in letters for _ in range(60 if x != "zz" else 4)] + [(None, say("it", 200)), (None, None), ("it", "")]
+    bad = [("ru", say("el", 300)), ("it", say("ru", 200)), ("pl", say("it", 300)), ("it", " ".join(r.sample(words["it"][30:], 400)))]
+    docs = spark.createDataFrame([(k, x, t, "x") for k, (x, t) in enumerate(good + bad)], "doc_id int, lang string, text string, kept string").repartition(3)
+    found = {q["doc_id"]: q["kept"] for q in quality.judge(docs).collect()}
+    assert [k for k, (_, t) in enumerate(good) if found[k] != bool(t)] == []
+    assert not any(found[len(good) + k] for k in range(len(bad)))
