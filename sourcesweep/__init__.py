@@ -1,5 +1,6 @@
 """Security and quality scans of source trees and dependencies on Spark."""
 
+from .operators.duplicates import DuplicateOptions, duplicate_blocks
 from .operators.lines import SecretOptions, SmellOptions
 from .operators.structure import CsrfOptions, FunctionOptions
 from .plans.report import report_lines, write_report
@@ -11,7 +12,7 @@ from .sources.files import normalise_files
 from .sources.tree import open_tree, read_tree
 
 __all__ = [
-    "CsrfOptions", "FunctionOptions", "Scan", "SecretOptions", "SmellOptions", "build_rules", "catalogue_frame",
-    "code_findings", "custom_rule", "normalise_files", "open_tree", "read_feed", "read_tree", "register_advisories",
+    "CsrfOptions", "DuplicateOptions", "FunctionOptions", "Scan", "SecretOptions", "SmellOptions", "build_rules", "catalogue_frame",
+    "code_findings", "custom_rule", "duplicate_blocks", "normalise_files", "open_tree", "read_feed", "read_tree", "register_advisories",
     "register_analyzer", "report_lines", "scan", "tune", "write_report",
 ]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.counts import risk_counts
+from ..operators.duplicates import DuplicateOptions, duplicate_findings
 from ..operators.lines import SecretOptions, SmellOptions, line_findings
 from ..operators.manifests import dependencies
 from ..operators.matching import Matched, match
@@ -65,10 +66,12 @@ def code_findings(
     smells: SmellOptions | None = None,
     functions: FunctionOptions | None = None,
     secrets: SecretOptions | None = None,
+    duplicates: DuplicateOptions | None = None,
 ) -> DataFrame:
     """Findings of the chosen analyzers in one table.
 
-    However many analyzers run, the files are read twice: once by line and once by file.
+    However many analyzers run, the files are read twice: once by line and once by file.  With ``duplicates``, the code smells
+    include blocks of lines that stand in several places; these are the only findings that need a shuffle, and off by default.
     """
     chosen = selected(analyzers, [*_FAMILY, *_REGISTERED])
     families = {_FAMILY[n] for n in chosen if n in _FAMILY}
@@ -83,6 +86,8 @@ def code_findings(
         parts.append(structure_findings(
             files, (csrf or CsrfOptions()) if "CSRF" in families else None,
             (functions or FunctionOptions()) if "SMELL" in families else None))
+    if duplicates and "SMELL" in families:
+        parts.append(duplicate_findings(files, duplicates))
     parts += [_REGISTERED[n](files).select(*FINDING_COLUMNS) for n in chosen if n in _REGISTERED]
     if not parts:
         raise ValueError("no analyzers chosen")

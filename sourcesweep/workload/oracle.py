@@ -215,6 +215,25 @@ def _long_functions() -> str:
     null::varchar as snippet from found where length > 50"""
 
 
+def _duplicate_blocks(n: int = 8) -> str:
+    return f"""with {corpus.function_lines_sql()},
+  dense as (select project, path, line_no, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') as text
+    from lines where {_in('ext', cat.SMELL_EXTENSIONS)} and not {_SKIPPED}),
+  placed as (select *, row_number() over (partition by project, path order by line_no) as pos from dense where text <> ''),
+  windows as (select project, path, pos, line_no as low, lead(line_no, {n - 1}) over w as high,
+      string_agg(text, chr(10)) over (partition by project, path order by line_no
+        rows between current row and {n - 1} following) as body
+    from placed window w as (partition by project, path order by line_no)),
+  whole as (select * from windows where high is not null),
+  places as (select body, count(*) as copies from whole group by body having count(*) > 1),
+  repeated as (select project, path, pos, low, high, copies from whole join places using (body)),
+  steps as (select *, coalesce(pos > lag(pos) over w + {n}, true) as begins
+    from repeated window w as (partition by project, path order by pos)),
+  blocks as (select *, count(*) filter (where begins) over (partition by project, path order by pos) as block from steps)
+  select project, path, min(low)::integer as first_line, max(high)::integer as last_line, max(copies) as copies
+  from blocks group by project, path, block"""
+
+
 def _alt(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
@@ -603,6 +622,7 @@ ORACLES: dict[str, str] = {
         "The view reads posted data without a token check")], st.PY_CHECKS,
         _hit("frame", r"request\.POST", False)),
     "smell_long_function": _long_functions(),
+    "smell_duplicate_blocks": _duplicate_blocks(),
     "smell_params": _smell("SMELL-2", 0, _params_sql(), ""),
     "smell_nesting": _smell("SMELL-3", 1, _with_a(f"({_LEADING} // 4)::varchar"),
                             f"stripped <> '' and not {_COMMENT} and {_LEADING} // 4 > 4"),

@@ -12,6 +12,7 @@ from ..functions.severity import (score_from_severity, severity_from_score, seve
 from ..functions.text import advisory_link, severity_html, smart_truncate
 from ..functions.versions import clean_version, order_key
 from ..operators import counts
+from ..operators.duplicates import duplicate_blocks
 from ..operators.lines import SecretOptions, SmellOptions, line_findings
 from ..operators.manifests import checkable, dependencies, manifests
 from ..operators.matching import (KEY, dependency_keys, match, match_ghsa, match_keywords,
@@ -277,6 +278,10 @@ def smell_long_function(spark, sf_dir):
                               functions=FunctionOptions()).select(*_FINDING)
 
 
+def smell_duplicate_blocks(spark, sf_dir):
+    return duplicate_blocks(corpus.function_files(spark, sf_dir))
+
+
 def findings_by_analyzer(spark, sf_dir):
     return counts.findings_by(_pattern_findings(spark, sf_dir), "analyzer", "severity")
 
@@ -394,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "csrf_flask": _csrf("CSRF-6", corpus.endpoint_files),
     "csrf_django": _csrf("CSRF-7", corpus.endpoint_files),
     "smell_long_function": smell_long_function,
+    "smell_duplicate_blocks": smell_duplicate_blocks,
     "smell_params": _smell("SMELL-2"),
     "smell_nesting": _smell("SMELL-3"),
     "smell_magic": _smell("SMELL-4"),
