@@ -1,8 +1,12 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page becomes its sequence of leaf blocks. Each block is a vector: hashed tag and class names on its path, hashed words, and
-a few measures; a bidirectional LSTM in numpy reads the whole sequence and decides about every block. Its weights are
-trained by ``html_training`` on pages of random make and lie beside this module.
+A page becomes its sequence of leaf blocks. Each block is a vector: hashed tag and class names on its path and of its own
+element, hashed words, and a few measures, among them the share of the page's text that stands in the same box; a
+bidirectional LSTM in numpy reads the whole sequence and decides about every block. Its weights are trained by
+``html_training`` on pages of random make and lie beside this module.
+
+A path is kept as a set of bits that grows on the way down, so that an element costs the same at any depth, and places of
+open elements are looked up by name: reading is linear in the page, also with many unclosed elements or stray end tags.
 """
 
 from __future__ import annotations
@@ -10,8 +14,11 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,8 +28,8 @@ from pyspark.sql import types as T
 from . import words as W
 from .arrow import map_rows
 
-PATH_CELLS, WORD_CELLS, MEASURES = 128, 24, 8
-INPUTS = PATH_CELLS + WORD_CELLS + MEASURES
+PATH_CELLS, OWN_CELLS, WORD_CELLS, MEASURES = 256, 64, 24, 10
+INPUTS = PATH_CELLS + OWN_CELLS + WORD_CELLS + MEASURES
 #: Pages that are read in step, and blocks of them together at most (a longer page is read alone).
 STEP_PAGES, STEP_BLOCKS = 64, 4096
 
@@ -41,11 +48,12 @@ LEAVES_FOREIGN = frozenset("b big br code em embed i img listing meta nobr ruby
 #: A new one of these ends an open one of those.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = frozenset("ul ol menu dl table select body article section div object template".split())
+#: Elements that hold blocks together; their share of the page's text tells where the article is.
+BOX = frozenset("article aside blockquote body details dialog div dl fieldset footer form header main menu nav ol search section table td ul".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PART = re.compile(r"[a-z]+")
-_cells: dict[tuple[str, ...], list[int]] = {}
+_NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 @functools.lru_cache(maxsize=None)
@@ -53,32 +61,59 @@ def _end_of(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
 
 
-def leaves(html: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """Blocks in page order: text, names on the path, characters inside links."""
-    out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Block(NamedTuple):
+    """A leaf: its text, characters inside links, cells of the names on its path and of its own element, depth, box and the box around that."""
+
+    text: str
+    linked: int
+    path: int
+    own: int
+    depth: int
+    box: int
+    outer: int
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _cells(names: tuple[str, ...], size: int) -> int:
+    """Two places for each name, as bits."""
+    bits = 0
+    for name in names:
+        h = zlib.crc32(name.encode())
+        bits |= 1 << h % size | 1 << (h >> 12) % size
+    return bits
+
+
+def leaves(html: str) -> list[Block]:
+    """Blocks in page order."""
+    out: list[Block] = []
+    stack: list[tuple] = [("", 0, 0, 0, 0, 0)]  # name, and what a block tells from its path on
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by name, lowest first
     parts: list[str] = []
-    linked = [0, 0]  # open links, characters inside links
-    foreign = [0]  # open elements of other languages
+    linked = boxes = 0
 
     def text(s: str) -> None:
+        nonlocal linked
         if s:
             s = unescape(s)
             parts.append(s)
-            if linked[0]:
-                linked[1] += len(s.strip())
+            if opened["a"]:
+                linked += len(s.strip())
 
     def flush() -> None:
+        nonlocal linked
         whole = " ".join("".join(parts).split())
         if whole:
-            out.append((whole, stack[-1][1] if stack else (), linked[1]))
+            out.append(Block(whole, linked, *stack[-1][1:]))
         parts.clear()
-        linked[1] = 0
+        linked = 0
+
+    def top(names) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max((opened[name][-1] for name in names if opened[name]), default=0)
 
     def close(k: int) -> None:
-        linked[0] -= sum(name == "a" for name, _ in stack[k:])
-        foreign[0] -= sum(name in FOREIGN for name, _ in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            opened[stack.pop()[0]].pop()
 
     at = 0
     while True:
@@ -92,22 +127,19 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         name = name.lower()
         if end:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if name in BLOCK or name in APART:
                 flush()
-            if k is not None:
-                close(k)
+            if opened[name]:
+                close(opened[name][-1])
             continue
-        while foreign[0] and (name in LEAVES_FOREIGN or name in BLOCK):
-            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] == "foreignobject")
-            if stack[k][0] not in FOREIGN:
-                break
+        while (name in LEAVES_FOREIGN or name in BLOCK) and top(FOREIGN) > top(("foreignobject",)):
             flush()
-            close(k)
+            close(top(FOREIGN))
+        foreign = top(FOREIGN)
         if name in UNREAD:
-            if not (foreign[0] and rest.endswith("/")):
+            if not (foreign and rest.endswith("/")):
                 m = _end_of(name).search(html, at)
-                at = m.end() if m else at if foreign[0] else len(html)
+                at = m.end() if m else at if foreign else len(html)
             continue
         if name == "br":
             parts.append(" ")
@@ -115,61 +147,68 @@ def leaves(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             flush()
         if name in BLOCK:
             flush()
-            ends = ENDS.get(name)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or ends and stack[k][0] in ends:
-                    close(k)
-                elif stack[k][0] in _HOLDS:
-                    break
-        if name in VOID or rest.endswith("/") and (foreign[0] or name in FOREIGN):
+            floor = top(_HOLDS)
+            ended = [opened[x][k] for x in ("p", *ENDS.get(name, ())) for k in [bisect_right(opened[x], floor)] if k < len(opened[x])]
+            if ended:
+                close(min(ended))
+        if name in VOID or rest.endswith("/") and (foreign or name in FOREIGN):
             continue
         names = [f"<{name}"]
-        for v in _NAMES.finditer(rest):
-            names += _PART.findall((v[1] or v[2] or v[3] or "").lower())
-        stack.append((name, (*(stack[-1][1] if stack else ()), *names)))
-        linked[0] += name == "a"
-        foreign[0] += name in FOREIGN
+        if name not in ("html", "body"):  # what these are called says nothing about any block
+            for v in _NAMES.finditer(rest):
+                names += [x.lower() for x in _PART.findall(v[1] or v[2] or v[3] or "")]
+        names = tuple(names)
+        _, path, own, depth, box, outer = stack[-1]
+        if name in BOX:
+            boxes += 1
+            box, outer = boxes, box
+        opened[name].append(len(stack))
+        stack.append((name, path | _cells(names, PATH_CELLS), _cells(names, OWN_CELLS) if name in BLOCK else own, depth + 1, box, outer))
     flush()
     return out
 
 
-def _cells_of_path(path: tuple[str, ...]) -> list[int]:
-    """Two places for each name; paths that have been seen are looked up."""
-    if path not in _cells:
-        if len(_cells) > 20_000:
-            _cells.clear()
-        hashed = [zlib.crc32(name.encode()) for name in path]
-        _cells[path] = [h % PATH_CELLS for h in hashed] + [(h >> 12) % PATH_CELLS for h in hashed]
-    return _cells[path]
+def _bits(sets: list[int], size: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(x.to_bytes(size // 8, "little") for x in sets), np.uint8).reshape(-1, size // 8), axis=1, bitorder="little")
+
 
+def _shares(page: np.ndarray, box: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each block, the share of its page's weight that stands in the same box of that page."""
+    _, of = np.unique(np.stack([page, box]), axis=1, return_inverse=True)
+    of = of.reshape(-1)
+    return np.bincount(of, weight)[of] / np.maximum(np.bincount(page, weight)[page], 1)
 
-def vectors(blocks: list[tuple[str, tuple[str, ...], int]], borders: list[int] | None = None) -> np.ndarray:
+
+def vectors(blocks: list[Block], borders: list[int] | None = None) -> np.ndarray:
     """What the network reads of each block; pages begin and end at ``borders`` (default: all blocks are one page)."""
     x = np.zeros((len(blocks), INPUTS), np.float32)
-    texts = [b[0].encode() for b in blocks]
+    if not blocks:
+        return x
+    texts = [b.text.encode() for b in blocks]
     data = W.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     starts, ends, row = W.find(data, offsets, W.LETTERS)
     cell = (W.hashes(data, starts, ends) % np.uint64(WORD_CELLS)).astype(np.int64)
     count = np.bincount(row * WORD_CELLS + cell, minlength=len(blocks) * WORD_CELLS).reshape(-1, WORD_CELLS)
     n = np.maximum(count.sum(1), 1)
-    x[:, PATH_CELLS:PATH_CELLS + WORD_CELLS] = count / n[:, None]
+    x[:, :PATH_CELLS] = _bits([b.path for b in blocks], PATH_CELLS)
+    x[:, PATH_CELLS:PATH_CELLS + OWN_CELLS] = _bits([b.own for b in blocks], OWN_CELLS)
+    x[:, PATH_CELLS + OWN_CELLS:-MEASURES] = count / n[:, None]
     stops = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".,;:!?", np.uint8)))])
-    size = np.diff(offsets)
-    for k, (_, path, _) in enumerate(blocks):
-        x[k, _cells_of_path(path)] = 1
-    if not blocks:
-        return x
-    length = np.array([len(b[0]) for b in blocks])
+    length, linked = np.array([len(b.text) for b in blocks]), np.array([b.linked for b in blocks])
+    edges = np.unique([0, len(blocks)] if borders is None else borders)
+    page = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    plain = np.maximum(length - linked, 0).astype(float)
+    x[:, -10] = _shares(page, np.array([b.box for b in blocks]), plain)
+    x[:, -9] = _shares(page, np.array([b.outer for b in blocks]), plain)
     x[:, -8] = np.log1p(length) / 6
     x[:, -7] = np.log1p(n) / 5
-    x[:, -6] = np.minimum(1.0, np.array([b[2] for b in blocks]) / length)
-    x[:, -5] = np.diff(stops[offsets]) / size * 10
-    x[:, -4] = np.array([len(b[1]) for b in blocks]) / 10
-    edges = np.unique([0, len(blocks)] if borders is None else borders)
+    x[:, -6] = np.minimum(1.0, linked / length)
+    x[:, -5] = np.diff(stops[offsets]) / np.diff(offsets) * 10
+    x[:, -4] = np.minimum([b.depth for b in blocks], 20) / 10
     x[edges[:-1], -3] = 1
     x[edges[1:] - 1, -2] = 1
-    x[:, -1] = [b[0][-1] in ".!?\"'" for b in blocks]
+    x[:, -1] = [b.text[-1] in ".!?\"'" for b in blocks]
     return x
 
 
@@ -229,7 +268,7 @@ def load_weights() -> dict:
 def extract(pages: DataFrame, *, html: str = "html", weights: dict | None = None, least: float = 0.5) -> DataFrame:
     """All columns of ``pages``, and text (main blocks joined by one space) and blocks (text, probability).
 
-    Null and empty pages, and pages without main text, have an empty text. The weights, under 100 KB, go with the job.
+    Null and empty pages, and pages without main text, have an empty text. The weights, under 300 KB, go with the job.
     """
     weights = weights or load_weights()
     block = T.StructType([T.StructField("text", T.StringType()), T.StructField("p", T.DoubleType())])
@@ -242,8 +281,8 @@ def extract(pages: DataFrame, *, html: str = "html", weights: dict | None = None
         x = vectors([b for own in found for b in own], ends)
         p = probabilities([x[a:b] for a, b in zip(ends, ends[1:])], weights)
         return {f.name: batch.column(f.name) for f in kept} | {
-            "text": [" ".join(b[0] for b, y in zip(own, q) if y >= least) for own, q in zip(found, p)],
-            "blocks": [[{"text": b[0], "p": float(y)} for b, y in zip(own, q)] for own, q in zip(found, p)]}
+            "text": [" ".join(b.text for b, y in zip(own, q) if y >= least) for own, q in zip(found, p)],
+            "blocks": [[{"text": b.text, "p": float(y)} for b, y in zip(own, q)] for own, q in zip(found, p)]}
 
     return map_rows(pages, work, T.StructType(kept + new), limit=1 << 20, text=html)
 
