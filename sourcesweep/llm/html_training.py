@@ -9,13 +9,14 @@ Held-out accuracy is printed; weights go beside ``html``.
 from __future__ import annotations
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
 
 from . import html as H
 
-HIDDEN, PAGES, EPOCHS, BATCH, RATE = 24, 9000, 8, 32, 0.01
+HIDDEN, PAGES, EPOCHS, BATCH, RATE = 24, 12000, 7, 32, 0.01
 
 _MAIN = ["article", "main", "div:content", "div:article body", "div:post", "section:entry content", "div:story", "div#main", "main:page", "article:post hentry", "div:text",
          "div#bodyContent", "div:markdown body", "div:prose", "td:content", "div:blog text", "section:chapter", "div#primary", "div:rich text"]
@@ -47,6 +48,8 @@ def _words(r: random.Random, low: int, high: int) -> str:
 
 
 def _invented(r: random.Random) -> str:
+    if r.random() < 0.4:
+        return r.choice(["", "css-", "sc-", "r-"]) + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDXYZ0123456789") for _ in range(r.randint(4, 9)))
     return "".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiouy") for _ in range(r.randint(1, 3))) + r.choice(["", "", f"-{r.randint(1, 99)}", "__" + r.choice("abcxyz")])
 
 
@@ -161,6 +164,9 @@ def page(r: random.Random) -> tuple[str, list[bool]]:
         low, high = r.randint(0, len(middle)), r.randint(0, len(middle))
         middle[min(low, high):max(low, high)] = [_around(r, "".join(middle[min(low, high):max(low, high)]))]
     build = "".join(middle) + (_furniture(r, "foot") if not bare and r.random() < 0.7 else "")
+    if r.random() < 0.15:  # a page whose elements all have invented names
+        name = {x: " ".join(_invented(r) for _ in range(r.randint(1, 2))) for x in ("p", "div", "section", "li", "ul", "h1", "h2", "td", "article", "main", "nav", "footer")}
+        build = re.sub(r"<(\w+)>", lambda m: f'<{m[1]} class="{name[m[1]]}">' if m[1] in name else m[0], build)
     html = "<!DOCTYPE html><html><head><title>x</title></head><body>" + build + "</body></html>"
     return html, [_SIGN in b.text for b in H.leaves(html)]
 
