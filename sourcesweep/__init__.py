@@ -10,9 +10,10 @@ from .session import tune
 from .sources.feeds import read_feed
 from .sources.files import normalise_files
 from .sources.tree import open_tree, read_tree
+from .streaming.feeds import arriving_documents, watch_feeds
 
 __all__ = [
-    "CsrfOptions", "DuplicateOptions", "FunctionOptions", "Scan", "SecretOptions", "SmellOptions", "build_rules", "catalogue_frame",
+    "CsrfOptions", "DuplicateOptions", "FunctionOptions", "Scan", "SecretOptions", "SmellOptions", "arriving_documents", "build_rules", "catalogue_frame",
     "code_findings", "custom_rule", "duplicate_blocks", "normalise_files", "open_tree", "read_feed", "read_tree", "register_advisories",
-    "register_analyzer", "report_lines", "scan", "tune", "write_report",
+    "register_analyzer", "report_lines", "scan", "tune", "watch_feeds", "write_report",
 ]

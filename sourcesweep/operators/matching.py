@@ -119,20 +119,50 @@ def match_keywords(keys: DataFrame, advisories: DataFrame) -> DataFrame:
         *KEY, "adv_no", "id")
 
 
-def first_per_id(matches: list[DataFrame]) -> DataFrame:
-    """One row per key and advisory id: the first source in the list that has it wins.
+def best_rows(matches: list[tuple[int, DataFrame]]) -> DataFrame:
+    """KEY, id and ``best``: for each key and advisory id the least of its rows in (rank, matches of that source).
 
-    Of several rows of one source, the branch that holds the version wins, then one whose patched version lies above it,
-    the least of these; rows that are alike in all this differ by their content, and the least digest wins.
+    The least source wins; of several rows of one source, the branch that holds the version, then one whose patched version lies
+    above it, the least of these; rows that are alike in all this differ by their content, and the least digest wins. The least of
+    several results of this function is the result for all their rows together.
     """
     def full(m: DataFrame) -> DataFrame:
         given = {"outside": F.lit(False), "behind": F.lit(True), "patched": F.lit(None).cast("string")}
         return m.select(*KEY, "id", "adv_no", *[F.col(c) if c in m.columns else e.alias(c) for c, e in given.items()])
 
-    every = reduce(DataFrame.unionByName, [
-        full(m.filter(F.length("id") > 0)).withColumn("rank", F.lit(i)) for i, m in enumerate(matches)])
-    order = F.struct("rank", "outside", "behind", "patched", "adv_no")
-    return every.groupBy(*KEY, "id").agg(F.min(order).alias("best")).select(*KEY, "id", "best.rank", "best.adv_no")
+    every = reduce(DataFrame.unionByName, [full(m.filter(F.length("id") > 0)).withColumn("rank", F.lit(i)) for i, m in matches])
+    return every.groupBy(*KEY, "id").agg(F.min(F.struct("rank", "outside", "behind", "patched", "adv_no")).alias("best"))
+
+
+def first_per_id(matches: list[DataFrame]) -> DataFrame:
+    """One row per key and advisory id: the first source in the list that has it wins, see :func:`best_rows`."""
+    return best_rows(list(enumerate(matches))).select(*KEY, "id", "best.rank", "best.adv_no")
+
+
+def source_hits(kind: str, keys: DataFrame, advisories: DataFrame, strict_ranges: bool = False) -> DataFrame:
+    """Keys joined to the numbered advisories of one source, by the rule of its kind."""
+    if kind == "nvd":
+        return match_keywords(keys, advisories)
+    if kind == "osv":
+        return match_osv(keys, advisories)
+    if kind == "github-advisory":
+        return match_ghsa(keys, advisories, strict_ranges)
+    if kind == "table":
+        return keys.join(advisories.select("adv_no", "id", "package", "ecosystem"),
+                         (F.col("name") == F.col("package")) & (F.col("type") == F.col("ecosystem"))).select(*KEY, "adv_no", "id")
+    raise ValueError(f"unknown advisory source {kind!r}")
+
+
+def advisory_texts(rank: int, advisories: DataFrame) -> DataFrame:
+    """What a vulnerability tells of its advisory, by rank and number."""
+    return advisories.select(
+        F.lit(rank).alias("rank"), "adv_no", F.coalesce("source", F.lit("unknown")).alias("source"),
+        vulnerability_type(F.col("description")).alias("kind"),
+        F.coalesce("description", F.lit(NO_DESCRIPTION)).alias("description"),
+        F.coalesce("cvss_score", F.lit(0.0)).alias("cvss_score"),
+        F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
+        F.coalesce("references", F.array().cast("array<string>")).alias("references"),
+        F.coalesce("remediation", F.lit(DEFAULT_REMEDIATION)).alias("remediation"))
 
 
 @dataclass(frozen=True)
@@ -182,30 +212,8 @@ def match(deps: DataFrame, sources: list[tuple[str, DataFrame]], strict_ranges:
         adv.withColumn("words", words(F.col("description"))) if kind == "nvd" else adv for (kind, _), adv in zip(sources, ready, strict=True)])
     keys = materialised(dependency_keys(deps))
     numbered = [(kind, adv) for (kind, _), adv in zip(sources, ready, strict=True)]
-    found = []
-    for kind, adv in numbered:
-        if kind == "nvd":
-            hits = match_keywords(keys, adv)
-        elif kind == "osv":
-            hits = match_osv(keys, adv)
-        elif kind == "github-advisory":
-            hits = match_ghsa(keys, adv, strict_ranges)
-        elif kind == "table":
-            hits = keys.join(adv.select("adv_no", "id", "package", "ecosystem"),
-                             (F.col("name") == F.col("package"))
-                             & (F.col("type") == F.col("ecosystem"))).select(*KEY, "adv_no", "id")
-        else:
-            raise ValueError(f"unknown advisory source {kind!r}")
-        found.append(hits)
-    texts = reduce(DataFrame.unionByName, [adv.select(
-        F.lit(i).alias("rank"), "adv_no", F.coalesce("source", F.lit("unknown")).alias("source"),
-        vulnerability_type(F.col("description")).alias("kind"),
-        F.coalesce("description", F.lit(NO_DESCRIPTION)).alias("description"),
-        F.coalesce("cvss_score", F.lit(0.0)).alias("cvss_score"),
-        F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
-        F.coalesce("references", F.array().cast("array<string>")).alias("references"),
-        F.coalesce("remediation", F.lit(DEFAULT_REMEDIATION)).alias("remediation"))
-        for i, (_, adv) in enumerate(numbered)])
+    found = [source_hits(kind, keys, adv, strict_ranges) for kind, adv in numbered]
+    texts = reduce(DataFrame.unionByName, [advisory_texts(i, adv) for i, (_, adv) in enumerate(numbered)])
     return Matched(deps, first_per_id(found), texts.dropDuplicates(["rank", "adv_no"]))
 
 

@@ -570,6 +570,8 @@ ORACLES: dict[str, str] = {
     "deps_join_nvd_keyword": f"with {_MATCHES} select type, name, clean, id from nvd_hits",
     "advisory_dedup": f"with {_MATCHES}, {_TEXTS} select type, name, clean, b.id, b.rank, t.remediation "
                       "from best b join texts t on t.rank = b.rank and t.id = b.id and t.branch = b.branch",
+    "arriving_feeds": f"with {_MATCHES}, {_TEXTS} select type, name, clean, b.id, b.rank, t.remediation "
+                      "from best b join texts t on t.rank = b.rank and t.id = b.id and t.branch = b.branch",
     "vuln_report_rows": f"with {_VULNS} select {_rank('severity', sev.VULN_ORDER)} as "
                         f"severity_rank, project, path, dep_seq, {_row(_CELLS)} as row from vulns",
     "finding_report_rows": f"with {_LINE_FOUND} select {_rank('severity', sev.FINDING_ORDER)} as "

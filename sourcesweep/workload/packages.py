@@ -341,6 +341,13 @@ def write_osv_dump(spark: SparkSession, sf_dir: str, path: str) -> None:
     pretty.select(one).write.option("maxRecordsPerFile", 1).text(f"{path}/single")
 
 
+def write_feed_documents(spark: SparkSession, sf_dir: str, path: str, files: int) -> None:
+    """The documents of all three feeds as parquet files (kind, path, text), dealt out by their texts."""
+    raws = {"nvd": nvd_raw(spark, sf_dir), "osv": osv_raw(spark, sf_dir), "github-advisory": ghsa_raw(spark, sf_dir)}
+    texts = [raw.select(F.lit(kind).alias("kind"), F.lit(f"{kind}.json").alias("path"), F.to_json(F.struct(*raw.columns)).alias("text")) for kind, raw in raws.items()]
+    texts[0].unionByName(texts[1]).unionByName(texts[2]).repartition(files, "text").write.parquet(path)
+
+
 def problems_sql() -> str:
     """Problems of the damaged files, by how they were damaged."""
     return f"""with {manifests_sql()}, {advisory_sql()},

@@ -26,6 +26,7 @@ from ..sources import advisories as adv
 from ..sources.feeds import feed_of
 from ..sources.files import is_skipped, lines_of, normalise_files
 from ..sources.problems import every_problem, file_problems, manifest_problems
+from ..streaming.feeds import arriving_documents, standing, watch_feeds
 from . import corpus, packages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,6 +320,17 @@ def feed_documents(spark, sf_dir):
     return _flat(adv.osv_advisories(adv.read_osv(spark, path)))
 
 
+def arriving_feeds(spark, sf_dir):
+    """What stands for each key and advisory id after the documents of all feeds have arrived in three batches."""
+    folder = work_folder(spark)
+    packages.write_feed_documents(spark, sf_dir, f"{folder}/arriving", 3)
+    deps = dependencies(packages.manifest_files(spark, sf_dir))
+    documents = arriving_documents(spark, f"{folder}/arriving", max_files_per_trigger=1)
+    watch_feeds(deps, documents, f"{folder}/target", f"{folder}/progress").awaitTermination()
+    matched = standing(deps, f"{folder}/target")
+    return matched.per_key.join(matched.texts, ["rank", "adv_no"]).select(*KEY, "id", "rank", "remediation")
+
+
 def osv_vector_score(spark, sf_dir):
     """Scores and severities of the documents that give a vector."""
     raw = packages.osv_raw(spark, sf_dir).where(F.exists("severity", lambda s: s["score"].startswith("CVSS:")))
@@ -414,6 +426,7 @@ QUERIES: dict[str, Query] = {
     "scan_counters": scan_counters,
     "scan_problems": scan_problems,
     "feed_documents": feed_documents,
+    "arriving_feeds": arriving_feeds,
     "version_order": version_order,
     "osv_vector_score": osv_vector_score,
     "catalogue_findings": catalogue_findings,
