@@ -42,6 +42,22 @@ def test_passages(spark, folder):
     assert got(spark, "op4", folder, "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_bpe_of_parts_in_parallel(spark, nasty):
+    """Long texts as rows of parts: the ids of the library, one row for each row, repeated and null ids included."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    texts = [t for _, t in rows_of(nasty, "documents", "doc_id", "text")]
+    rows = [(None if k % 9 == 0 else k % 40, t, k) for k, t in enumerate([*texts, *texts[:30]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids long").repartition(5)
+    want = sorted((d if d is not None else -1, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for d, t, _ in rows)
+    for part in (150, 5000):
+        got = bpe.encode(docs, tokenizer_path(), back=True, part=part).collect()
+        assert sorted((r.doc_id if r.doc_id is not None else -1, bytes(r.ids)) for r in got) == want
+        assert sorted(r.decoded for r in got) == sorted(t or "" for _, t, _ in rows) and all(r.n_tokens == len(r.ids) // 4 for r in got)
+
+
 def test_bpe(spark, folder):
     import numpy as np
     from tokenizers import Tokenizer
@@ -78,6 +94,9 @@ def test_tree_concatenation_small_leaves():
         text = "".join(parts)
         assert [t[0] for t in of.tree(text)] == library.encode(text, add_special_tokens=False).ids, text
         assert of.decode(of.encode(text)) == text
+        cuts = bpe.halves(len(text), 70)  # the same with parts that are joined from left to right
+        pieces = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        assert of.joined(pieces, [of.encode(x) for x in pieces]).tolist() == library.encode(text, add_special_tokens=False).ids, text
     for text in (" " * 90001, "!" * 50000 + "\n" * 50000, "ab" * 40000 + " x", "<|endoftext|>" * 5000):
         assert of.encode(text).tolist() == bpe.Codec(tokenizer_path()).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
