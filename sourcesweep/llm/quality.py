@@ -41,9 +41,9 @@ _CLASS_OF = np.array([_class(c) for c in range(256)])
 
 #: Common words of a reference.
 COMMON = 40
-#: A language has a reference with this many documents and words at least, and one in ``MOST_LANGUAGES`` of all documents; so there
-#: are never more references than that, of about a kilobyte each.
-LEAST_DOCS, LEAST_REFERENCE, MOST_LANGUAGES = 10, 2000, 10_000
+#: A language has a reference with this many documents and words at least, however many documents there are of other languages;
+#: a reference takes about a kilobyte.
+LEAST_DOCS, LEAST_REFERENCE = 10, 2000
 #: Least characters and words for a comparison.
 LEAST_CHARS, LEAST_WORDS = 300, 50
 #: Distances of classes and of words from which a text of any length is rejected. Besides, the distance is allowed that chance alone
@@ -136,10 +136,9 @@ class References:
 
 
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> References:
-    """Counts over all documents of each language. The driver gets at most ``MOST_LANGUAGES`` x (classes + common words) numbers."""
-    least = max(LEAST_DOCS, docs.count() // MOST_LANGUAGES)
+    """Counts over all documents of each language. The driver gets languages x (classes + common words) numbers."""
     named = docs.select(F.col(lang).cast("string").alias("lang")).where("lang is not null")
-    languages = sorted(r["lang"] for r in named.groupBy("lang").count().where(F.col("count") >= least).collect())
+    languages = sorted(r["lang"] for r in named.groupBy("lang").count().where(F.col("count") >= LEAST_DOCS).collect())
     values = pa.array(languages, pa.string())
     schema = T.StructType([T.StructField("lang", T.IntegerType()), T.StructField("part", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("key", "docs", "n")]])
 

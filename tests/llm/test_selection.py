@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sourcesweep.llm import divergence, exact_dedup, resampling
+from sourcesweep.llm import divergence, exact_dedup, quality, resampling
 from sourcesweep.llm.queries import QUERIES
 
 from .brute import LETTERS, lower, sha
@@ -172,3 +172,11 @@ def test_crc_by_position_table():
 @pytest.mark.parametrize("name", ["op11_source_divergence", "op12_importance_resampling", "op13_exact_dedup"])
 def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
+
+
+def test_a_language_keeps_its_reference_among_many_documents(spark):
+    """Documents of other languages don't decide whether a language has a reference."""
+    few = spark.range(10).selectExpr("'xx' as lang", "repeat('lorem ipsum dolor ', 100) as text")
+    many = spark.range(110_000).selectExpr("'en' as lang", "'a b' as text")
+    assert quality.references(few).languages == ["xx"]
+    assert quality.references(few.unionByName(many)).languages == ["en", "xx"]
