@@ -3,18 +3,23 @@
 Each part of the report brings its own keys to sort by: section, number, project, path, two more numbers and a
 name.  Rows of vulnerabilities and findings are written once where there is a shared folder; the counts of
 the summary, and which sections there are at all, come from those rows.
+
+A report has a row for each occurrence of a dependency and each advisory that holds it, so its rows can grow with the
+square of the input.  Of matched dependencies (:class:`Matched`), rows are made and placed by key; what is sorted are occurrences with
+the number of their rows, and rows and occurrences meet only in the last join, which nothing follows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import FINDING_ORDER, VULN_ORDER, severity_rank
 from ..functions.text import advisory_link, severity_html, smart_truncate
-from ..session import materialised_together, work_folder
+from ..operators.matching import TOLD_KEY, Matched
+from ..session import materialised, materialised_together, work_folder
 
 VULN_HEADER = ["Severity", "Package", "Version", "CVE", "Source", "Type", "Description",
                "Remediation"]
@@ -28,14 +33,23 @@ def _row(cells: list[Column]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
-def vulnerability_rows(vulns: DataFrame) -> DataFrame:
-    """One Markdown row per vulnerability with the columns it sorts by."""
-    cells = [severity_html(F.col("severity")), F.col("package"), F.col("version"),
-             advisory_link(F.col("cve"), F.col("source")), F.col("source"), F.col("type"),
-             smart_truncate(F.col("description")), F.col("remediation")]
-    return vulns.select(
-        severity_rank(F.col("severity"), VULN_ORDER).alias("severity_rank"), "project", "path",
-        "dep_seq", "rank", "cve", _row(cells).alias("row"))
+def _vulnerability_row() -> Column:
+    return _row([severity_html(F.col("severity")), F.col("package"), F.col("version"), advisory_link(F.col("cve"), F.col("source")), F.col("source"),
+                 F.col("type"), smart_truncate(F.col("description")), F.col("remediation")])
+
+
+def vulnerability_rows(vulns: DataFrame | Matched) -> DataFrame:
+    """One Markdown row per vulnerability with the columns it sorts by; of matched dependencies a row is made once for each key."""
+    columns = ["severity_rank", "project", "path", "dep_seq", "rank", "cve", "row"]
+    if isinstance(vulns, Matched):
+        return vulns.places().join(rows_by_key(vulns), TOLD_KEY).select(*columns)
+    return vulns.withColumns({"severity_rank": severity_rank(F.col("severity"), VULN_ORDER), "row": _vulnerability_row()}).select(*columns)
+
+
+def rows_by_key(matched: Matched) -> DataFrame:
+    """The Markdown rows of each key, written once where there is a shared folder."""
+    return materialised(matched.told().select(
+        *TOLD_KEY, severity_rank(F.col("severity"), VULN_ORDER).alias("severity_rank"), "rank", "cve", _vulnerability_row().alias("row")))
 
 
 def finding_rows(findings: DataFrame) -> DataFrame:
@@ -59,12 +73,12 @@ def report_header(date: str | None = None, place: str | None = None, sources: li
     return [f"**{label}:** {text}" for label, text in given if text]
 
 
-def _part(df: DataFrame, section: int, order: dict[str, str], value: str) -> DataFrame:
-    """Rows of one section with the keys they sort by; keys that a section doesn't have are equal."""
+def _part(df: DataFrame, section: int, order: dict[str, str], value: str, *more: str) -> DataFrame:
+    """Rows of one section with the keys they sort by, and more columns; keys that a section doesn't have are equal."""
     keys = [F.coalesce(F.col(order[n]).cast(t), F.lit(0 if t != "string" else "").cast(t)).alias(n) if n in order else
             F.lit(section if n == "section" else 0 if t != "string" else "").cast(t).alias(n)
             for n, t in (c.strip().split(" ") for c in _KEYS.split(","))]
-    return df.select(*keys, F.col(value).alias("value"))
+    return df.select(*keys, F.col(value).alias("value"), *more)
 
 
 def _texts(df: DataFrame, section: int, lines: Column) -> DataFrame:
@@ -73,9 +87,10 @@ def _texts(df: DataFrame, section: int, lines: Column) -> DataFrame:
 
 
 def _counts(rows: DataFrame, order: list[str]) -> DataFrame:
-    rank = F.col("severity_rank")
-    levels = [F.count_if(rank == i).alias(level.lower()) for i, level in enumerate(order[:4])]
-    return rows.agg(F.count("*").alias("total"), *levels, F.count_if(rank > 3).alias("unknown"))
+    """Rows, or the lines that they stand for, by severity."""
+    rank, n = F.col("severity_rank"), F.col("lines") if "lines" in rows.columns else F.lit(1)
+    sums = {"total": F.lit(True), **{level.lower(): rank == i for i, level in enumerate(order[:4])}, "unknown": rank > 3}
+    return rows.agg(*[F.coalesce(F.sum(F.when(test, n)), F.lit(0)).cast("bigint").alias(c) for c, test in sums.items()])
 
 
 def _count_lines(labels: dict[str, str]) -> Column:
@@ -90,22 +105,33 @@ def _table(name: str, columns: list[str]) -> list[str]:
     return ["", f"## {name}", "", f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
 
 
+_VULN_ORDER = {"n0": "severity_rank", "project": "project", "path": "path", "n1": "dep_seq", "n2": "rank", "name": "cve"}
+
+
 def _lines(title: str, vulns: DataFrame | None, findings: DataFrame | None, header: list[str]) -> DataFrame:
-    if vulns is None and findings is None:
+    vrows = vulnerability_rows(vulns) if vulns is not None else None
+    if vrows is not None and findings is not None:
+        vrows, frows = materialised_together(vrows, finding_rows(findings))
+        return _parts(title, vrows, _part(vrows, 4, _VULN_ORDER, "row"), None, header, frows)
+    vrows = materialised(vrows) if vrows is not None else None
+    return _parts(title, vrows, _part(vrows, 4, _VULN_ORDER, "row") if vrows is not None else None, findings, header)
+
+
+def _parts(title: str, counted: DataFrame | None, vlines: DataFrame | None, findings: DataFrame | None, header: list[str],
+           frows: DataFrame | None = None) -> DataFrame:
+    """The lines of all sections; ``counted`` has what the summary counts of vulnerabilities, ``vlines`` their lines."""
+    if counted is None and findings is None:
         raise ValueError("a report needs vulnerabilities or findings")
-    made = [vulnerability_rows(vulns) if vulns is not None else None, finding_rows(findings) if findings is not None else None]
-    written = iter(materialised_together(*[m for m in made if m is not None]))
-    vrows, frows = (next(written) if m is not None else None for m in made)
-    one = (vrows if vrows is not None else frows).sparkSession.range(1)
+    frows = materialised(finding_rows(findings)) if findings is not None else frows
+    one = (counted if counted is not None else frows).sparkSession.range(1)
     parts = [_texts(one, 0, _array([f"# Security Report - {title}", "", *header, *[""] * bool(header), "## Executive Summary", ""]))]
     levels = {"critical": "Critical", "high": "High", "medium": "Medium", "low": "Low"}
-    if vrows is not None:
-        counts, some = _counts(vrows, VULN_ORDER), F.col("total") > 0
+    if counted is not None:
+        counts, some = _counts(counted, VULN_ORDER), F.col("total") > 0
         unknown = F.when(F.col("unknown") > 0, _count_lines({"unknown": "Unknown"})).otherwise(F.array().cast("array<string>"))
         parts += [_texts(counts, 1, F.concat(_count_lines({"total": "Total Vulnerabilities", **levels}), unknown)),
                   _texts(counts, 3, F.when(some, _array(_table("Vulnerabilities", VULN_HEADER))).otherwise(
-                      _array(["", "## Vulnerabilities", "", NOTHING_FOUND]))),
-                  _part(vrows, 4, {"n0": "severity_rank", "project": "project", "path": "path", "n1": "dep_seq", "n2": "rank", "name": "cve"}, "row")]
+                      _array(["", "## Vulnerabilities", "", NOTHING_FOUND]))), vlines]
     if frows is not None:
         counts = _counts(frows, FINDING_ORDER).where("total > 0")
         parts += [_texts(counts, 2, _count_lines({"total": "Suspicious Code Patterns", **{k: f"{v} Risk Patterns" for k, v in levels.items()}})),
@@ -124,17 +150,44 @@ def report_lines(title: str, vulns: DataFrame | None, findings: DataFrame | None
     return _lines(title, vulns, findings, list(header)).orderBy(*_ORDER).select("value")
 
 
-def numbered_report(title: str, vulns: DataFrame | None, findings: DataFrame | None,
+def numbered_report(title: str, vulns: DataFrame | Matched | None, findings: DataFrame | None,
                     header: list[str] = ()) -> DataFrame:
     """``position`` (from 1) and ``text`` of every line of the report."""
+    if isinstance(vulns, Matched):
+        return _numbered_by_key(title, vulns, findings, list(header))
     return numbered(_lines(title, vulns, findings, list(header)), _ORDER).select("position", F.col("value").alias("text"))
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+def _numbered_by_key(title: str, matched: Matched, findings: DataFrame | None, header: list[str]) -> DataFrame:
+    """The numbered report of matched dependencies; the rows of one occurrence and severity are one item of the order.
+
+    Where several occurrences share one place (files of one path), their rows may lie between each other and are ordered one by one.
+    """
+    level = [*TOLD_KEY, "severity_rank"]
+    rows = rows_by_key(matched)
+    sizes = materialised(rows.groupBy(*level).agg(F.count("*").alias("lines")))
+    places = matched.places().withColumn("sharing", F.count("*").over(Window.partitionBy("project", "path", "dep_seq")))
+    blocks = materialised(places.join(sizes, TOLD_KEY))
+    one_by_one = blocks.where("sharing > 1").drop("lines").join(rows, level)
+    parts = _parts(title, blocks, _part(one_by_one, 4, _VULN_ORDER, "row"), findings, header)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (*[(c, "string") for c in TOLD_KEY], ("severity_rank", "int"))]
+    lines = parts.select("*", F.lit(1).cast("bigint").alias("lines"), *nothing)
+    own = blocks.where("sharing = 1").withColumn("_none", F.lit(None).cast("string"))
+    own = _part(own, 4, {k: v for k, v in _VULN_ORDER.items() if k not in ("n2", "name")}, "_none", "lines", *level)
+    placed = materialised(numbered(lines.unionByName(own), _ORDER, "lines"))
+    inside = Window.partitionBy(*level).orderBy("rank", "cve")
+    spread = placed.where("severity_rank is not null").select(*level, "position").join(
+        rows.select(*level, "row", (F.row_number().over(inside) - 1).alias("place")), level)
+    return placed.where("severity_rank is null").select("position", F.col("value").alias("text")).unionByName(
+        spread.select((F.col("position") + F.col("place")).alias("position"), F.col("row").alias("text")))
+
+
+def numbered(df: DataFrame, order: list[str], lines: str | None = None) -> DataFrame:
     """``df`` with ``position``, the place from 1 of each row in an order, without bringing rows to one task.
 
     Rows are dealt out by ranges of the order, sorted and written; a partition's places follow on the rows
-    of those before it, of which only the counts are collected, one for each partition.
+    of those before it, of which only the counts are collected, one for each partition. With a column ``lines``, a row takes as
+    many places as it says, and ``position`` is the first of them.
     """
     spark = df.sparkSession
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
@@ -142,12 +195,17 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     placed.write.parquet(path)
     placed = spark.read.schema(schema).parquet(path).withColumn("_part", F.shiftright("_place", 33))
     before, offsets = 0, []
-    for part, n in sorted(placed.groupBy("_part").count().collect()):
+    for part, n in sorted(placed.groupBy("_part").agg(F.sum(lines) if lines else F.count("*")).collect()):
         offsets.append((part, before))
         before += n
     starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
-    place = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
-    return placed.join(starts, "_part").withColumn("position", place).drop("_part", "_place", "_before")
+    if lines:
+        earlier = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum(lines).over(earlier), F.lit(0))
+    else:
+        inside = F.col("_place").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("_inside", inside).join(starts, "_part").withColumn("position", F.col("_before") + F.col("_inside") + 1).drop(
+        "_part", "_place", "_before", "_inside")
 
 
 def write_report(lines: DataFrame, path: str) -> None:

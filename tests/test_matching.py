@@ -9,7 +9,7 @@ from sourcesweep.functions.versions import order_key, range_bounds, within
 from sourcesweep.operators.counts import severity_counts
 from sourcesweep.operators.manifests import dependencies
 from sourcesweep.operators.matching import dependency_keys, match, match_keywords, number_advisories, words
-from sourcesweep.plans.report import numbered, numbered_report, report_header
+from sourcesweep.plans.report import numbered, numbered_report, report_header, vulnerability_rows
 from sourcesweep.schema import GHSA_RAW, OSV_RAW
 from sourcesweep.sources.advisories import ghsa_advisories, osv_advisories
 from sourcesweep.workload.packages import ORDERED
@@ -122,3 +122,16 @@ def test_report_states(spark, files_of):
     text = [r.text for r in numbered_report("t", vulns, None, header).orderBy("position").collect()]
     assert text[:7] == ["# Security Report - t", "", *header, "", "## Executive Summary", ""]
     assert "No vulnerabilities found in dependencies." in text and not any("Suspicious" in t for t in text[:-5])
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_report_by_key_is_the_sorted_report(spark, files_of, shared):
+    """Rows placed by key stand where a sort of all rows puts them, also where two files have one path."""
+    feeds = [("osv", _osv(spark, ("A", "PyPI", ["1.0"], None), ("B", "PyPI", None, None))), ("github-advisory", _ghsa(spark, ("G", "< 9", None)))]
+    deps = _deps(files_of, "1.0", "2.0", "1.0")
+    deps = deps.unionByName(deps.withColumn("version", F.lit("1.0"))) if shared else deps
+    found = match(deps, feeds)
+    by_row = numbered_report("t", found.vulnerabilities(), None)
+    by_key = numbered_report("t", found, None)
+    assert by_key.count() > 25 and sorted(map(tuple, by_key.collect())) == sorted(map(tuple, by_row.collect()))
+    assert sorted(map(tuple, vulnerability_rows(found).collect())) == sorted(map(tuple, vulnerability_rows(found.vulnerabilities()).collect()))
