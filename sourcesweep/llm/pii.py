@@ -7,6 +7,9 @@ finds of the fixed formats in the corpus, rewritten so that the format no longer
 separators), and invented numbers and addresses; neutral are dates, versions, amounts and the like, put at the places of other
 numbers of the corpus or into invented contexts. Candidates of the corpus that no format proves stay unlabelled. A threshold for
 addresses and one for numbers are calibrated on held-out lessons for precision.
+
+Every text gives its lessons. They are counted by their features once; each split of a tree comes from sums by feature and value
+over all of them, which Spark makes, so the driver gets some thousands of sums whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import save
+
 _LOCAL = "A-Za-z0-9._%+-"
 #: Matches begin where a run begins or the match before has ended, and never give back what they took; so each text is read
 #: once, and the matches are those of the plain expressions.
@@ -36,9 +41,13 @@ GENERATORS = {
     "number": r"(?<![0-9])[+(]?[0-9](?:[ .()/-]{0,2}[0-9]){3,24}+(?![0-9])",
     "groups": r"(?<![0-9])(?:\([0-9]{2,5}+\) ?+|[0-9]{2,5}+[ ./-])[0-9]{2,4}+(?:[ .-][0-9]{2,4}+){1,3}+(?![0-9])",
 }
-#: Texts that lessons are taken from and lessons of the corpus, at most (the first in expectation); invented lessons; rounds of
+#: Weight of all lessons of the corpus together, however many there are (less where there are fewer); invented lessons; rounds of
 #: boosting, their rate, and the precision that a threshold keeps.
-TEXTS, SAMPLE, INVENTED, ROUNDS, RATE, PRECISION = 4000, 3000, 3000, 40, 0.3, 0.98
+CORPUS, INVENTED, ROUNDS, RATE, PRECISION = 3000, 3000, 40, 0.3, 0.98
+#: Parts of one in which sums are kept, so that they are the same in any order; steps of a score in the calibration.
+_PARTS, _STEPS = 1 << 24, 1 << 10
+#: Counts below this are told apart, larger ones by an eighth of a doubling, so that a feature has a few hundred values at most.
+_EXACT = 32
 #: Forms of lessons: ``#`` is a digit, ``^`` one from 2 to 9, ``~`` a name of letters.
 PERSONAL = ("^##-^##-####", "(^##) ^##-####", "^##.^##.####", "^## ^## ####", "0## #### ####", "0#### ######", "0##-#######", "0## ### ## ##", "0# ## ## ## ##",
             "00^# ### #######", "^##/^##-####", "###-##-####", "1-^##-^##-####", "(0##) #### ####", "0###/######",
@@ -134,7 +143,11 @@ def features(text: Column, c: Column) -> dict[str, Column]:
            "year": v.rlike("(?:^|[^0-9])(?:19|20)[0-9]{2}(?:$|[^0-9])"), "ending": F.length(F.regexp_extract(v, r"([A-Za-z]*)$", 1)),
            "zero": v.startswith("0"), "glued": before.rlike(r"[A-Za-z0-9._/=-]$"), "followed": after.rlike(r"^[A-Za-z0-9_/=-]")}
     out |= {k: before.rlike(p) for k, p in _ABOUT.items()}
-    return {k: F.coalesce(x.cast("double"), F.lit(0.0)) for k, x in out.items()}
+    return {k: _coarse(F.coalesce(x.cast("double"), F.lit(0.0))) for k, x in out.items()}
+
+
+def _coarse(x: Column) -> Column:
+    return F.when(x < _EXACT, x).otherwise(_EXACT + F.floor(F.log2(x / _EXACT) * 8)).cast("double")
 
 
 FEATURES = ("length", "digits", "dots", "dashes", "spaces", "brackets", "slashes", "letters", "address", "dotted", "at", "groups", "longest", "first", "second", "last", "year", "ending", "zero", "glued", "followed", *_ABOUT)
@@ -152,46 +165,77 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["begin"] < b["stop"]) & (b["begin"] < a["stop"])
 
 
-def best_split(x: np.ndarray, residual: np.ndarray, weight: np.ndarray) -> tuple[float, int, float] | None:
-    """Gain, feature and cut of the best split of these rows."""
-    best, total, mass = None, residual.sum(), weight.sum()
-    for k in range(x.shape[1]):
-        values = np.unique(x[:, k])
-        for cut in (values[:-1] + values[1:]) / 2 if len(values) < 64 else np.unique(np.quantile(x[:, k], np.linspace(0.02, 0.98, 49))):
-            left = x[:, k] <= cut
-            g, h = residual[left].sum(), weight[left].sum()
-            if 4 <= left.sum() <= len(x) - 4:
-                gain = g * g / (h + 1) + (total - g) ** 2 / (mass - h + 1) - total * total / (mass + 1)
-                if best is None or gain > best[0]:
-                    best = gain, k, float(cut)
-    return best if best and best[0] > 1e-6 else None
-
-
-def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
-    """Gradient boosting of trees of depth two on the log-odds: the start, and trees (feature, cut, low side, high side)."""
-    start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    f, trees = np.full(len(y), start), []
-
-    def grow(rows, residual, weight, depth):
-        split = best_split(x[rows], residual[rows], weight[rows]) if depth and len(rows) >= 8 else None
-        if split is None:
-            return float(RATE * residual[rows].sum() / (weight[rows].sum() + 1))
-        _, k, cut = split
-        low = x[rows, k] <= cut
-        return k, cut, grow(rows[low], residual, weight, depth - 1), grow(rows[~low], residual, weight, depth - 1)
+def _best_split(sums: list) -> tuple[float, int, float] | None:
+    """Gain, feature and cut of the best split of the lessons of one node; ``sums`` has (feature, value, residual, weight, mass), a
+    row for each value of each feature."""
+    best = None
+    for k in range(len(FEATURES)):
+        rows = np.array(sorted((r.value, r.residual, r.weight, r.mass) for r in sums if r.feature == k), float).reshape(-1, 4)
+        below = np.cumsum(rows[:, 1:], 0)
+        if len(rows) < 2:
+            continue
+        (g, h, n), (total, mass, every) = below[:-1].T / _PARTS, below[-1] / _PARTS
+        gain = g * g / (h + 1) + (total - g) ** 2 / (mass - h + 1) - total * total / (mass + 1)
+        gain[(n < 4) | (every - n < 4)] = 0
+        i = int(gain.argmax())
+        if gain[i] > 1e-6 and (best is None or gain[i] > best[0]):
+            best = float(gain[i]), k, float((rows[i, 0] + rows[i + 1, 0]) / 2)
+    return best
 
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-f))
-        tree = grow(np.arange(len(y)), y - p, p * (1 - p), 2)
-        trees.append(tree)
-        f = f + np.array([leaf(tree, row) for row in x])
-    return start, trees
+
+def _leaf_value(sums: list) -> float:
+    one = [r for r in sums if r.feature == 0]
+    return float(RATE * sum(r.residual for r in one) / (sum(r.weight for r in one) + _PARTS))
+
+
+def _score(start: float, trees: list) -> str:
+    """SQL of the score of ``x``, an array of features. Trees are an array, so that no code is made for each of them."""
+    def side(tree):
+        return tree if isinstance(tree, tuple) else (0, 0.0, tree, tree)
+
+    def leaf(i):
+        return f"if(x[int(t[{i}])] <= t[{i + 1}], t[{i + 2}], t[{i + 3}])"
+
+    rows = [", ".join(f"{float(v)!r}D" for v in (k, cut, *side(low), *side(high))) for k, cut, low, high in trees]
+    made = ", ".join(f"array({r})" for r in rows)
+    return f"aggregate(array({made}), {start!r}D, (acc, t) -> acc + if(x[int(t[0])] <= t[1], {leaf(2)}, {leaf(6)}))" if rows else f"{start!r}D"
 
 
-def leaf(tree, row) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree
+def boost(lessons: DataFrame) -> tuple[float, list]:
+    """Gradient boosting of trees of depth two on the log-odds: the start, and trees (feature, cut, low side, high side).
+
+    ``lessons`` has ``x``, an array of features, ``y`` and ``mass``, and is read twice for each tree.
+    """
+    both = lessons.agg(F.sum(F.col("y") * F.round(F.col("mass") * _PARTS).cast("bigint")).alias("ones"), F.sum(F.round(F.col("mass") * _PARTS).cast("bigint")).alias("all")).first()
+    ones, every = float(both["ones"] or 0) / _PARTS, float(both["all"] or 0) / _PARTS
+    start, trees = float(np.log((ones + 1) / (every - ones + 1))), []
+
+    def sums(node: Column) -> dict[bool, list]:
+        part = lambda c: f"bigint(round(mass * {c} * {_PARTS}))"
+        told = lessons.select("x", "y", "mass", node.alias("node"), F.expr(f"1 / (1 + exp(-({_score(start, trees)})))").alias("p")).selectExpr(
+            "node", f"{part('(y - p)')} as r", f"{part('p * (1 - p)')} as w", f"{part('1D')} as m", "posexplode(x) as (feature, value)")
+        out = {True: [], False: []}
+        for r in told.groupBy("node", "feature", "value").agg(F.sum("r").alias("residual"), F.sum("w").alias("weight"), F.sum("m").alias("mass")).collect():
+            out[r.node].append(r)
+        return out
+
+    for _ in range(ROUNDS):
+        root = sums(F.lit(True))[True]
+        split = _best_split(root)
+        if split is None:
+            trees.append((0, 0.0, _leaf_value(root), _leaf_value(root)))
+            continue
+        _, k, cut = split
+        sides = []
+        for low, rows in sorted(sums(F.get("x", F.lit(k)) <= cut).items(), reverse=True):
+            inner = _best_split(rows)
+            if inner is None:
+                sides.append(_leaf_value(rows))
+            else:
+                at = lambda below: [r for r in rows if r.feature == inner[1] and (r.value <= inner[2]) == below]  # noqa: B023, E731
+                sides.append((inner[1], inner[2], *[float(RATE * sum(r.residual for r in at(b)) / (sum(r.weight for r in at(b)) + _PARTS)) for b in (True, False)]))
+        trees.append((k, cut, *sides))
+    return start, trees
 
 
 def as_column(tree, c: Column) -> Column:
@@ -262,32 +306,47 @@ def rewritten(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select(F.explode(every).alias("l")).select("l.*")
 
 
+def lessons_by_features(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The lessons of all texts and the invented ones, by features ``x`` and answer ``y``: ``n`` of the corpus, ``own`` invented."""
+    chosen = docs.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull())
+    asked = lambda given, corpus: (given.withColumn("_c", candidates(F.col("text"))).select("y", F.explode(F.filter("_c", lambda c: (c["begin"] == F.col("begin")) & (
+        c["stop"] == F.col("stop")))).alias("c")).select(F.lit(corpus).alias("corpus"), F.array(*[F.col("c")[k] for k in FEATURES]).alias("x"), "y"))
+    every = asked(rewritten(chosen, text="_t"), True).unionByName(asked(invented(docs.sparkSession), False))
+    return every.groupBy("x", "y").agg(F.count_if("corpus").alias("n"), F.count_if(~F.col("corpus")).alias("own"))
+
+
 def fit(docs: DataFrame, *, text: str = "text") -> tuple[float, list, tuple[float, float]]:
-    """Start, trees, and the thresholds of numbers and of addresses.
+    """Start, trees, and the thresholds of numbers and of addresses, from the lessons of all texts.
 
-    Texts are chosen by a bound on their hash, set from the number of rows, so that what the driver gets does not grow with rows or
-    partitions: ``INVENTED`` lessons and ``SAMPLE`` of the corpus. Where no threshold keeps the precision, the one above all
+    Lessons of the corpus weigh ``CORPUS`` in all, so that the invented ones, with forms that a corpus may lack, count beside them.
+    Lessons with the same features are either learnt from or held out. Where no threshold keeps the precision, the one above all
     neutral held-out lessons is taken.
     """
-    share = min(1.0, TEXTS / max(1, docs.count()))
-    chosen = docs.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull() & (F.pmod(F.xxhash64("_t"), F.lit(1 << 40)) < int(share * (1 << 40)))).dropDuplicates(["_t"])
-    asked = lambda given: (given.withColumn("_c", candidates(F.col("text"))).select("y", F.explode(F.filter("_c", lambda c: (c["begin"] == F.col("begin")) & (
-        c["stop"] == F.col("stop")))).alias("c")).select("c.*", "y"))
-    rows = asked(rewritten(chosen, text="_t")).withColumn("_k", F.xxhash64(*FEATURES, "begin")).orderBy("_k", *FEATURES, "y").limit(SAMPLE).collect()
-    rows += asked(invented(docs.sparkSession)).orderBy(F.xxhash64(*FEATURES, "begin", "y"), *FEATURES, "y").collect()
-    x, y = np.array([[r[k] for k in FEATURES] for r in rows], float), np.array([r["y"] for r in rows], float)
-    held_out = np.arange(len(y)) % 4 == 0
-    start, trees = boost(x[~held_out], y[~held_out])
-    score = start + np.array([sum(leaf(t, row) for t in trees) for row in x[held_out]])
-    address = x[held_out][:, FEATURES.index("address")] > 0
-    return start, trees, tuple(threshold(score[side], y[held_out][side]) for side in (~address, address))
-
-
-def threshold(score: np.ndarray, y: np.ndarray) -> float:
+    counted = save(lessons_by_features(docs, text=text))
+    share = min(1.0, CORPUS / max(1, counted.agg(F.sum("n")).first()[0] or 0))
+    mass = F.col("own") + F.col("n") * share
+    lessons = counted.select("x", "y", mass.alias("mass"), (F.pmod(F.xxhash64("x"), F.lit(4)) == 0).alias("held_out"))
+    start, trees = boost(lessons.where(~F.col("held_out")))
+    step = F.floor(F.expr(_score(start, trees)) * _STEPS)
+    tested = lessons.where("held_out").groupBy((F.get("x", F.lit(FEATURES.index("address"))) > 0).alias("address"), step.alias("step")).agg(
+        *[F.sum(F.when(F.col("y") == y, F.round(F.col("mass") * _PARTS).cast("bigint")).otherwise(0)).alias(c) for c, y in (("zeros", 0.0), ("ones", 1.0))]).collect()
+    return start, trees, tuple(_step_threshold([r for r in tested if r.address == side]) for side in (False, True))
+
+
+def _step_threshold(steps: list) -> float:
+    """The threshold of scores in steps (step, zeros, ones), which hold all from the step on up to the next."""
+    rows = [(r.step, y, n) for r in steps for y, n in ((0, r.zeros), (1, r.ones)) if n]
+    at, y, n = np.array(rows, float).reshape(-1, 3).T
+    return float(np.ceil(threshold(at, y, n))) / _STEPS
+
+
+def threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The lowest score from which on the share of ones is at least ``PRECISION``."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero((right >= PRECISION) & (np.append(np.diff(score[order]), -1) < 0))
+    every = np.cumsum(weight[order])
+    right = np.cumsum((weight * y)[order])
+    good = np.flatnonzero((right >= PRECISION * every) & (every > 0) & (np.append(np.diff(score[order]), -1) < 0))
     return float(score[order][good[-1]]) if len(good) else float(np.nextafter(score[y == 0].max(initial=0.0), np.inf))
 
 

@@ -158,6 +158,16 @@ def test_lessons_of_the_corpus_escape_the_fixed_formats(spark):
     assert pii.threshold(np.array([1.0, 2.0]), np.array([0.0, 0.0])) > 2.0
 
 
+def test_every_text_gives_lessons(spark):
+    """More texts and lessons than were once taken; the rare form is among them, and long counts make few values."""
+    from pyspark.sql import functions as F
+
+    text = F.when(F.col("id") == 6999, F.lit("x a@" + "b" * 5000 + ".de")).otherwise(F.concat(F.lit("tel +1 202 555 "), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(" ok")))
+    found = pii.lessons_by_features(spark.range(7000).select(text.alias("text"))).collect()
+    assert sum(r["n"] for r in found) == 7000 and sum(r["own"] for r in found) > pii.INVENTED * 0.8
+    assert max(max(r["x"]) for r in found) < 200
+
+
 @pytest.mark.parametrize("x,want", [("4111111111111111", True), ("4111111111111112", False), ("0", True)])
 def test_luhn(spark, x, want):
     from pyspark.sql import functions as F
