@@ -135,3 +135,11 @@ def test_report_by_key_is_the_sorted_report(spark, files_of, shared):
     by_key = numbered_report("t", found, None)
     assert by_key.count() > 25 and sorted(map(tuple, by_key.collect())) == sorted(map(tuple, by_row.collect()))
     assert sorted(map(tuple, vulnerability_rows(found).collect())) == sorted(map(tuple, vulnerability_rows(found.vulnerabilities()).collect()))
+
+
+def test_pairs_of_keywords_are_tested_where_they_are_made(spark, files_of):
+    """The last join is by word: pairs of a key and an advisory are not shuffled again to be looked at."""
+    feed = number_advisories(spark.createDataFrame([(f"N{k}", f"Flaw in x {k % 3}.0") for k in range(30)], "id string, description string"))
+    found = match_keywords(dependency_keys(_deps(files_of, "1.0", "2.0", "4.0")), feed)
+    top = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "word" in top and "adv_no" not in top and found.count() == 20
