@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from sourcesweep import code_findings
-from sourcesweep.operators.duplicates import DuplicateOptions, duplicate_blocks
+from sourcesweep.operators.duplicates import DuplicateOptions, _segments, _windows, duplicate_blocks
 
 
 def _plain(contents, n):
@@ -59,3 +59,12 @@ def test_findings_only_on_request(spark, files_of):
 def test_options():
     with pytest.raises(ValueError):
         DuplicateOptions(min_lines=2, run=3)
+
+
+def test_equal_segments_are_worked_on_once(spark, files_of):
+    options = DuplicateOptions()
+    text = "\n".join(f"call_{k * k % 89}(a, {k})" for k in range(300))
+    few, many = (_segments(files_of({f"f{k}.py": text for k in range(count)}), options) for count in (2, 40))
+    assert few.count() * 20 == many.count()
+    assert _windows(few, options.min_lines).count() == _windows(many, options.min_lines).count() == 300 - options.min_lines + 1
+    assert [tuple(x)[2:] for x in duplicate_blocks(files_of({f"f{k}.py": text for k in range(40)})).distinct().collect()].count((1, 300, 40)) == 40
