@@ -13,6 +13,7 @@ from sourcesweep.operators.matching import vulnerabilities
 from sourcesweep.schema import GHSA_RAW, NVD_RAW, OSV_RAW
 from sourcesweep.sources.advisories import (ghsa_advisories, nvd_advisories, osv_advisories,
                                             read_ghsa, read_nvd, read_osv)
+from sourcesweep.workload import packages
 
 
 def _column(spark, values, fn):
@@ -182,3 +183,11 @@ def test_vulnerabilities(files_of, feeds):
 def test_schemas_parse(spark):
     for ddl in (NVD_RAW, OSV_RAW, GHSA_RAW):
         assert spark.createDataFrame([], ddl).columns
+
+
+def test_few_files_for_many_documents(spark, tmp_path):
+    packages.write_osv_dump(spark, "/root/testdata/sf0.001", str(tmp_path / "dump"))
+    files = {kind: len(list((tmp_path / "dump" / kind).glob("part-*"))) for kind in ("single", "lists")}
+    assert sum(files.values()) <= 4  # a task without rows may leave an empty file
+    read = read_osv(spark, str(tmp_path / "dump"))
+    assert sorted(x["id"] for x in read.collect()) == sorted(x["id"] for x in packages.osv_raw(spark, "/root/testdata/sf0.001").collect())
