@@ -5,10 +5,11 @@ import re
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sourcesweep import build_rules, custom_rule
+from sourcesweep import build_rules, custom_rule, normalise_files
 from sourcesweep.functions.regex import necessary_literals, required_literals, shared_gates
 from sourcesweep.operators.lines import line_findings
 from sourcesweep.rules.catalog import ESCAPE_FUNCTIONS, LANGUAGES, LINE_EXTENSIONS, SANITIZERS
+from sourcesweep.sources.files import SKIPPED_FOLDERS, is_skipped
 from sourcesweep.workload.pools import CODE_POOL as POOL
 
 CODE_POOL = [line.replace("@@", "77") for line in POOL]
@@ -123,3 +124,12 @@ def test_auth_parameters_and_custom_rules(files_of):
     own = [custom_rule(f"OWN-{i}", "JS", rf"(wipe|x{i}y)", "LOW", "Wipe") for i in range(130)]
     got = {r.rule_id for r in line_findings(df, own).collect()}
     assert got == {r.rule_id for r in own}  # more rules than fit in one mask
+
+
+def test_skipped_paths_are_not_split(spark):
+    paths = ["node_modules/a.js", "a/node_modules/b.js", "node_modules", "my_node_modules/a.js", "a/node_modules.js", "xgit/a.py", ".git/a.py",
+             "a/.next/b/c.min.js", "a/b.min.js", "dist//x.py", "/vendor/x.py", "a\nvendor/x.py", "build", ""]
+    files = normalise_files(spark.createDataFrame([("p", x, "") for x in paths], "project string, path string, content string")).select("path", is_skipped().alias("skipped"))
+    assert {x["path"]: x["skipped"] for x in files.collect()} == {
+        x: any(d in SKIPPED_FOLDERS for d in x.split("/")[:-1]) or ".min." in x.split("/")[-1] for x in paths}
+    assert "arrays_overlap" not in files._jdf.queryExecution().optimizedPlan().toString()
