@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from ..functions.severity import FINDING_ORDER, VULN_ORDER, severity_rank
 from ..functions.text import advisory_link, severity_html, smart_truncate
 from ..operators.matching import TOLD_KEY, Matched
-from ..session import materialised, materialised_together, work_folder
+from ..session import materialised, materialised_together, shared_folder, work_folder
 
 VULN_HEADER = ["Severity", "Package", "Version", "CVE", "Source", "Type", "Description",
                "Remediation"]
 FINDING_HEADER = ["File", "Line", "Pattern", "Risk", "Description", "Recommendation"]
+#: What one task of the join that makes the rows should have: bytes of different rows, and lines.
+_TASK_BYTES, _TASK_LINES = 800_000, 2_000_000
 RECOMMENDATIONS = ["Upgrade dependencies with known vulnerabilities",
                    "Look into the suspicious lines and fix them", "Scan again regularly",
                    "Agree on secure coding rules"]
@@ -42,7 +44,8 @@ def vulnerability_rows(vulns: DataFrame | Matched) -> DataFrame:
     """One Markdown row per vulnerability with the columns it sorts by; of matched dependencies a row is made once for each key."""
     columns = ["severity_rank", "project", "path", "dep_seq", "rank", "cve", "row"]
     if isinstance(vulns, Matched):
-        return vulns.places().join(rows_by_key(vulns), TOLD_KEY).select(*columns)
+        rows, places, key = dealt_by_key(rows_by_key(vulns), vulns.places())
+        return rows.join(places, key).select(*columns)
     return vulns.withColumns({"severity_rank": severity_rank(F.col("severity"), VULN_ORDER), "row": _vulnerability_row()}).select(*columns)
 
 
@@ -52,6 +55,28 @@ def rows_by_key(matched: Matched) -> DataFrame:
         *TOLD_KEY, severity_rank(F.col("severity"), VULN_ORDER).alias("severity_rank"), "rank", "cve", _vulnerability_row().alias("row")))
 
 
+def dealt_by_key(rows: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows by key and the places of the keys, dealt out for the join that makes a row for each place, and the columns to join by.
+
+    A task gets about as many bytes of different rows as a file format keeps in one dictionary, so that what it writes are mostly
+    numbers, whatever its rows stand for. The places of a key with more lines than a task should make are cut into slices, each of
+    which gets the rows. Without a shared folder nothing is known of the sizes, and Spark deals by its own rules.
+    """
+    if shared_folder(rows.sparkSession) is None:
+        return rows, places, TOLD_KEY
+    sizes = rows.groupBy(*TOLD_KEY).agg(F.count("*").alias("lines"), F.sum(F.octet_length("row")).alias("bytes"))
+    slices = F.ceil(F.col("lines") * F.col("times") / _TASK_LINES)
+    load = materialised(places.groupBy(*TOLD_KEY).agg(F.count("*").alias("times")).join(sizes, TOLD_KEY).withColumn("slices", slices))
+    size = load.agg(F.sum(F.col("bytes") * F.col("slices")) / _TASK_BYTES, F.sum(F.col("lines") * F.col("times")) / _TASK_LINES, F.max("slices")).first()
+    tasks, key = int(max(size[0] or 0, size[1] or 0)) + 1, TOLD_KEY
+    if (size[2] or 0) > 1:
+        key = [*TOLD_KEY, "slice"]
+        hot, n = materialised(load.where("slices > 1").select(*TOLD_KEY, "slices")), F.coalesce("slices", F.lit(1))
+        places = places.join(hot, TOLD_KEY, "left").withColumn("slice", F.pmod(F.xxhash64("project", "path", "dep_seq"), n)).drop("slices")
+        rows = rows.join(hot, TOLD_KEY, "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))).drop("slices")
+    return rows.repartition(tasks, *key), places.repartition(tasks, *key), key
+
+
 def finding_rows(findings: DataFrame) -> DataFrame:
     """One Markdown row per code finding with the columns it sorts by."""
     cells = [F.concat_ws("/", "project", "path"), F.col("line").cast("string"), F.col("issue"),
