@@ -5,21 +5,24 @@ name.  Rows of vulnerabilities and findings are written once where there is a sh
 the summary, and which sections there are at all, come from those rows.
 
 A report has a row for each occurrence of a dependency and each advisory that holds it, so its rows can grow with the
-square of the input.  Of matched dependencies (:class:`Matched`), rows are made and placed by key; what is sorted are occurrences with
-the number of their rows, and rows and occurrences meet only in the last join, which nothing follows.
+square of the input.  Of matched dependencies (:class:`Matched`), rows are made and placed by key; what is sorted, once, are occurrences
+with the numbers of their rows, and rows and occurrences meet only in the last join, which nothing follows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.severity import FINDING_ORDER, VULN_ORDER, severity_rank
 from ..functions.text import advisory_link, severity_html, smart_truncate
 from ..operators.matching import TOLD_KEY, Matched
-from ..session import materialised, materialised_together, shared_folder, work_folder
+from ..session import materialised, materialised_together, releasing, shared_folder, work_folder
 
 VULN_HEADER = ["Severity", "Package", "Version", "CVE", "Source", "Type", "Description",
                "Remediation"]
@@ -89,6 +92,7 @@ def finding_rows(findings: DataFrame) -> DataFrame:
 
 _KEYS = "section int, n0 bigint, project string, path string, n1 bigint, n2 bigint, name string"
 _ORDER = [c.strip().split(" ")[0] for c in _KEYS.split(",")] + ["value"]
+_PLACE = ["project", "path", "dep_seq"]
 NOTHING_FOUND = "No vulnerabilities found in dependencies."
 
 
@@ -144,7 +148,7 @@ def _lines(title: str, vulns: DataFrame | None, findings: DataFrame | None, head
 
 def _parts(title: str, counted: DataFrame | None, vlines: DataFrame | None, findings: DataFrame | None, header: list[str],
            frows: DataFrame | None = None) -> DataFrame:
-    """The lines of all sections; ``counted`` has what the summary counts of vulnerabilities, ``vlines`` their lines."""
+    """The lines of all sections; ``counted`` has what the summary counts of vulnerabilities, ``vlines`` their lines, if these are not numbered apart."""
     if counted is None and findings is None:
         raise ValueError("a report needs vulnerabilities or findings")
     frows = materialised(finding_rows(findings)) if findings is not None else frows
@@ -156,7 +160,8 @@ def _parts(title: str, counted: DataFrame | None, vlines: DataFrame | None, find
         unknown = F.when(F.col("unknown") > 0, _count_lines({"unknown": "Unknown"})).otherwise(F.array().cast("array<string>"))
         parts += [_texts(counts, 1, F.concat(_count_lines({"total": "Total Vulnerabilities", **levels}), unknown)),
                   _texts(counts, 3, F.when(some, _array(_table("Vulnerabilities", VULN_HEADER))).otherwise(
-                      _array(["", "## Vulnerabilities", "", NOTHING_FOUND]))), vlines]
+                      _array(["", "## Vulnerabilities", "", NOTHING_FOUND])))]
+        parts += [vlines] if vlines is not None else []
     if frows is not None:
         counts = _counts(frows, FINDING_ORDER).where("total > 0")
         parts += [_texts(counts, 2, _count_lines({"total": "Suspicious Code Patterns", **{k: f"{v} Risk Patterns" for k, v in levels.items()}})),
@@ -184,53 +189,87 @@ def numbered_report(title: str, vulns: DataFrame | Matched | None, findings: Dat
 
 
 def _numbered_by_key(title: str, matched: Matched, findings: DataFrame | None, header: list[str]) -> DataFrame:
-    """The numbered report of matched dependencies; the rows of one occurrence and severity are one item of the order.
+    """The numbered report of matched dependencies: occurrences are sorted once, with how many lines of each severity they have.
 
-    Where several occurrences share one place (files of one path), their rows may lie between each other and are ordered one by one.
+    Lines of a place that several occurrences share (files of one path) may lie between each other and are ordered one by one.
     """
-    level = [*TOLD_KEY, "severity_rank"]
-    rows = rows_by_key(matched)
-    sizes = materialised(rows.groupBy(*level).agg(F.count("*").alias("lines")))
-    places = matched.places().withColumn("sharing", F.count("*").over(Window.partitionBy("project", "path", "dep_seq")))
-    blocks = materialised(places.join(sizes, TOLD_KEY))
-    one_by_one = blocks.where("sharing > 1").drop("lines").join(rows, level)
-    parts = _parts(title, blocks, _part(one_by_one, 4, _VULN_ORDER, "row"), findings, header)
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (*[(c, "string") for c in TOLD_KEY], ("severity_rank", "int"))]
-    lines = parts.select("*", F.lit(1).cast("bigint").alias("lines"), *nothing)
-    own = blocks.where("sharing = 1").withColumn("_none", F.lit(None).cast("string"))
-    own = _part(own, 4, {k: v for k, v in _VULN_ORDER.items() if k not in ("n2", "name")}, "_none", "lines", *level)
-    placed = materialised(numbered(lines.unionByName(own), _ORDER, "lines"))
-    inside = Window.partitionBy(*level).orderBy("rank", "cve")
-    spread = placed.where("severity_rank is not null").select(*level, "position").join(
-        rows.select(*level, "row", (F.row_number().over(inside) - 1).alias("place")), level)
-    return placed.where("severity_rank is null").select("position", F.col("value").alias("text")).unionByName(
-        spread.select((F.col("position") + F.col("place")).alias("position"), F.col("row").alias("text")))
-
-
-def numbered(df: DataFrame, order: list[str], lines: str | None = None) -> DataFrame:
+    rows, levels = rows_by_key(matched), range(len(VULN_ORDER) + 1)
+    counts, starts = [f"_n{i}" for i in levels], [f"_at{i}" for i in levels]
+    sizes = materialised(rows.groupBy(*TOLD_KEY).agg(*[F.count_if(F.col("severity_rank") == i).alias(c) for i, c in zip(levels, counts, strict=True)]))
+    places = matched.places().withColumns({c: F.coalesce(c, F.lit(0 if c == "dep_seq" else "")) for c in _PLACE})
+    placed, totals, several = _running_counts(places.join(sizes, TOLD_KEY), _PLACE, counts, starts)
+    counted = rows.sparkSession.createDataFrame([(i, n) for i, n in zip(levels, totals, strict=True) if n], "severity_rank int, lines bigint")
+    other = materialised(numbered(_parts(title, counted, None, findings, header), _ORDER))
+    first, found = other.where("section < 4").count(), sum(totals)
+    lines = other.select((F.col("position") + F.when(F.col("section") > 4, found).otherwise(0)).alias("position"), F.col("value").alias("text"))
+    before = F.array(*[F.col(c) + F.lit(first + sum(totals[:i])) for i, c in zip(levels, starts, strict=True)])
+    start = F.element_at("_before", F.col("severity_rank") + 1)
+    dealt, own, key = dealt_by_key(rows, placed.where("_sharing = 1"))
+    inside = Window.partitionBy(*key, "severity_rank").orderBy("rank", "cve")
+    own = own.select(*key, before.alias("_before")).join(dealt.select(*key, "severity_rank", "row", F.row_number().over(inside).alias("_place")), key)
+    lines = lines.unionByName(own.select((start + F.col("_place")).alias("position"), F.col("row").alias("text")))
+    if not several:
+        return lines
+    level = Window.partitionBy(*_PLACE, "severity_rank")
+    place = F.min(start).over(level) + F.row_number().over(level.orderBy("rank", "cve", "row"))
+    common = placed.where("_sharing > 1").withColumn("_before", before).join(rows, TOLD_KEY)
+    return lines.unionByName(common.select(place.alias("position"), F.col("row").alias("text")))
+
+
+def _running_counts(df: DataFrame, order: list[str], counts: list[str], starts: list[str]) -> tuple[DataFrame, list[int], int]:
+    """``df`` with the sums of ``counts`` over all rows before each in an order, as ``starts``, and ``_sharing``, the number of rows
+    that are equal in it; the sums over all rows; how many rows are not alone. Rows are dealt out by ranges, sorted and written once.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumn("_sharing", F.count("*").over(Window.partitionBy(*order))).withColumn("_part", F.spark_partition_id())
+    schema = StructType([*placed.drop(*counts).schema, *[StructField(c, LongType()) for c in starts], *[StructField(c, LongType()) for c in counts]])
+
+    def run(batches):
+        before = [0] * len(counts)
+        for batch in batches:
+            own, sums = batch.select([n for n in schema.names if n not in starts and n not in counts]), []
+            for i, c in enumerate(counts):
+                each = batch.column(c).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(each) + before[i]
+                sums.append(pa.array(upto - each))
+                before[i] = int(upto[-1]) if len(upto) else before[i]
+            yield pa.RecordBatch.from_arrays([*own.columns, *sums, *[batch.column(c) for c in counts]], names=schema.names)
+
+    path = work_folder(spark)
+    with releasing(spark):
+        placed.mapInArrow(run, schema).write.parquet(path)
+    placed = spark.read.schema(schema).parquet(path)
+    earlier, offsets, several = [0] * len(counts), [], 0
+    for part, shared, *sums in sorted(placed.groupBy("_part").agg(F.count_if(F.col("_sharing") > 1), *[F.sum(c) for c in counts]).collect()):
+        offsets.append((part, *earlier))
+        several += shared
+        earlier = [a + b for a, b in zip(earlier, sums, strict=True)]
+    fields = [f"_e{i}" for i in range(len(counts))]
+    parts = F.broadcast(spark.createDataFrame(offsets, ", ".join(["_part int", *[f"{f} long" for f in fields]])))
+    placed = placed.drop(*counts).join(parts, "_part").withColumns({s: F.col(s) + F.col(f) for s, f in zip(starts, fields, strict=True)})
+    return placed.drop("_part", *fields), earlier, several
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``position``, the place from 1 of each row in an order, without bringing rows to one task.
 
     Rows are dealt out by ranges of the order, sorted and written; a partition's places follow on the rows
-    of those before it, of which only the counts are collected, one for each partition. With a column ``lines``, a row takes as
-    many places as it says, and ``position`` is the first of them.
+    of those before it, of which only the counts are collected, one for each partition.
     """
     spark = df.sparkSession
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     path, schema = work_folder(spark), placed.schema
-    placed.write.parquet(path)
+    with releasing(spark):
+        placed.write.parquet(path)
     placed = spark.read.schema(schema).parquet(path).withColumn("_part", F.shiftright("_place", 33))
     before, offsets = 0, []
-    for part, n in sorted(placed.groupBy("_part").agg(F.sum(lines) if lines else F.count("*")).collect()):
+    for part, n in sorted(placed.groupBy("_part").agg(F.count("*")).collect()):
         offsets.append((part, before))
         before += n
     starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
-    if lines:
-        earlier = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-        inside = F.coalesce(F.sum(lines).over(earlier), F.lit(0))
-    else:
-        inside = F.col("_place").bitwiseAND((1 << 33) - 1)
-    return placed.withColumn("_inside", inside).join(starts, "_part").withColumn("position", F.col("_before") + F.col("_inside") + 1).drop(
-        "_part", "_place", "_before", "_inside")
+    inside = F.col("_place").bitwiseAND((1 << 33) - 1)
+    return placed.join(starts, "_part").withColumn("position", F.col("_before") + inside + 1).drop("_part", "_place", "_before")
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -1,7 +1,7 @@
 """What reports of many rows leave on disk, and how the joins that make their rows are dealt out."""
 
-import uuid
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +57,23 @@ def test_rows_dealt_out_by_their_sizes(spark, files_of, shared, monkeypatch, lin
     _, places, key = report.dealt_by_key(report.rows_by_key(found), found.places())
     assert ("slice" in key) == (lines < 100)
     assert (places.rdd.getNumPartitions() > 1) == (min(lines, size) < 800_000)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+@pytest.mark.parametrize("lines", [2_000_000, 5])
+def test_occurrences_are_sorted_once(spark, files_of, shared, monkeypatch, lines, twice):
+    """No table that the numbered report writes has more rows than there are occurrences, rows by key or other lines; the report is that of sorted rows."""
+    monkeypatch.setattr(report, "_TASK_LINES", lines)
+    found = _matched(spark, files_of)
+    if twice:
+        found = replace(found, deps=found.deps.unionByName(found.deps.where("path < '3'").withColumn("project", F.when(F.col("dep_seq") > 0, F.lit("p")))))
+    by_row = numbered_report("t", found.vulnerabilities(), None).collect()
+    already = {*shared.iterdir()}
+    by_key = numbered_report("t", found, None)
+    most = max(spark.read.parquet(str(p)).count() for p in {*shared.iterdir()} - already)
+    assert most <= max(found.places().count(), found.told().count(), 40)
+    places = [t.position for t in by_row]
+    assert sorted(r.position for r in by_key.collect()) == sorted(places) == list(range(1, len(places) + 1))
+    if not twice:  # null and empty projects are one place, so rows of these may be told apart in any order
+        assert sorted(map(tuple, by_key.collect())) == sorted(map(tuple, by_row))
+    assert Counter(r.text for r in by_key.collect()) == Counter(r.text for r in by_row)
