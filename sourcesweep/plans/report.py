@@ -69,8 +69,9 @@ def dealt_by_key(rows: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFra
         return rows, places, TOLD_KEY
     sizes = rows.groupBy(*TOLD_KEY).agg(F.count("*").alias("lines"), F.sum(F.octet_length("row")).alias("bytes"))
     slices = F.ceil(F.col("lines") * F.col("times") / _TASK_LINES)
-    load = materialised(places.groupBy(*TOLD_KEY).agg(F.count("*").alias("times")).join(sizes, TOLD_KEY).withColumn("slices", slices))
-    size = load.agg(F.sum(F.col("bytes") * F.col("slices")) / _TASK_BYTES, F.sum(F.col("lines") * F.col("times")) / _TASK_LINES, F.max("slices")).first()
+    load = places.groupBy(*TOLD_KEY).agg(F.count("*").alias("times")).join(sizes, TOLD_KEY).withColumn("slices", slices)
+    with releasing(rows.sparkSession):
+        size = load.agg(F.sum(F.col("bytes") * F.col("slices")) / _TASK_BYTES, F.sum(F.col("lines") * F.col("times")) / _TASK_LINES, F.max("slices")).first()
     tasks, key = int(max(size[0] or 0, size[1] or 0)) + 1, TOLD_KEY
     if (size[2] or 0) > 1:
         key = [*TOLD_KEY, "slice"]
@@ -199,7 +200,7 @@ def _numbered_by_key(title: str, matched: Matched, findings: DataFrame | None, h
     places = matched.places().withColumns({c: F.coalesce(c, F.lit(0 if c == "dep_seq" else "")) for c in _PLACE})
     placed, totals, several = _running_counts(places.join(sizes, TOLD_KEY), _PLACE, counts, starts)
     counted = rows.sparkSession.createDataFrame([(i, n) for i, n in zip(levels, totals, strict=True) if n], "severity_rank int, lines bigint")
-    other = materialised(numbered(_parts(title, counted, None, findings, header), _ORDER))
+    other = numbered(_parts(title, counted, None, findings, header), _ORDER)
     first, found = other.where("section < 4").count(), sum(totals)
     lines = other.select((F.col("position") + F.when(F.col("section") > 4, found).otherwise(0)).alias("position"), F.col("value").alias("text"))
     before = F.array(*[F.col(c) + F.lit(first + sum(totals[:i])) for i, c in zip(levels, starts, strict=True)])
